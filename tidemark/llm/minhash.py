@@ -6,14 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.graphs import components
 
 #: 90 permutations give 90 minima and 90 maxima: 30 bands of 6. A pair at 0.85 is in no common band with probability 7e-7.
-PERMUTATIONS, ROWS = 90, 6
+#: Another 90 sharpen the estimate by which the pairs of a band are screened before their full sets are compared.
+PERMUTATIONS, ROWS, EXTRA = 90, 6, 90
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,23 +76,55 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _sketch(schema: T.StructType, width: int, permutations: int, rows: int):
+def planes(sig: np.ndarray) -> np.ndarray:
+    """Four bits of each value, as four rows of bits, 64 values to a number: enough to estimate a similarity."""
+    groups = -(-len(sig) // 64)
+    four = np.zeros(groups * 64, np.uint64)
+    four[: len(sig)] = _mix(sig)
+    shift = np.arange(64, dtype=np.uint64)
+    return np.concatenate([((four.reshape(-1, 64) >> np.uint64(k) & np.uint64(1)) << shift).sum(axis=1, dtype=np.uint64) for k in range(4)]).view(np.int64)
+
+
+def _flat(df: DataFrame, name: str, values: int, prefix: str) -> DataFrame:
+    """The numbers of an array column as columns of their own: an expression over them stays small enough to be compiled."""
+    return df.select(*(c for c in df.columns if c != name), *(F.col(name)[i].alias(f"{prefix}{i}") for i in range(4 * -(-values // 64))))
+
+
+def _agreeing(left: str, right: str, values: int) -> Column:
+    """How many of the signature's values agree, as far as their four bits tell."""
+    groups = -(-values // 64)
+    apart = F.lit(0)
+    for g in range(groups):
+        x = [F.col(f"{left}{k * groups + g}").bitwiseXOR(F.col(f"{right}{k * groups + g}")) for k in range(4)]
+        apart = apart + F.bit_count(x[0].bitwiseOR(x[1]).bitwiseOR(x[2].bitwiseOR(x[3])))
+    return F.lit(values) - apart
+
+
+def _levels(values: int, per_cent: int) -> list[int]:
+    """The agreement to expect at the threshold, a lower one, and one that a pair there stays below once in millions of times."""
+    p = per_cent / 100 + (1 - per_cent / 100) / 16
+    return [int(values * p - k * (values * p * (1 - p)) ** 0.5) for k in (0, 2.2, 5.1)]
+
+
+def _sketch(schema: T.StructType, width: int, permutations: int, extra: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        s, (a, b) = Shingler(width), _permutations(permutations)
+        s, (a, b) = Shingler(width), _permutations(permutations + extra)
         n_bands = 2 * permutations // rows
         for batch in batches:
-            sizes, prints, keys, offsets = [], [], [], [0]
+            sizes, prints, keys, bits, offsets = [], [], [], [], [0]
             for text in batch.column(1).to_pylist():
                 x = s.shingles(text)
                 sizes.append(len(x))
                 prints.append(xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None)
                 if len(x):
-                    keys.append(band_keys(signature(x, a, b), rows))
+                    sig = signature(x, a, b)
+                    keys.append(band_keys(np.concatenate([sig[:permutations], sig[permutations + extra :][:permutations]]), rows))
+                bits.append(planes(sig) if len(x) else None)
                 offsets.append(offsets[-1] + (n_bands if len(x) else 0))
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            cols = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))]
+            cols = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), pa.array(bits, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return run
@@ -133,6 +166,7 @@ def near_duplicates(
     per_cent: int = 85,
     permutations: int = PERMUTATIONS,
     rows: int = ROWS,
+    extra: int = EXTRA,
 ) -> DataFrame:
     """Rows (id, n_shingles, component_id, kept): near-duplicate groups over whole texts.
 
@@ -142,39 +176,48 @@ def near_duplicates(
 
     * Documents with equal sets are one class, stood for by its smallest id, so that copies never meet in pairs.
     * Classes that share a band form a bucket. In each, all are compared with one hub, drawn by a hash and so another one
-      in each band. Components of the confirmed links follow. Then the pairs of a bucket that are still apart and whose
-      sizes permit a link are compared too, so no link within a bucket is lost.
+      in each band. Components of the confirmed links follow. Then the pairs of a bucket that are still apart are compared
+      too, those whose signatures agree most often first; so no link within a bucket is lost.
+      Only pairs whose sizes forbid a link, or whose signatures agree five standard deviations too rarely, are left out.
     * Buckets are handled by aggregations and joins, never as lists; all comparisons use the full sets.
 
     Rows with a null id link with nothing and keep a null component_id; kept is true. Rows that share an id are one node:
     what one links with, all do. Other columns are not read. Needs a checkpoint directory.
     """
     kind = df.schema[id_col].dataType
-    sketch = T.StructType([T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("print", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    sketch = T.StructType([T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("print", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))])
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    docs = texts.mapInArrow(_sketch(sketch, width, permutations, rows), sketch).checkpoint()
-    classes = docs.filter("n > 0 and id is not null").groupBy("print", "n").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"))
-    reps = classes.select("rep", "n", "keys").checkpoint()
+    docs = texts.mapInArrow(_sketch(sketch, width, permutations, extra, rows), sketch).checkpoint()
+    classes = docs.filter("n > 0 and id is not null").groupBy("print", "n").agg(F.min("id").alias("rep"), F.first(F.struct("keys", "bits")).alias("s"))
+    reps = classes.select("rep", "n", "s.keys", "s.bits").checkpoint()
+    values = 2 * (permutations + extra)
+    levels = _levels(values, per_cent)
+    agreeing = _agreeing("x", "y", values)
     keyed = reps.select("rep", "n", F.explode("keys").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "rep").alias("h"), "rep")).alias("hub"), F.count("*").alias("size")).filter("size > 1").select("key", F.col("hub.rep").alias("hub"))
     members = keyed.join(hubs, "key").checkpoint()
 
     pairs = members.filter("rep <> hub").select(F.greatest("rep", "hub").alias("u"), F.least("rep", "hub").alias("v")).distinct()
+    u, v = (_flat(reps.select(F.col("rep").alias(name), "bits"), "bits", values, prefix) for name, prefix in (("u", "x"), ("v", "y")))
+    pairs = pairs.join(u, "u").join(v, "v").filter(agreeing >= levels[-1]).select("u", "v")
     wanted = members.select(F.col("rep").alias("id")).distinct()
     shape = T.StructType([T.StructField("id", kind), T.StructField("set", T.BinaryType())])
     sets = texts.join(wanted, "id", "left_semi").mapInArrow(_sets(shape, width), shape).checkpoint()
     links = _confirm(pairs, sets, per_cent).checkpoint()
 
     found = components(links)
-    placed = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    apart = placed.filter("rep <> hub").join(open_keys, "key").select("key", "rep", "n", "component")
-    other = apart.select("key", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-    sized = (100 * F.least("n", "n2") >= per_cent * F.greatest("n", "n2")) & (F.col("component") != F.col("component2")) & (F.col("rep") > F.col("rep2"))
-    rest = apart.join(other, "key").filter(sized).select(F.col("rep").alias("u"), F.col("rep2").alias("v")).distinct()
-    more = _confirm(rest, sets, per_cent).checkpoint()
-    if not more.isEmpty():
-        found = components(links.unionByName(more))
+    for low, high in zip(levels, [values + 1, *levels], strict=False):
+        placed = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+        apart = placed.filter("rep <> hub").join(open_keys, "key").join(reps.select("rep", "bits"), "rep").select("key", "rep", "n", "component", "bits")
+        other = _flat(apart.select("key", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "component")), "bits"), "bits", values, "y")
+        apart = _flat(apart, "bits", values, "x")
+        sized = (F.col("component") != F.col("component2")) & (100 * F.least("n", "n2") >= per_cent * F.greatest("n", "n2"))
+        rest = apart.join(other, (apart.key == other.key) & (F.col("rep") > F.col("rep2")) & sized & (agreeing >= low) & (agreeing < high))
+        more = _confirm(rest.select(F.col("rep").alias("u"), F.col("rep2").alias("v")).distinct(), sets, per_cent).checkpoint()
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            found = components(links)
 
     copies = classes.select("print", "n", "rep")
     out = docs.select("id", "n", "print").join(copies, ["print", "n"], "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
