@@ -101,9 +101,9 @@ def _agreeing(left: str, right: str, values: int) -> Column:
 
 
 def _levels(values: int, per_cent: int) -> list[int]:
-    """The agreement to expect at the threshold, a lower one, and one that a pair there stays below once in millions of times."""
+    """The agreement to expect at the threshold, lower ones, and one that a pair there stays below once in millions of times."""
     p = per_cent / 100 + (1 - per_cent / 100) / 16
-    return [int(values * p - k * (values * p * (1 - p)) ** 0.5) for k in (0, 2.2, 5.1)]
+    return [int(values * p - k * (values * p * (1 - p)) ** 0.5) for k in (0, 1.5, 3, 5.1)]
 
 
 def _sketch(schema: T.StructType, width: int, permutations: int, extra: int, rows: int):
@@ -209,12 +209,14 @@ def near_duplicates(
     for low, high in zip(levels, [values + 1, *levels], strict=False):
         placed = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-        apart = placed.filter("rep <> hub").join(open_keys, "key").join(reps.select("rep", "bits"), "rep").select("key", "rep", "n", "component", "bits")
-        other = _flat(apart.select("key", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "component")), "bits"), "bits", values, "y")
+        apart = placed.filter("rep <> hub").join(open_keys, "key").join(reps.select("rep", "bits", "keys"), "rep").select("key", "rep", "n", "component", "bits", "keys")
+        other = _flat(apart.select("key", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "component", "keys")), "bits"), "bits", values, "y")
         apart = _flat(apart, "bits", values, "x")
         sized = (F.col("component") != F.col("component2")) & (100 * F.least("n", "n2") >= per_cent * F.greatest("n", "n2"))
-        rest = apart.join(other, (apart.key == other.key) & (F.col("rep") > F.col("rep2")) & sized & (agreeing >= low) & (agreeing < high))
-        more = _confirm(rest.select(F.col("rep").alias("u"), F.col("rep2").alias("v")).distinct(), sets, per_cent).checkpoint()
+        # of the buckets that a pair shares only the first gives it; if one of the two is the hub there, it has been compared
+        once = F.array_min(F.array_intersect("keys", "keys2")) == apart.key
+        rest = apart.join(other, (apart.key == other.key) & (F.col("rep") > F.col("rep2")) & sized & (agreeing >= low) & (agreeing < high) & once)
+        more = _confirm(rest.select(F.col("rep").alias("u"), F.col("rep2").alias("v")), sets, per_cent).checkpoint()
         if not more.isEmpty():
             links = links.unionByName(more)
             found = components(links)
