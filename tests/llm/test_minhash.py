@@ -50,6 +50,8 @@ def test_components_equal_brute_force(spark):
     df = spark.createDataFrame([(i, t, 1, "k") for i, t in docs], SCHEMA)
     got = {tuple(r) for r in minhash.near_duplicates(df).collect()}
     assert got == brute(docs)
+    tiles = {tuple(r) for r in minhash.near_duplicates(df, tile_bytes=4000).collect()}
+    assert tiles == got
     kept = {r.doc_id for r in minhash.keep_one(df).collect()}
     assert kept == {x[0] for x in got if x[3]}
 
@@ -61,6 +63,13 @@ def test_nulls_repeats_and_empty(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_one_id_with_two_texts(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(120)) for c in "ab")
+    rows = [(7, a, 1, None), (7, b, 1, None), (7, None, 1, None), (3, a + " z", 1, None), (9, b + " z", 1, None), (8, a + " y", 1, None), (8, "q", 1, None), (12, "q", 1, None), (2, "w", 1, None)]
+    got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(7, 3), (3, 3), (9, 3), (8, 3), (12, 3), (2, 2)}
+
+
 def test_components_of_a_path(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (5, 5)], "u long, v long")
     got = {r.node: r.component for r in graphs.components(e).collect()}

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.llm.graphs import components
 
@@ -100,10 +101,10 @@ def _agreeing(left: str, right: str, values: int) -> Column:
     return F.lit(values) - apart
 
 
-def _levels(values: int, per_cent: int) -> list[int]:
-    """The agreement to expect at the threshold, lower ones, and one that a pair there stays below once in millions of times."""
+def _level(values: int, per_cent: int) -> int:
+    """The agreement that a pair at the threshold stays below once in millions of times."""
     p = per_cent / 100 + (1 - per_cent / 100) / 16
-    return [int(values * p - k * (values * p * (1 - p)) ** 0.5) for k in (0, 1.5, 3, 5.1)]
+    return int(values * p - 5.1 * (values * p * (1 - p)) ** 0.5)
 
 
 def _sketch(schema: T.StructType, width: int, permutations: int, extra: int, rows: int):
@@ -140,21 +141,101 @@ def _sets(schema: T.StructType, width: int):
     return run
 
 
-@F.pandas_udf(T.LongType())
-def _common(left, right):
-    """Size of the intersection of two sorted sets of 64-bit hashes."""
-    import pandas as pd
+def _similar(x: np.ndarray, y: np.ndarray, per_cent: int) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= per_cent * (len(x) + len(y) - common)
 
-    return pd.Series([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(left, right, strict=True)], dtype="int64")
 
+def _tested(schema: T.StructType, per_cent: int):
+    """Rows sorted by tile, a tile's sets before its pairs: the pairs whose sets are similar enough. Holds one tile's sets."""
 
-def _confirm(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough. A row holds two sets; both joins may be split by AQE."""
-    x = sets.select(F.col("id").alias("u"), F.col("set").alias("su"))
-    y = sets.select(F.col("id").alias("v"), F.col("set").alias("sv"))
-    n = pairs.join(y, "v").join(x, "u").withColumn("common", _common("su", "sv"))
-    union = ((F.octet_length("su") + F.octet_length("sv")) / 8).cast("long") - F.col("common")
-    return n.filter(100 * F.col("common") >= per_cent * union).select("u", "v")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, sets = None, {}
+        for batch in batches:
+            key, x, y, id_, blob, v = (c.to_pylist() for c in batch.columns)
+            found = []
+            for *at, u, data, w in zip(key, x, y, id_, blob, v, strict=True):
+                if at != tile:
+                    tile, sets = at, {}
+                if data is not None:
+                    sets.setdefault(u, []).append(np.frombuffer(data, np.uint64))
+                elif any(_similar(s, t, per_cent) for s in sets[u] for t in sets[w]):
+                    found.append((u, w))
+            cols = [pa.array([pair[i] for pair in found], field.type) for i, field in enumerate(schema)]
+            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+
+    return run
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, per_cent: int, tile_bytes: int) -> DataFrame:
+    """The pairs (key, weight, u, v) whose full sets are similar enough, as rows (u, v).
+
+    A bucket whose sets take ``weight`` bytes is cut in parts of about ``tile_bytes`` by a hash of the id; two parts make a
+    tile. A set is sent once to each tile that asks for it, however many pairs it has there, and a task holds one tile.
+    """
+    parts = F.ceil(F.col("weight") / tile_bytes)
+    asked = pairs.select("key", *(F.pmod(F.xxhash64(c), parts).alias(f"part_{c}") for c in ("u", "v")), "u", "v")
+    tile = ["key", "part_u", "part_v"]
+    needed = asked.select(*tile, F.explode(F.array("u", "v")).alias("id")).distinct().join(sets, "id")
+    kind = sets.schema["id"].dataType
+    rows = needed.select(*tile, "id", "set", F.lit(None).cast(kind).alias("v")).unionByName(asked.select(*tile, F.col("u").alias("id"), F.lit(None).cast("binary").alias("set"), "v"))
+    shape = T.StructType([T.StructField("u", kind), T.StructField("v", kind)])
+    sorted_rows = rows.repartition(*tile).sortWithinPartitions(*tile, F.col("set").isNull())
+    return sorted_rows.mapInArrow(_tested(to_arrow_schema(shape), per_cent), shape)
+
+
+def _tile_links(key: int, crossing: bool, rows: list, per_cent: int, values: int, level: int) -> list:
+    """Links between rows (part, id, component, keys, bits, set) of one tile that join components. Holds no list of pairs."""
+    parts, ids, components_, keys, bits, blobs = zip(*rows, strict=True)
+    codes = {c: i for i, c in enumerate(dict.fromkeys(components_))}
+    if len(codes) < 2:
+        return []
+    label, part, keys = np.array([codes[c] for c in components_]), np.array(parts), np.stack(keys)
+    bits = np.stack(bits).view(np.uint64).reshape(len(rows), 4, -1)
+    sets = [np.frombuffer(x, np.uint64) for x in blobs]
+    n, found = np.array([len(x) for x in sets]), []
+    band = np.argmax((keys == key).any(axis=0))
+    for i in range(len(rows) - 1):
+        m = n[i + 1 :]
+        maybe = (label[i + 1 :] != label[i]) & (100 * np.minimum(m, n[i]) >= per_cent * np.maximum(m, n[i]))
+        if crossing:
+            maybe &= part[i + 1 :] != part[i]
+        at = i + 1 + np.flatnonzero(maybe)
+        agree = values - np.bitwise_count(np.bitwise_or.reduce(bits[at] ^ bits[i], axis=1)).sum(axis=1, dtype=np.int64)
+        at, agree = at[agree >= level], agree[agree >= level]
+        # of the buckets that two share only the first compares them; if one of them is the hub there, that has been done
+        first = (keys[at] == keys[i]).argmax(axis=1) == band
+        for j in at[first][np.argsort(-agree[first], kind="stable")]:
+            if label[i] != label[j] and _similar(sets[i], sets[j], per_cent):
+                found.append((ids[i], ids[j]))
+                label[label == label[j]] = label[i]
+    return found
+
+
+def _linked(schema: T.StructType, per_cent: int, values: int, level: int):
+    """Rows (key, a, b, part, id, component, keys, bits, set) sorted by tile (key, a, b): the links of each tile."""
+
+    def made(found: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([pair[i] for pair in found], field.type) for i, field in enumerate(schema)], names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, rows, found = None, [], []
+        for batch in batches:
+            lists = {c: batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1) for c in ("keys", "bits")}
+            plain = [batch.column(c).to_pylist() for c in ("key", "a", "b", "part", "rep", "component", "set")]
+            for i, (key, a, b, part, rep, component, blob) in enumerate(zip(*plain, strict=True)):
+                if (key, a, b) != tile:
+                    if len(rows) > 1:
+                        found += _tile_links(tile[0], tile[1] != tile[2], rows, per_cent, values, level)
+                    tile, rows = (key, a, b), []
+                rows.append((part, rep, component, lists["keys"][i], lists["bits"][i], blob))
+            yield made(found)
+            found = []
+        if len(rows) > 1:
+            yield made(_tile_links(tile[0], tile[1] != tile[2], rows, per_cent, values, level))
+
+    return run
 
 
 def near_duplicates(
@@ -167,6 +248,7 @@ def near_duplicates(
     permutations: int = PERMUTATIONS,
     rows: int = ROWS,
     extra: int = EXTRA,
+    tile_bytes: int = 8 << 20,
 ) -> DataFrame:
     """Rows (id, n_shingles, component_id, kept): near-duplicate groups over whole texts.
 
@@ -176,10 +258,11 @@ def near_duplicates(
 
     * Documents with equal sets are one class, stood for by its smallest id, so that copies never meet in pairs.
     * Classes that share a band form a bucket. In each, all are compared with one hub, drawn by a hash and so another one
-      in each band. Components of the confirmed links follow. Then the pairs of a bucket that are still apart are compared
-      too, those whose signatures agree most often first; so no link within a bucket is lost.
+      in each band. Components of the confirmed links follow. Then buckets whose rows are still apart meet themselves in
+      tiles of about twice ``tile_bytes``, so that no task holds the whole of a large one. A tile gives links only, never
+      its pairs, and skips pairs that links join already; so no link that joins two groups is lost.
       Only pairs whose sizes forbid a link, or whose signatures agree five standard deviations too rarely, are left out.
-    * Buckets are handled by aggregations and joins, never as lists; all comparisons use the full sets.
+    * All links are confirmed on the full sets.
 
     Rows with a null id link with nothing and keep a null component_id; kept is true. Rows that share an id are one node:
     what one links with, all do. Other columns are not read. Needs a checkpoint directory.
@@ -191,39 +274,42 @@ def near_duplicates(
     classes = docs.filter("n > 0 and id is not null").groupBy("print", "n").agg(F.min("id").alias("rep"), F.first(F.struct("keys", "bits")).alias("s"))
     reps = classes.select("rep", "n", "s.keys", "s.bits").checkpoint()
     values = 2 * (permutations + extra)
-    levels = _levels(values, per_cent)
+    level = _level(values, per_cent)
     agreeing = _agreeing("x", "y", values)
     keyed = reps.select("rep", "n", F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "rep").alias("h"), "rep")).alias("hub"), F.count("*").alias("size")).filter("size > 1").select("key", F.col("hub.rep").alias("hub"))
+    hubs = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "rep").alias("h"), "rep")).alias("hub"), F.count("*").alias("size"), F.sum(8 * F.col("n") + 800).alias("weight")).filter("size > 1").select("key", "weight", F.col("hub.rep").alias("hub"))
     members = keyed.join(hubs, "key").checkpoint()
 
-    pairs = members.filter("rep <> hub").select(F.greatest("rep", "hub").alias("u"), F.least("rep", "hub").alias("v")).distinct()
+    pairs = members.filter("rep <> hub").groupBy(F.greatest("rep", "hub").alias("u"), F.least("rep", "hub").alias("v")).agg(F.min(F.struct("key", "weight")).alias("at"))
     u, v = (_flat(reps.select(F.col("rep").alias(name), "bits"), "bits", values, prefix) for name, prefix in (("u", "x"), ("v", "y")))
-    pairs = pairs.join(u, "u").join(v, "v").filter(agreeing >= levels[-1]).select("u", "v")
+    pairs = pairs.join(u, "u").join(v, "v").filter(agreeing >= level).select("at.key", "at.weight", "u", "v")
     wanted = members.select(F.col("rep").alias("id")).distinct()
     shape = T.StructType([T.StructField("id", kind), T.StructField("set", T.BinaryType())])
-    sets = texts.join(wanted, "id", "left_semi").mapInArrow(_sets(shape, width), shape).checkpoint()
-    links = _confirm(pairs, sets, per_cent).checkpoint()
+    kept_texts = texts.join(wanted, "id", "left_semi")
+    sets = kept_texts.mapInArrow(_sets(shape, width), shape).filter("octet_length(set) > 0").checkpoint()
+    repeated = docs.filter("id is not null").groupBy("id").count().filter("count > 1").select("id")
+    shared = docs.join(repeated, "id").join(classes.select("print", "n", "rep"), ["print", "n"]).filter("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
+    links = _confirm(pairs, sets, per_cent, tile_bytes).unionByName(shared).checkpoint()
 
     found = components(links)
-    for low, high in zip(levels, [values + 1, *levels], strict=False):
-        placed = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-        apart = placed.filter("rep <> hub").join(open_keys, "key").join(reps.select("rep", "bits", "keys"), "rep").select("key", "rep", "n", "component", "bits", "keys")
-        other = _flat(apart.select("key", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "component", "keys")), "bits"), "bits", values, "y")
-        apart = _flat(apart, "bits", values, "x")
-        sized = (F.col("component") != F.col("component2")) & (100 * F.least("n", "n2") >= per_cent * F.greatest("n", "n2"))
-        # of the buckets that a pair shares only the first gives it; if one of the two is the hub there, it has been compared
-        once = F.array_min(F.array_intersect("keys", "keys2")) == apart.key
-        rest = apart.join(other, (apart.key == other.key) & (F.col("rep") > F.col("rep2")) & sized & (agreeing >= low) & (agreeing < high) & once)
-        more = _confirm(rest.select(F.col("rep").alias("u"), F.col("rep2").alias("v")), sets, per_cent).checkpoint()
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            found = components(links)
+    placed = members.filter("rep <> hub").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    parts = F.ceil(F.first("weight") / tile_bytes).alias("parts")
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), parts).filter("lo <> hi").select("key", "parts")
+    apart = placed.join(open_keys, "key").withColumn("part", F.pmod(F.xxhash64("rep"), "parts"))
+    apart = apart.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    tiled = apart.select("key", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "rep", "component")
+    tiled = tiled.join(reps.select("rep", "keys", "bits"), "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
+    pair = T.StructType([T.StructField("u", kind), T.StructField("v", kind)])
+    by_tile = tiled.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+    more = by_tile.mapInArrow(_linked(to_arrow_schema(pair), per_cent, values, level), pair).checkpoint()
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
 
     copies = classes.select("print", "n", "rep")
     out = docs.select("id", "n", "print").join(copies, ["print", "n"], "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("component", F.when(F.col("id").isNotNull(), F.col("rep")), "id")
+    own = found.join(repeated, found.node == repeated.id).select("id", F.col("component").alias("own"))
+    out = out.join(own, "id", "left")
+    component = F.coalesce("own", "component", F.when(F.col("id").isNotNull(), F.col("rep")), "id")
     return out.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
