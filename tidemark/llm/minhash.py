@@ -29,7 +29,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sets of word shingles as sorted 64-bit hashes. Words are what lies between ASCII white space, with A-Z lower-cased."""
 
-    def __init__(self, width: int = 5, cache_size: int = 400_000):
+    def __init__(self, width: int = 5, cache_size: int = 100_000):
         import xxhash
 
         self.width, self.cache_size, self.cache, self.digest = width, cache_size, {}, xxhash.xxh3_64_intdigest
@@ -185,55 +185,73 @@ def _confirm(pairs: DataFrame, sets: DataFrame, per_cent: int, tile_bytes: int)
     return sorted_rows.mapInArrow(_tested(to_arrow_schema(shape), per_cent), shape)
 
 
-def _tile_links(key: int, crossing: bool, rows: list, per_cent: int, values: int, level: int) -> list:
-    """Links between rows (part, id, component, keys, bits, set) of one tile that join components. Holds no list of pairs."""
-    parts, ids, components_, keys, bits, blobs = zip(*rows, strict=True)
-    codes = {c: i for i, c in enumerate(dict.fromkeys(components_))}
-    if len(codes) < 2:
-        return []
-    label, part, keys = np.array([codes[c] for c in components_]), np.array(parts), np.stack(keys)
-    bits = np.stack(bits).view(np.uint64).reshape(len(rows), 4, -1)
-    sets = [np.frombuffer(x, np.uint64) for x in blobs]
-    n, found = np.array([len(x) for x in sets]), []
-    band = np.argmax((keys == key).any(axis=0))
-    for i in range(len(rows) - 1):
-        m = n[i + 1 :]
-        maybe = (label[i + 1 :] != label[i]) & (100 * np.minimum(m, n[i]) >= per_cent * np.maximum(m, n[i]))
-        if crossing:
-            maybe &= part[i + 1 :] != part[i]
-        at = i + 1 + np.flatnonzero(maybe)
-        agree = values - np.bitwise_count(np.bitwise_or.reduce(bits[at] ^ bits[i], axis=1)).sum(axis=1, dtype=np.int64)
-        at, agree = at[agree >= level], agree[agree >= level]
-        # of the buckets that two share only the first compares them; if one of them is the hub there, that has been done
-        first = (keys[at] == keys[i]).argmax(axis=1) == band
-        for j in at[first][np.argsort(-agree[first], kind="stable")]:
-            if label[i] != label[j] and _similar(sets[i], sets[j], per_cent):
-                found.append((ids[i], ids[j]))
-                label[label == label[j]] = label[i]
-    return found
+class Tile:
+    """Rows (part, id, component, keys, bits, n, set) of one tile (key, a, b) of a bucket."""
 
+    def __init__(self, tile: tuple, rows: list, per_cent: int, values: int, level: int):
+        part, self.ids, names, keys, bits, n, self.blobs = zip(*rows, strict=True)
+        codes = {c: i for i, c in enumerate(dict.fromkeys(names))}
+        self.tile, self.per_cent, self.values, self.level, self.crossing = tile, per_cent, values, level, tile[1] != tile[2]
+        self.label, self.part, self.n, self.keys = np.array([codes[c] for c in names]), np.array(part), np.array(n), np.stack(keys)
+        self.bits = np.stack(bits).view(np.uint64).reshape(len(rows), 4, -1)
+        self.band = np.argmax((self.keys == tile[0]).any(axis=0))
 
-def _linked(schema: T.StructType, per_cent: int, values: int, level: int):
-    """Rows (key, a, b, part, id, component, keys, bits, set) sorted by tile (key, a, b): the links of each tile."""
+    def partners(self, i: int) -> np.ndarray:
+        """Rows after ``i`` that its signature and size leave as possible links to another component, likeliest first."""
+        m = self.n[i + 1 :]
+        maybe = (self.label[i + 1 :] != self.label[i]) & (100 * np.minimum(m, self.n[i]) >= self.per_cent * np.maximum(m, self.n[i]))
+        if self.crossing:
+            maybe &= self.part[i + 1 :] != self.part[i]
+        at = i + 1 + np.flatnonzero(maybe)
+        agree = self.values - np.bitwise_count(np.bitwise_or.reduce(self.bits[at] ^ self.bits[i], axis=1)).sum(axis=1, dtype=np.int64)
+        at, agree = at[agree >= self.level], agree[agree >= self.level]
+        # of the buckets that two share only the first compares them; if one of them is the hub there, that has been done
+        first = (self.keys[at] == self.keys[i]).argmax(axis=1) == self.band
+        return at[first][np.argsort(-agree[first], kind="stable")]
+
+    def wanted(self) -> list:
+        """Rows (key, a, b, part, id) that have a possible link."""
+        some = np.zeros(len(self.ids), bool)
+        for i in range(len(self.ids) - 1):
+            at = self.partners(i)
+            some[at] = True
+            some[i] |= len(at) > 0
+        return [(*self.tile, int(self.part[i]), self.ids[i]) for i in np.flatnonzero(some)]
+
+    def links(self) -> list:
+        """Links (u, v) that join components. Holds no list of pairs."""
+        sets, found = [np.frombuffer(x, np.uint64) for x in self.blobs], []
+        for i in range(len(sets) - 1):
+            for j in self.partners(i):
+                if self.label[i] != self.label[j] and _similar(sets[i], sets[j], self.per_cent):
+                    found.append((self.ids[i], self.ids[j]))
+                    self.label[self.label == self.label[j]] = self.label[i]
+        return found
+
+
+def _by_tile(schema: T.StructType, result: str, per_cent: int, values: int, level: int):
+    """What the method ``result`` of each tile gives; rows come sorted by tile, and one tile is held at a time."""
+    arrow = to_arrow_schema(schema)
 
     def made(found: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([pair[i] for pair in found], field.type) for i, field in enumerate(schema)], names=schema.names)
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], field.type) for i, field in enumerate(arrow)], names=arrow.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, rows, found = None, [], []
         for batch in batches:
             lists = {c: batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1) for c in ("keys", "bits")}
-            plain = [batch.column(c).to_pylist() for c in ("key", "a", "b", "part", "rep", "component", "set")]
-            for i, (key, a, b, part, rep, component, blob) in enumerate(zip(*plain, strict=True)):
+            plain = [batch.column(c).to_pylist() for c in ("key", "a", "b", "part", "rep", "component", "n")]
+            blobs = batch.column("set").to_pylist() if "set" in batch.schema.names else [None] * batch.num_rows
+            for i, (key, a, b, part, rep, component, n, blob) in enumerate(zip(*plain, blobs, strict=True)):
                 if (key, a, b) != tile:
                     if len(rows) > 1:
-                        found += _tile_links(tile[0], tile[1] != tile[2], rows, per_cent, values, level)
+                        found += getattr(Tile(tile, rows, per_cent, values, level), result)()
                     tile, rows = (key, a, b), []
-                rows.append((part, rep, component, lists["keys"][i], lists["bits"][i], blob))
+                rows.append((part, rep, component, lists["keys"][i], lists["bits"][i], n if blob is None else len(blob) // 8, blob))
             yield made(found)
             found = []
         if len(rows) > 1:
-            yield made(_tile_links(tile[0], tile[1] != tile[2], rows, per_cent, values, level))
+            yield made(getattr(Tile(tile, rows, per_cent, values, level), result)())
 
     return run
 
@@ -259,7 +277,8 @@ def near_duplicates(
     * Documents with equal sets are one class, stood for by its smallest id, so that copies never meet in pairs.
     * Classes that share a band form a bucket. In each, all are compared with one hub, drawn by a hash and so another one
       in each band. Components of the confirmed links follow. Then buckets whose rows are still apart meet themselves in
-      tiles of about twice ``tile_bytes``, so that no task holds the whole of a large one. A tile gives links only, never
+      tiles of about twice ``tile_bytes``, so that no task holds the whole of a large one: first their signatures, then
+      the full sets of rows whose signatures leave a possible link. A tile gives links only, never
       its pairs, and skips pairs that links join already; so no link that joins two groups is lost.
       Only pairs whose sizes forbid a link, or whose signatures agree five standard deviations too rarely, are left out.
     * All links are confirmed on the full sets.
@@ -277,7 +296,7 @@ def near_duplicates(
     level = _level(values, per_cent)
     agreeing = _agreeing("x", "y", values)
     keyed = reps.select("rep", "n", F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "rep").alias("h"), "rep")).alias("hub"), F.count("*").alias("size"), F.sum(8 * F.col("n") + 800).alias("weight")).filter("size > 1").select("key", "weight", F.col("hub.rep").alias("hub"))
+    hubs = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.pmod("key", F.lit(4)), "rep").alias("h"), "rep")).alias("hub"), F.count("*").alias("size"), F.sum(8 * F.col("n") + 800).alias("weight")).filter("size > 1").select("key", "weight", F.col("hub.rep").alias("hub"))
     members = keyed.join(hubs, "key").checkpoint()
 
     pairs = members.filter("rep <> hub").groupBy(F.greatest("rep", "hub").alias("u"), F.least("rep", "hub").alias("v")).agg(F.min(F.struct("key", "weight")).alias("at"))
@@ -297,11 +316,16 @@ def near_duplicates(
     open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), parts).filter("lo <> hi").select("key", "parts")
     apart = placed.join(open_keys, "key").withColumn("part", F.pmod(F.xxhash64("rep"), "parts"))
     apart = apart.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    tiled = apart.select("key", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "rep", "component")
-    tiled = tiled.join(reps.select("rep", "keys", "bits"), "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
+    tiled = apart.select("key", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "rep", "component").checkpoint()
+    at = ["key", "a", "b"]
+    sketches = reps.select("rep", "keys", "bits", "n")
+    place = T.StructType([*(T.StructField(c, T.LongType()) for c in [*at, "part"]), T.StructField("rep", kind)])
+    screened = tiled.join(sketches, "rep").repartition(*at).sortWithinPartitions(*at)
+    screened = screened.mapInArrow(_by_tile(place, "wanted", per_cent, values, level), place).distinct().checkpoint()
     pair = T.StructType([T.StructField("u", kind), T.StructField("v", kind)])
-    by_tile = tiled.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
-    more = by_tile.mapInArrow(_linked(to_arrow_schema(pair), per_cent, values, level), pair).checkpoint()
+    compared = tiled.join(screened, place.names, "left_semi").join(sketches, "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
+    compared = compared.repartition(*at).sortWithinPartitions(*at)
+    more = compared.mapInArrow(_by_tile(pair, "links", per_cent, values, level), pair).checkpoint()
     if not more.isEmpty():
         found = components(links.unionByName(more))
 
