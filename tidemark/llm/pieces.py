@@ -30,7 +30,7 @@ class PieceCoder:
     ``cache_size`` bounds the cache: when full, it starts anew, so memory stays flat however many distinct words come.
     """
 
-    def __init__(self, path: str, cache_size: int = 300_000):
+    def __init__(self, path: str, cache_size: int = 100_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -186,6 +186,6 @@ def join_tree(coder: PieceCoder, parts: list[Encoded]) -> Encoded:
 
 
 @lru_cache(maxsize=4)
-def coder(path: str, cache_size: int = 300_000) -> PieceCoder:
+def coder(path: str, cache_size: int = 100_000) -> PieceCoder:
     """One coder for each file and worker process."""
     return PieceCoder(path, cache_size)
