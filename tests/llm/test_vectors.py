@@ -48,6 +48,29 @@ def test_nearest(spark):
     assert ann.nearest(df.filter("vec_id in (1, 100)"), df.filter("vec_id = 100")).collect()[0].vec_id == 1
 
 
+def test_nearest_budget_counts_distinct_rows(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(1500, 16))
+    x[np.arange(1500) % 3 == 1] = 0.05
+    rows = [(i, [float(v) for v in row.astype(np.float32)], None) for i, row in enumerate(x)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = {(a, c) for a, _, c, _ in brute(rows, lambda q, v: float(np.sqrt(((v - q) ** 2).sum())), False, False)}
+    for options in ({"search_k": 650}, {"least_rows": 0}):
+        got = {(q.query_id, q.vec_id) for q in ann.nearest(df, df.filter("vec_id % 100 = 0"), leaf_rows=30, **options).collect()}
+        assert 0.9 * len(want) <= len(got & want)
+
+
+def test_a_leaf_of_copies_does_not_end_the_search():
+    r = np.random.default_rng(6)
+    x = r.normal(size=(900, 8))
+    x[:300] = 0.5
+    forest, weights = [ann.grow(x, 30, 1.0, r) for _ in range(4)], ann.weigh(x)
+    assert round(weights.sum()) == 601
+    found = ann.probe(forest, x[0], weights, 200)
+    seen = {i for t, leaf in found for i in forest[t].points[leaf]}
+    assert {t for t, _ in found} == {0, 1, 2, 3} and 200 <= len(seen - set(range(300))) + 1 < 601
+
+
 def test_top_products(spark):
     rows = vectors() + ODD + [(3, vectors()[3][1], None)]
     df = spark.createDataFrame(rows, SCHEMA)

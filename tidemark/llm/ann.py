@@ -15,12 +15,17 @@ from tidemark.llm.common import bounded_sample
 from tidemark.llm.vectors import best, commonest_size, finite, matrix
 
 
+#: The share of the distinct vectors that a query is compared with. Vectors without clusters need as much for a recall of 0.9.
+SHARE = 0.65
+
+
 @dataclass(frozen=True)
 class Tree:
     normals: np.ndarray  # of each inner node
     offsets: np.ndarray
     children: np.ndarray  # left, right; -1 - n stands for leaf n
     rows: np.ndarray  # estimated rows of each leaf
+    points: list[np.ndarray]  # sample points in each leaf
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
         node = np.full(len(x), 0 if len(self.normals) else -1)
@@ -33,7 +38,7 @@ class Tree:
 
 def grow(x: np.ndarray, leaf: float, scale: float, r: np.random.Generator) -> Tree:
     """Splits the sample along the line between two of its points, until a leaf has ``leaf`` points. ``scale``: rows for each."""
-    normals, offsets, children, rows = [], [], [], []
+    normals, offsets, children, points = [], [], [], []
 
     def split(part: np.ndarray) -> int:
         if len(part) > max(leaf, 1):
@@ -53,24 +58,36 @@ def grow(x: np.ndarray, leaf: float, scale: float, r: np.random.Generator) -> Tr
                         children.append([0, 0])
                         children[at] = [split(part[~right]), split(part[right])]
                         return at
-        rows.append(len(part) * scale)
-        return -len(rows)
+        points.append(part)
+        return -len(points)
 
     split(np.arange(len(x)))
     d = x.shape[1]
-    return Tree(np.array(normals).reshape(-1, d), np.array(offsets), np.array(children, np.int64).reshape(-1, 2), np.array(rows))
+    return Tree(np.array(normals).reshape(-1, d), np.array(offsets), np.array(children, np.int64).reshape(-1, 2), np.array([len(p) * scale for p in points]), points)
+
 
+def weigh(x: np.ndarray) -> np.ndarray:
+    """A weight for each sample point: copies of one vector count as one point together."""
+    _, at, n = np.unique(x, axis=0, return_inverse=True, return_counts=True)
+    return 1 / n[at.reshape(-1)]
 
-def probe(forest: list[Tree], q: np.ndarray, search_k: int) -> list[tuple[int, int]]:
-    """The (tree, leaf) visited for one query. All trees share one queue, ordered by the least margin on the way to a node."""
+
+def probe(forest: list[Tree], q: np.ndarray, weights: np.ndarray, budget: float) -> list[tuple[int, int]]:
+    """The (tree, leaf) visited for one query, until they hold sample points of weight ``budget``, each counted once.
+
+    All trees share one queue, ordered by the least margin on the way to a node.
+    """
+    left = weights.copy()
     heap = [(-np.inf, t, 0 if len(tree.normals) else -1) for t, tree in enumerate(forest)]
     found, seen = [], 0.0
-    while heap and seen < search_k:
+    while heap and seen < budget:
         p, t, n = heapq.heappop(heap)
         tree = forest[t]
         if n < 0:
             found.append((t, -1 - n))
-            seen += tree.rows[-1 - n]
+            new = tree.points[-1 - n]
+            seen += left[new].sum()
+            left[new] = 0
             continue
         margin = float(q @ tree.normals[n] - tree.offsets[n])
         heapq.heappush(heap, (max(p, -margin), t, int(tree.children[n, 1])))
@@ -87,7 +104,10 @@ def nearest(
     k: int = 10,
     trees: int = 4,
     leaf_rows: int = 384,
-    search_k: int = 48_000,
+    share: float = SHARE,
+    search_k: int | None = None,
+    least_rows: int = 12_000,
+    leaves: int = 256,
     sample_rows: int = 20_000,
     block_rows: int = 4096,
     seed: int = 5,
@@ -95,9 +115,11 @@ def nearest(
     """Rows (query_id, rank, vec_id, score): the ``k`` nearest found for each row of ``queries`` among those of ``df``.
 
     The trees are fitted on about ``sample_rows`` vectors, drawn by a hash of the id (the only vectors that the driver sees);
-    every row is then put in its leaf of each tree. A query visits leaves, nearest first over all trees, until they hold
-    ``search_k`` rows, repeats over trees counted. Queries and rows meet by leaf; crowded leaves are dealt over blocks of
-    about ``block_rows``; each meeting keeps the k nearest. The score is the Euclidean distance in double precision.
+    every row is then put in its leaf of each tree. Leaves hold ``leaf_rows``, or more where a tree would have more than about
+    ``leaves`` of them. A query visits leaves, nearest first over all trees, until they hold about ``share`` of the distinct
+    vectors, and ``least_rows`` of them (or just ``search_k`` if that is given), as far as the sample tells: a row found in
+    several trees counts once, and copies of a vector count as one. Queries and rows meet by leaf; crowded leaves are dealt over blocks of about
+    ``block_rows``; each meeting keeps the k nearest. The score is the Euclidean distance in double precision.
 
     Vectors that are null, zero or hold a null or non-finite component take no part, nor do rows with a null id or another
     number of components than most. A row does not find its own id; rows that share an id count once, with the nearest. Ties
@@ -112,7 +134,11 @@ def nearest(
     x = np.array(sample, np.float64).reshape(len(sample), d)
     r = np.random.default_rng(seed)
     scale = max(1.0, n / max(1, len(x)))
-    forest = df.sparkSession.sparkContext.broadcast([grow(x, leaf_rows / scale, scale, r) for _ in range(trees)])
+    points = max(leaf_rows / scale, len(x) / leaves)
+    weights = weigh(x)
+    budget = max(share * weights.sum(), least_rows / scale) if search_k is None else search_k / scale
+    forest = df.sparkSession.sparkContext.broadcast([grow(x, points, scale, r) for _ in range(trees)])
+    weights = df.sparkSession.sparkContext.broadcast(weights)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,7 +155,7 @@ def nearest(
         for batch in batches:
             v = matrix(batch.column(1), d)
             for i in range(batch.num_rows):
-                found = [(t, leaf, b) for t, leaf in probe(forest.value, v[i], search_k) for b in range(max(1, int(np.ceil(forest.value[t].rows[leaf] / block_rows))))]
+                found = [(t, leaf, b) for t, leaf in probe(forest.value, v[i], weights.value, budget) for b in range(max(1, int(np.ceil(forest.value[t].rows[leaf] / block_rows))))]
                 at = pa.array([i] * len(found), pa.int32())
                 cols = [pa.array([f[c] for f in found], pa.int32()) for c in range(3)] + [batch.column(0).take(at), batch.column(1).take(at)]
                 yield pa.RecordBatch.from_arrays(cols, names=["tree", "leaf", "block", "id", "v"])
