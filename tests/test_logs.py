@@ -140,3 +140,24 @@ def test_follow(spark, tmp_path):
         assert [r.line for r in spark.table("live").orderBy("offset").collect()] == ["new 1", "new 2"]
     finally:
         query.stop()
+
+
+def test_place_in_a_whole_sort(spark):
+    log = spark.range(3000).select(F.lit("x").alias("file"), (F.col("id") + 1).alias("lineno"), F.concat(F.lit("user="), F.col("id") * 7 % 40).alias("line")).repartition(7)
+    got = {r.lineno: r.place for r in ordered.numbered(log, *rows.field_order("user"), name="place").collect()}
+    want = sorted(range(1, 3001), key=lambda n: (str((n - 1) * 7 % 40), n))
+    assert got == {n: i for i, n in enumerate(want, 1)}
+    assert ordered.numbered(log.limit(0), "lineno").count() == 0
+
+
+def test_whole_queries_return_every_line(spark):
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/events.parquet").count()
+    found = entry.queries()
+    for name in ("sort_field_whole", "sort_time_reversed_whole"):
+        assert sorted(r.place for r in found[name](spark, sf).collect()) == list(range(1, n + 1))
+    lines = spark.read.parquet(f"{sf}/documents.parquet").select(F.explode(F.split("text", "\n"))).count()
+    diff = found["diff_sources_whole"](spark, sf)
+    assert diff.filter("lineno_left is not null").count() == lines and diff.filter("side <> 'left'").select("lineno_right").distinct().count() == lines

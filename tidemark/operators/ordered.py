@@ -135,6 +135,20 @@ def merge(df: DataFrame, skip_untimed: bool = False, block: int = BLOCK) -> Data
     return rows.orderBy("_key", "file", "lineno").select("file", "lineno", "line", "ets", "_key")
 
 
+def numbered(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:
+    """``df`` with the place of each row, from 1, in the order given. It must be total. Needs a checkpoint directory.
+
+    Rows are sorted in ranges, each counts its own, and the counts of the ranges before it, a row for each, are joined back.
+    """
+    # the upper bits of the id are the range, the lower 33 the place in it; written, so that both uses see the same ranges
+    rows = df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    rows = rows.withColumn("_range", F.shiftright("_at", 33))
+    counts = rows.groupBy("_range").count()
+    before = counts.select("_range", F.coalesce(F.sum("count").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before") + 1
+    return rows.join(F.broadcast(before), "_range").select(*df.columns, place.cast("long").alias(name))
+
+
 def diff(left: DataFrame, right: DataFrame, key: Column | None = None) -> DataFrame:
     """Rows (side, lineno_left, lineno_right, text). Of equal right lines the last is the partner of all equal left ones; the
     others count as right."""

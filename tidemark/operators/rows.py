@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import fields as fl
@@ -138,17 +138,25 @@ def score(df: DataFrame, weights: dict[str, float], threshold: float = 0.0, top:
     return out.orderBy(F.desc("score"), "lineno").limit(top) if top is not None else out
 
 
-def sort_time(df: DataFrame, reverse: bool = False) -> DataFrame:
-    """By time; lines without one come last, by text. Reversed, all of it turns but the order of equals."""
+def time_order(reverse: bool = False) -> list[Column]:
     ts = timestamps.extract(F.col("line"))
     keys = [ts.isNull(), ts, F.when(ts.isNull(), F.col("line"))]
-    return df.orderBy(*(k.desc_nulls_last() if reverse else k.asc_nulls_first() for k in keys), "lineno")
+    return [*(k.desc_nulls_last() if reverse else k.asc_nulls_first() for k in keys), F.col("lineno")]
 
 
-def sort_field(df: DataFrame, name: str, reverse: bool = False, numeric: bool = False) -> DataFrame:
+def sort_time(df: DataFrame, reverse: bool = False) -> DataFrame:
+    """By time; lines without one come last, by text. Reversed, all of it turns but the order of equals."""
+    return df.orderBy(*time_order(reverse))
+
+
+def field_order(name: str, reverse: bool = False, numeric: bool = False) -> list[Column]:
     v = F.coalesce(fl.field(F.col("line"), name), F.lit(""))
     k = v.try_cast("double") if numeric else v
-    return df.orderBy(k.desc_nulls_last() if reverse else k.asc_nulls_first(), "lineno")
+    return [k.desc_nulls_last() if reverse else k.asc_nulls_first(), F.col("lineno")]
+
+
+def sort_field(df: DataFrame, name: str, reverse: bool = False, numeric: bool = False) -> DataFrame:
+    return df.orderBy(*field_order(name, reverse, numeric))
 
 
 def vote_format(df: DataFrame, sample: int = 20) -> DataFrame:

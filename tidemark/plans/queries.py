@@ -240,6 +240,16 @@ def sort_time_reversed(spark, sf):
     return rows.sort_time(log_kv(spark, sf), reverse=True).limit(100).select("lineno")
 
 
+@query("WITH l AS ({kv}) SELECT lineno, row_number() OVER (ORDER BY user_id::VARCHAR, lineno) AS place FROM l")
+def sort_field_whole(spark, sf):
+    return ordered.numbered(log_kv(spark, sf), *rows.field_order("user"), name="place").select("lineno", "place")
+
+
+@query("WITH l AS ({kv}) SELECT lineno, row_number() OVER (ORDER BY date_trunc('second', ts) DESC, lineno) AS place FROM l")
+def sort_time_reversed_whole(spark, sf):
+    return ordered.numbered(log_kv(spark, sf), *rows.time_order(reverse=True), name="place").select("lineno", "place")
+
+
 @query("WITH l AS ({kv}), n AS (SELECT 'f' || user_id % 3 AS file, row_number() OVER (PARTITION BY user_id % 3 ORDER BY lineno) AS lineno, date_trunc('second', ts) AS ets FROM l) SELECT file, lineno, ets, row_number() OVER (ORDER BY ets, lineno, file) AS rank FROM n")
 def merge_sources(spark, sf):
     e = log_kv(spark, sf).withColumn("file", F.concat(F.lit("f"), fields.field(F.col("line"), "user").cast("long") % 3))
@@ -264,6 +274,23 @@ def diff_sources(spark, sf):
     return ordered.diff(part("n % 10 < 3"), part("n % 10 between 2 and 5"), F.col("line"))
 
 
+_WHOLE = "WITH t AS ({text}), a AS (SELECT row_number() OVER (ORDER BY file_id, lineno) AS lineno, line FROM t), b AS (SELECT lineno, regexp_replace(line, '\\d+', '#', 'g') AS line FROM a)"
+
+
+@query(
+    _WHOLE
+    + """, k AS (SELECT line, max(lineno) AS r FROM b GROUP BY line)
+SELECT CASE WHEN k.r IS NULL THEN 'left' ELSE 'both' END AS side, a.lineno AS lineno_left, k.r AS lineno_right, a.line AS text FROM a LEFT JOIN k ON a.line = k.line
+UNION ALL SELECT 'right', NULL, b.lineno, b.line FROM b WHERE b.lineno NOT IN (SELECT r FROM k WHERE line IN (SELECT line FROM a))"""
+)
+def diff_sources_whole(spark, sf):
+    """All lines of all documents against the same lines with their numbers masked."""
+    t = log_text(spark, sf).withColumn("n", F.col("file").cast("long"))
+    left = ordered.numbered(t.select("n", "lineno", "line"), "n", "lineno", name="place").select(F.lit("x").alias("file"), F.col("place").alias("lineno"), "line")
+    right = left.withColumn("line", F.regexp_replace("line", r"\d+", "#"))
+    return ordered.diff(left, right, F.col("line"))
+
+
 def _lines(name: str, column, sql: str, log=log_kv):
     def run(spark, sf):
         return log(spark, sf).select("lineno", column(F.col("line"), F.col("lineno")).alias("out"))
