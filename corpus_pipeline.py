@@ -30,8 +30,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return minhash.keep_one(docs)
+    """One document of each group of near-duplicates, linked from a similarity of 0.8 on."""
+    return minhash.keep_one(docs, per_cent=80)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language ID", language), ("quality classifier", good), ("MinHash near-dedup", distinct), ("mixing sources", mixture), ("BPE encoding", tokens)]
 
-#: SQL can express neither the classifiers nor the draws; tests hold the stages against brute force.
+#: SQL can express neither the classifiers nor the draws; tests/test_pipeline.py holds near-dedup against brute force and checks the others.
 ORACLE_SQL = None
 
 

@@ -13,9 +13,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.llm.graphs import components
 
-#: 90 permutations give 90 minima and 90 maxima: 30 bands of 6. A pair at 0.85 is in no common band with probability 7e-7.
-#: Another 90 sharpen the estimate by which the pairs of a band are screened before their full sets are compared.
-PERMUTATIONS, ROWS, EXTRA = 90, 6, 90
+#: 90 permutations give 90 minima and 90 maxima: at 0.85 30 bands of 6, at 0.80 36 of 5. A pair at the threshold is in no common
+#: band with probability 7e-7 and 6e-7. Another 90 sharpen the estimate by which the pairs of a band are screened before their
+#: full sets are compared.
+PERMUTATIONS, EXTRA, MISSED = 90, 90, 1e-6
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -26,6 +27,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def rows_of_band(per_cent: int, permutations: int) -> int:
+    """The most rows of a band by which a pair at the threshold shares none of the bands with probability ``MISSED`` at most."""
+    fit = [r for r in range(1, permutations + 1) if permutations % r == 0 and (1 - (per_cent / 100) ** r) ** (2 * permutations // r) <= MISSED]
+    return max(fit, default=1)
+
+
 class Shingler:
     """Sets of word shingles as sorted 64-bit hashes. Words are what lies between ASCII white space, with A-Z lower-cased."""
 
@@ -264,7 +271,7 @@ def near_duplicates(
     width: int = 5,
     per_cent: int = 85,
     permutations: int = PERMUTATIONS,
-    rows: int = ROWS,
+    rows: int | None = None,
     extra: int = EXTRA,
     tile_bytes: int = 8 << 20,
 ) -> DataFrame:
@@ -286,6 +293,7 @@ def near_duplicates(
     Rows with a null id link with nothing and keep a null component_id; kept is true. Rows that share an id are one node:
     what one links with, all do. Other columns are not read. Needs a checkpoint directory.
     """
+    rows = rows or rows_of_band(per_cent, permutations)
     kind = df.schema[id_col].dataType
     sketch = T.StructType([T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("print", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))])
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
