@@ -81,6 +81,24 @@ def test_top_products(spark):
     assert topk.top_products(df.limit(0), df).count() == 0 and topk.top_products(df, df.limit(0)).count() == 0
 
 
+def test_ids_repeated_among_the_best(spark):
+    """Both searches return k distinct ids, though one of the best comes more than k times."""
+    r = np.random.default_rng(9)
+    x = r.normal(size=(300, 16)).astype(np.float32)
+    near = x[100] * np.float32(1.5)
+    x[7], x[8] = near, near * np.float32(1.01)
+    rows = [(i, [float(v) for v in row], None) for i, row in enumerate(x)]
+    rows += [(i, [float(v) for v in x[i] * np.float32(1 + 1e-4 * n)], None) for i in (7, 8) for n in range(15)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    asked = df.filter("vec_id % 100 = 0")
+    whole = lambda v: np.floor(1024 * v)
+    want = brute(rows, lambda q, v: int(whole(q) @ whole(v)), True, True)
+    for options in ({}, {"seed_rows": 40, "buckets": 3}):
+        assert {tuple(r) for r in topk.top_products(df, asked, **options).collect()} == want
+    want = brute(rows, lambda q, v: float(np.sqrt(((v - q) ** 2).sum())), False, False)
+    assert {tuple(r) for r in ann.nearest(df, asked).collect()} == want
+
+
 def test_large_components(spark):
     df = spark.createDataFrame([(100, [1e30, -1.0], None), (1, [1e30, 2.0], None), (2, [3e12, 1.0], None), (3, [-1e30, 0.5], None)], SCHEMA)
     got = topk.top_products(df, df.filter("vec_id = 100")).collect()

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_sample
-from tidemark.llm.vectors import best, commonest_size, finite, matrix
+from tidemark.llm.vectors import best, commonest_size, distinct_best, finite, matrix
 
 
 #: The share of the distinct vectors that a query is compared with. Vectors without clusters need as much for a recall of 0.9.
@@ -119,7 +119,7 @@ def nearest(
     ``leaves`` of them. A query visits leaves, nearest first over all trees, until they hold about ``share`` of the distinct
     vectors, and ``least_rows`` of them (or just ``search_k`` if that is given), as far as the sample tells: a row found in
     several trees counts once, and copies of a vector count as one. Queries and rows meet by leaf; crowded leaves are dealt over blocks of about
-    ``block_rows``; each meeting keeps the k nearest. The score is the Euclidean distance in double precision.
+    ``block_rows``; each meeting keeps the k nearest ids. The score is the Euclidean distance in double precision.
 
     Vectors that are null, zero or hold a null or non-finite component take no part, nor do rows with a null id or another
     number of components than most. A row does not find its own id; rows that share an id count once, with the nearest. Ties
@@ -163,13 +163,13 @@ def nearest(
     def meet(key, left: pa.Table, right: pa.Table) -> pa.Table:
         q_ids, ids = left.column("id").to_numpy(), right.column("id").to_numpy()
         q, y = matrix(left.column("v"), d), matrix(right.column("v"), d)
-        out = []
+        out, repeats = [], len(np.unique(ids)) < len(ids)
         for i in range(len(q_ids)) if len(ids) else ():
             diff = y - q[i]
             dist = np.sqrt((diff * diff).sum(axis=1))
             own = ids != q_ids[i]
             dist, other = dist[own], ids[own]
-            near = np.lexsort((other, dist))[:k] if len(dist) <= 4 * k else _first(dist, other, k)
+            near = distinct_best(other, -dist)[:k] if repeats or len(dist) <= 4 * k else _first(dist, other, k)
             out += [(q_ids[i], j, s) for j, s in zip(other[near], dist[near], strict=True)]
         cols = [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())]
         return pa.Table.from_arrays(cols, names=["query_id", "vec_id", "score"])

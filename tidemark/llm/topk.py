@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.vectors import best, commonest_size, finite, matrix
+from tidemark.llm.vectors import best, commonest_size, distinct_best, finite, matrix
 
 #: Bounds are widened by this share, more than their rounding errors.
 _SLACK = 1e-9
@@ -34,6 +34,7 @@ class Bucket:
         order = np.argsort(-norm, kind="stable")
         self.ids, self.x, self.norm = ids[order], x[order], norm[order]
         self.unit = self.x / np.maximum(self.norm, 1e-300)[:, None]
+        self.repeats = len(np.unique(ids)) < len(ids)
         self.sorted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def candidates(self, q: np.ndarray, least: float) -> np.ndarray:
@@ -68,10 +69,10 @@ class Bucket:
         score = products(self.x[at], q)
         reach = score >= least
         score, ids = score[reach], self.ids[at][reach]
-        if len(score) > k:
+        if not self.repeats and len(score) > k:
             near = score >= np.partition(score, len(score) - k)[len(score) - k]
             score, ids = score[near], ids[near]
-        order = np.lexsort((ids, -score))[:k]
+        order = distinct_best(ids, score)[:k]
         return ids[order], score[order]
 
 
@@ -93,7 +94,7 @@ def top_products(
     * Rows are bucketed by length, at quantiles of it; a bucket is dealt over blocks of about ``block_rows``.
     * The ``seed_rows`` longest rows are broadcast, and a query's k-th best product with them is its threshold.
     * A query goes to the buckets whose longest row can reach the threshold. There, coordinate or length pruning leaves
-      candidates, whose products are computed in whole numbers; up to k a block remain, and the best k of all are returned.
+      candidates, whose products are computed in whole numbers; up to k ids a block remain, each with its best row, and the best k of all are returned.
     * Queries are dealt over blocks of about ``block_queries``, so that no task holds them all.
 
     Vectors that are null or hold a null or non-finite component take no part, nor do rows with a null id or another number of
@@ -124,11 +125,15 @@ def top_products(
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seed_ids, seed, places = shared.value
+        repeats = len(np.unique(seed_ids)) < len(seed_ids)
         for batch in batches:
             q, ids = matrix(batch.column(1), d), batch.column(0).to_numpy()
             at, to, least = [], [], []
             for i in range(len(ids)):
-                score = products(seed[seed_ids != ids[i]], q[i])
+                other = seed_ids != ids[i]
+                score = products(seed[other], q[i])
+                if repeats:
+                    score = score[distinct_best(seed_ids[other], score)]
                 bound = float(np.partition(score, len(score) - k)[len(score) - k]) if len(score) >= k else float(_LONG[0])
                 length = float(np.sqrt((q[i] * q[i]).sum()))
                 for b, longest, n in places:

@@ -29,6 +29,13 @@ def matrix(column: pa.ChunkedArray | pa.Array, d: int) -> np.ndarray:
     return np.concatenate(flat).astype(np.float64).reshape(-1, d) if flat else np.zeros((0, d))
 
 
+def distinct_best(ids: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Positions of the highest score of each id, in order of score, highest first; ties go to the smaller id."""
+    order = np.lexsort((ids, -score))
+    first = np.unique(ids[order], return_index=True)[1]
+    return order[np.sort(first)]
+
+
 def best(found: DataFrame, k: int, score_order: Column) -> DataFrame:
     """The k best rows (query_id, rank, vec_id, score) of each query; ties go to the smaller vec_id."""
     order = W.partitionBy("query_id").orderBy(score_order, "vec_id")
