@@ -8,7 +8,7 @@ from tidemark.functions import fields, levels, text, timestamps
 from tidemark.functions.regex import to_java
 from tidemark.operators import ordered, rows
 from tidemark.sources import logs
-from tidemark.streaming.follow import follow
+from tidemark.streaming.follow import FollowSource, follow
 
 
 def log(spark, *lines, file="a"):
@@ -161,3 +161,19 @@ def test_whole_queries_return_every_line(spark):
     lines = spark.read.parquet(f"{sf}/documents.parquet").select(F.explode(F.split("text", "\n"))).count()
     diff = found["diff_sources_whole"](spark, sf)
     assert diff.filter("lineno_left is not null").count() == lines and diff.filter("side <> 'left'").select("lineno_right").distinct().count() == lines
+
+
+def test_follow_reads_a_line_longer_than_a_batch(tmp_path):
+    path = tmp_path / "long.log"
+    path.write_bytes(b"a\n" + b"x" * 95 + b"\nb\n" + b"y" * 50)
+    reader = FollowSource({"path": str(path), "fromStart": "true", "maxBytes": "10"}).simpleStreamReader(None)
+    at, lines = reader.initialOffset(), []
+    for _ in range(8):
+        rows, end = reader.read(at)
+        got = list(rows)
+        assert got == list(reader.readBetweenOffsets(at, end))
+        lines, at = lines + [r[2] for r in got], end
+    assert lines == ["a", "x" * 95, "b"] and at == {"at": 100}
+    with path.open("ab") as f:
+        f.write(b"\n")
+    assert [r[2] for r in reader.read(at)[0]] == ["y" * 50]

@@ -38,6 +38,11 @@ class _Reader(SimpleDataSourceStreamReader):
         with open(self.path, "rb") as f:
             f.seek(at)
             data = f.read(until - at)
+            if data and b"\n" not in data:  # a line longer than a batch is read to its end
+                parts = [data]
+                while (part := f.read(self.most)) and b"\n" not in part:
+                    parts.append(part)
+                data = b"".join([*parts, part[: part.find(b"\n") + 1]])
         end = data.rfind(b"\n") + 1
         rows, pos = [], at
         for line in data[:end].split(b"\n")[:-1]:
@@ -47,7 +52,7 @@ class _Reader(SimpleDataSourceStreamReader):
 
 
 class FollowSource(DataSource):
-    """Rows (file, offset, line). Options: path, fromStart (false), maxBytes of a batch."""
+    """Rows (file, offset, line). Options: path, fromStart (false), maxBytes of a batch (more for a longer line)."""
 
     @classmethod
     def name(cls) -> str:
