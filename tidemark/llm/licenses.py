@@ -44,16 +44,21 @@ class Match:
 class Index:
     """Templates by their winnowed fingerprints: of every ``window`` consecutive ``gram``-word hashes the least is kept.
 
-    A passage that shares gram + window - 1 words in a row with a template shares a fingerprint with it.
+    A passage that shares gram + window - 1 words in a row with a template shares a fingerprint with it. Templates of up to
+    ``short`` words have no fingerprints: wherever enough of their words lie close together, each word shared is an anchor.
     """
 
-    def __init__(self, templates: Mapping[str, str], gram: int = 3, window: int = 3, band: int = 8):
-        self.gram, self.window, self.band = gram, window, band
+    def __init__(self, templates: Mapping[str, str], gram: int = 3, window: int = 3, band: int = 8, short: int = 16):
+        self.gram, self.window, self.band, self.short = gram, window, band, short
         split = {name: _WORD.findall(text.encode().lower()) for name, text in templates.items()}
         self.words = {w: i for i, w in enumerate(sorted({w for ws in split.values() for w in ws}), 1)}
         self.templates = {name: np.array([self.words[w] for w in ws], np.int64) for name, ws in split.items() if ws}
         self.inverted: dict[int, list[tuple[str, int]]] = {}
+        self.members: dict[str, np.ndarray] = {}  # of each short template, whether a word is one of its own
         for name, ids in self.templates.items():
+            if len(ids) <= short:
+                self.members[name] = np.isin(np.arange(len(self.words) + 1), ids)
+                continue
             hashes = self._grams(ids)
             for at in self._winnow(hashes):
                 self.inverted.setdefault(int(hashes[at]), []).append((name, int(at)))
@@ -86,7 +91,7 @@ class Index:
 
     def find(self, ids: np.ndarray, least: float) -> list[Match]:
         """Matches that cover at least ``least`` of a template's words, in page order; of matches within each other the longer."""
-        if (ids > 0).sum() < self.gram:
+        if not (ids > 0).any():
             return []
         hashes = self._grams(ids)
         anchors: dict[str, list[int]] = {}
@@ -94,6 +99,10 @@ class Index:
             for name, start in self.inverted.get(int(hashes[at]), ()):
                 anchors.setdefault(name, []).append(int(at) - start)
         found = [m for name, starts in anchors.items() for m in self._aligned(name, sorted(starts), ids) if m.coverage >= least]
+        for name in self.members:
+            band = self._width(name)
+            aligned = (self._align(name, self.templates[name], ids, start, band) for start in self._close(name, ids, least))
+            found += [m for m in dict.fromkeys(aligned) if m is not None and m.coverage >= least]
         found.sort(key=lambda m: (-m.matched, m.first_word, m.license))
         kept: list[Match] = []
         for m in found:
@@ -101,9 +110,24 @@ class Index:
                 kept.append(m)
         return sorted(kept, key=lambda m: (m.first_word, m.license))
 
+    def _width(self, name: str) -> int:
+        return min(self.band, len(self.templates[name]) // 4)
+
+    def _close(self, name: str, ids: np.ndarray, least: float) -> list[int]:
+        """Diagonals of all words shared with a short template where a stretch as long as a match may be holds enough of them."""
+        template = self.templates[name]
+        own = self.members[name][ids]
+        enough, reach = max(1, int(np.ceil(least * len(template) - 1e-9))), len(template) + 2 * self._width(name)
+        at = np.flatnonzero(own)
+        if len(at) < enough:
+            return []
+        tight = np.flatnonzero(at[enough - 1 :] - at[: len(at) - enough + 1] < reach)
+        near = np.unique((tight[:, None] + np.arange(enough)).ravel())
+        return sorted({int(p) - i for p in at[near] for i in np.flatnonzero(template == ids[p]).tolist()})
+
     def _aligned(self, name: str, starts: list[int], ids: np.ndarray) -> Iterator[Match]:
         template, done = self.templates[name], -(10**9)
-        band = min(self.band, len(template) // 4)
+        band = self._width(name)
         for start in starts:
             if start - done > band:  # anchors of nearly one diagonal are one alignment
                 done = start
