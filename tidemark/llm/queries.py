@@ -58,9 +58,8 @@ def bpe_digests(coded: DataFrame) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = mixing.sized(table(spark, sf_dir, "documents"))
-    got = mixing.taken_words(docs, mixing.mix(docs, weights=(5, 2, 1), share=1.5, most=2.0))
-    return got.withColumnRenamed("id", "doc_id")
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
+    return mixing.taken_words(mixed).withColumnRenamed("id", "doc_id")
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
