@@ -95,10 +95,12 @@ def top_products(
     * The ``seed_rows`` longest rows are broadcast, and a query's k-th best product with them is its threshold.
     * A query goes to the buckets whose longest row can reach the threshold. There, coordinate or length pruning leaves
       candidates, whose products are computed in whole numbers; up to k ids a block remain, each with its best row, and the best k of all are returned.
-    * Queries are dealt over blocks of about ``block_queries``, so that no task holds them all.
+    * Queries are dealt over groups of about ``block_queries``, in order of the length that their thresholds ask for: a block of rows
+      goes only to the groups that it can serve, and no task holds all queries.
 
     Vectors that are null or hold a null or non-finite component take no part, nor do rows with a null id or another number of
     components than most. A row does not find its own id; ties go to the smaller id; of rows that share an id the best counts.
+    Without rows or queries the result is empty; other columns are not read. Needs a checkpoint directory.
     """
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
 
@@ -118,32 +120,50 @@ def top_products(
     stats = {r.bucket: (r.n, r.longest) for r in placed.groupBy("bucket").agg(F.count("*").alias("n"), F.max("norm").alias("longest")).collect()}
     blocks = {b: ceil(n / block_rows) for b, (n, _) in stats.items()}
     seeds = rows.orderBy(F.desc("norm"), "id").limit(seed_rows).collect()
-    groups = max(1, ceil(asked.count() / block_queries))
-    shared = df.sparkSession.sparkContext.broadcast((np.array([s.id for s in seeds], np.int64), np.array([s.v for s in seeds], np.float64).reshape(-1, d), sorted((b, stats[b][1], blocks[b]) for b in stats)))
-    spans = F.create_map(*(F.lit(x) for b, n in blocks.items() for x in (b, n))) if blocks else F.create_map(F.lit(0), F.lit(1))
-    dealt = placed.withColumn("block", F.pmod(F.xxhash64("id"), spans[F.col("bucket")]).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast((np.array([s.id for s in seeds], np.int64), np.array([s.v for s in seeds], np.float64).reshape(-1, d)))
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seed_ids, seed, places = shared.value
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query's threshold, and the length that a row must have to reach it."""
+        seed_ids, seed = shared.value
         repeats = len(np.unique(seed_ids)) < len(seed_ids)
         for batch in batches:
-            q, ids = matrix(batch.column(1), d), batch.column(0).to_numpy()
-            at, to, least = [], [], []
+            q, ids, least, reach = matrix(batch.column(1), d), batch.column(0).to_numpy(), [], []
             for i in range(len(ids)):
                 other = seed_ids != ids[i]
                 score = products(seed[other], q[i])
                 if repeats:
                     score = score[distinct_best(seed_ids[other], score)]
-                bound = float(np.partition(score, len(score) - k)[len(score) - k]) if len(score) >= k else float(_LONG[0])
+                least.append(float(np.partition(score, len(score) - k)[len(score) - k]) if len(score) >= k else float(_LONG[0]))
                 length = float(np.sqrt((q[i] * q[i]).sum()))
-                for b, longest, n in places:
-                    if bound <= length * longest * (1 + _SLACK):
-                        to += [(b, j) for j in range(n)]
-                        at += [i] * n
-                        least += [bound] * n
-            take = pa.array(at, pa.int32())
-            cols = [pa.array([t[c] for t in to], pa.int32()) for c in (0, 1)] + [batch.column(2).take(take), batch.column(0).take(take), batch.column(1).take(take), pa.array(least, pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, names=["bucket", "block", "group", "id", "v", "least"])
+                reach.append(least[-1] / length * (1 - _SLACK) if least[-1] > 0 and length > 0 else 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.float64()), pa.array(reach, pa.float64())], names=["id", "v", "least", "reach"])
+
+    bounded = asked.select("id", "v").mapInArrow(bound, "id long, v array<double>, least double, reach double").checkpoint()
+    groups = ceil(bounded.count() / block_queries)
+    steps = sorted(set(bounded.approxQuantile("reach", [i / groups for i in range(1, groups)], 0.01))) if groups > 1 else []
+    stepped = bounded.withColumn("step", F.size(F.filter(F.array(*map(F.lit, steps)).cast("array<double>"), lambda e: e <= F.col("reach"))))
+    found_steps = stepped.groupBy("step").agg(F.count("*").alias("n"), F.min("reach").alias("reach")).orderBy("step").collect()
+    # a step of many equal thresholds is cut by a hash; groups are numbered in order of the length they ask for
+    first, n_groups, reaches = {}, 0, []
+    for r in found_steps:
+        first[r.step] = (n_groups, ceil(r.n / (2 * block_queries)))
+        n_groups += first[r.step][1]
+        reaches += [r.reach] * first[r.step][1]
+    serves = {b: sum(x <= longest for x in reaches) for b, (_, longest) in stats.items()}
+
+    def number(of: dict, at: F.Column) -> F.Column:
+        return F.create_map(*(F.lit(x) for kv in of.items() for x in kv))[at] if of else F.lit(1)
+
+    bucket, step = F.col("bucket"), F.col("step")
+    dealt = placed.filter(number(serves, bucket) > 0).withColumn("block", F.pmod(F.xxhash64("id", "v"), number(blocks, bucket)).cast("int"))
+    dealt = dealt.withColumn("group", F.explode(F.sequence(F.lit(0), number(serves, bucket) - 1)))
+    within = F.pmod(F.xxhash64("id", "v", F.lit(1)), number({s: n for s, (_, n) in first.items()}, step))
+    asked = stepped.withColumn("group", (number({s: at for s, (at, _) in first.items()}, step) + within).cast("int"))
+    shape = "array<struct<bucket:int,longest:double,blocks:int>>"
+    all_buckets = F.array(*(F.struct(F.lit(b), F.lit(longest), F.lit(blocks[b])) for b, (_, longest) in stats.items())).cast(shape)
+    sent = asked.withColumn("at", F.explode(F.filter(all_buckets, lambda b: b["longest"] >= F.col("reach"))))
+    sent = sent.select("at.bucket", F.explode(F.sequence(F.lit(0), F.col("at.blocks") - 1)).alias("block"), "group", "id", "v", "least")
 
     def meet(key, left: pa.Table, right: pa.Table) -> pa.Table:
         q_ids, least = left.column("id").to_numpy(), left.column("least").to_numpy()
@@ -154,8 +174,6 @@ def top_products(
         cols = [np.concatenate([empty, *(np.full(len(f[1]), f[0]) for f in found)]), np.concatenate([empty, *(f[1] for f in found)]), np.concatenate([empty, *(f[2] for f in found)])]
         return pa.Table.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["query_id", "vec_id", "score"])
 
-    asked = asked.withColumn("group", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).cast("int"))
-    sent = asked.select("id", "v", "group").mapInArrow(send, "bucket int, block int, group int, id long, v array<double>, least double")
     key = ("bucket", "block", "group")
     found = sent.groupBy(*key).cogroup(dealt.select(*key, "id", "v").groupBy(*key)).applyInArrow(meet, "query_id long, vec_id long, score long")
     return best(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k, F.desc("score"))
