@@ -69,3 +69,51 @@ def test_scores_are_ratios_of_gaussian_densities():
         dens.append(np.log((y == c).mean()) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d))
     want = 1 / (1 + np.exp(-(dens[1] - dens[0]) / m.temperature))
     assert np.allclose(m.scores(x), want, atol=1e-6)
+
+
+def test_languages_of_long_or_few_texts_are_learned(spark):
+    r = random.Random(8)
+    text = lambda lang, n: " ".join(r.choice(WORDS[lang]) for _ in range(n))
+    rows = [(i, text("xx", 30), "xx", None) for i in range(900)] + [(2000 + i, "12 " * 9000 + text("yy", 9000), "yy", None) for i in range(3)] + [(3000 + i, text("zz", 20), "zz", None) for i in range(4)]
+    model = langid.fit(spark.createDataFrame(rows, DOCS), sample_rows=90, sample_chars=5000)
+    assert model.langs == ("xx", "yy", "zz")
+    assert [model.predict(text(lang, 40))[0] for lang in model.langs] == list(model.langs)
+
+
+def test_prediction_equals_brute_force(spark):
+    """Byte n-grams one by one, their hashes in whole numbers, embeddings summed: the same language and score."""
+    model = langid.fit(spark.createDataFrame(documents(120), DOCS))
+    texts = [t for _, t, _, _ in documents(20, 3)] + ["Über 12 ñ!", "a", "é" * 50]
+    for text in texts:
+        data = b" " + bytes(c if chr(c).isalpha() or c > 127 else 32 for c in text.encode().lower()) + b" "
+        total, n = np.zeros(len(model.langs)), 0
+        for size in langid.ORDERS:
+            for at in range(len(data) - size + 1):
+                h = 0
+                for k in range(1, size + 1):
+                    h = (h * 0x01000193 + data[at + k - 1] + k) % 2**32
+                total += model.table[(h * 0x9E3779B1) % 2**32 >> (32 - model.bits)]
+                n += 1
+        z = (total / n + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        lang, score = model.predict(text)
+        assert lang == model.langs[int(p.argmax())] and abs(score - p.max()) < 1e-4
+
+
+def test_bounded_samples(spark):
+    from tidemark.llm.common import bounded_sample
+
+    same = spark.range(20_000).selectExpr("7L as id", "'x' as lang")
+    rows, n = bounded_sample(same, ["id"], 100)
+    assert n == 1 and [r.id for r in rows.collect()] == [7]
+    few = spark.range(20_000).selectExpr("if(id % 3 = 0, null, id % 50) as id", "'x' as lang")
+    assert bounded_sample(few, ["id"], 100)[0].count() == 51
+    many = spark.range(20_000).selectExpr("id", "if(id < 5, 'rare', if(id % 2 = 0, 'a', null)) as lang")
+    rows, n = bounded_sample(many, ["id"], 600)
+    assert abs(n - 20_000) < 800 and 500 < rows.count() < 700
+    by = {r["lang"]: r["count"] for r in bounded_sample(many, ["id", "lang"], 600, by="lang")[0].groupBy("lang").count().collect()}
+    assert by["rare"] == 5 and 140 < by["a"] < 260 and 140 < by[None] < 260
+    assert bounded_sample(many.limit(0), ["id"], 5)[0].count() == bounded_sample(many.limit(0), ["id"], 5, by="lang")[0].count() == 0
+    hot = spark.createDataFrame([(1, "a text %d." % i, None, None) for i in range(500)] + [(2, "BUY!!", None, None), (3, "a b.", None, None), (4, "$$", None, None)], DOCS)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0)], "doc_id long, quality int")
+    assert quality.fit(hot, labels) is not None

@@ -15,15 +15,27 @@ def id_remainder(col: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.col(col).cast("string")), F.lit(modulus))
 
 
-def bounded_sample(df: DataFrame, key: str, limit: int, seed: int = 11) -> DataFrame:
-    """About ``limit`` rows of ``df`` at most, chosen by a hash of ``key`` and so the same in every run.
+def bounded_sample(df: DataFrame, keys: list[str], limit: int, *, by: str | None = None, seed: int = 11) -> tuple[DataFrame, int]:
+    """Up to about ``limit`` rows of ``df`` that differ in ``keys``, and about how many such rows there are.
 
-    The rows are counted first (a scan of the key alone) and the hash threshold follows from the count, so no sort or
-    shuffle of whole rows is needed. The hash is near uniform: the result exceeds ``limit`` by chance alone, and by a few
-    per cent at most; below ``limit`` rows all are kept.
+    Rows are chosen by a hash of the keys, so the same in every run; of rows that agree in them one stays, and copies are
+    combined before the shuffle. The number of distinct rows is estimated first (a scan of the keys, within one per cent), the
+    hash threshold follows from it, so repeated or null keys neither crowd the sample nor empty it: it exceeds ``limit`` by
+    chance alone, by a few per cent. Up to ``limit`` distinct rows all are kept. Needs no sort.
+
+    With ``by``, each value of that column has an equal part of the limit, one row at least: rare values are drawn as well. Of more
+    than ``limit`` values the commonest are drawn.
     """
-    n = df.count()
-    if n <= limit:
-        return df
-    buckets = 1 << 30
-    return df.filter(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(buckets)) < int(buckets * (limit / n)))
+    hashed, buckets = F.xxhash64(*keys, F.lit(seed)), 1 << 30
+    place = F.pmod(hashed, F.lit(buckets))
+    if by is None:
+        n = df.agg(F.approx_count_distinct(hashed, 0.01)).first()[0]
+        some = df if n <= limit else df.filter(place < int(buckets * (limit / n)))
+        return some.dropDuplicates(keys), n
+    per = df.groupBy(by).agg(F.approx_count_distinct(hashed, 0.02).alias("n")).orderBy(F.desc("n"), by).limit(limit).collect()
+    if not per:
+        return df.limit(0), 0
+    part = -(-limit // len(per))
+    least = df.sparkSession.createDataFrame([(r[0], buckets if r.n <= part else max(1, int(buckets * (part / r.n)))) for r in per], f"_by {df.schema[by].dataType.simpleString()}, _most long")
+    some = df.join(F.broadcast(least), F.col(by).eqNullSafe(F.col("_by"))).filter(place < F.col("_most"))
+    return some.select(*df.columns).dropDuplicates(keys), sum(r.n for r in per)

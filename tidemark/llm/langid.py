@@ -73,10 +73,19 @@ def _snippets(text: str, r: np.random.Generator, n: int) -> list[str]:
     return out
 
 
+def _ranks(values: list[str]) -> list[int]:
+    """For each value, how many equal ones come before it."""
+    seen: dict[str, int] = {}
+    out = []
+    for v in values:
+        out.append(seen.get(v, 0))
+        seen[v] = out[-1] + 1
+    return out
+
+
 def fit(
     df: DataFrame,
     *,
-    id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
     sample_rows: int = 3000,
@@ -86,22 +95,32 @@ def fit(
     epochs: int = 4,
     seed: int = 7,
 ) -> LanguageModel | None:
-    """Trains on at most about ``sample_rows`` labelled rows, drawn by a hash of the id; rows longer than ``sample_chars`` or
-    without a letter are not drawn. That bound keeps the driver's share flat. Rows with a null text or language are left out;
-    without any labelled row there is no model.
+    """Trains on at most about ``sample_rows`` different labelled texts, drawn by a hash in equal parts for each language, and of
+    texts longer than ``sample_chars`` on a passage of so many characters from a place that the hash tells. That bounds what comes
+    to the driver, and neither rare languages nor such that have only long texts are left out.
+
+    Rows with a null language, a null text or one without a letter teach nothing; without any other there is no model. Copies
+    count once. Other columns are not read.
 
     Embeddings and softmax are trained together by stochastic gradient descent; a fifth of the rows is kept back, from which
     the temperature of the scores and the rejection threshold are set: a right answer falls below it once in a thousand times.
     """
-    labelled = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.char_length(text_col) <= sample_chars))
-    rows = bounded_sample(labelled.select(id_col, text_col, lang_col), id_col, sample_rows).orderBy(F.xxhash64(id_col), text_col, lang_col).collect()
-    rows = [(r[1], r[2]) for r in rows if has_letter(r[1])]
+    text, length = F.col(text_col), F.char_length(text_col)
+    place = F.pmod(F.xxhash64(text), F.greatest(length - sample_chars + 1, F.lit(1))).cast("int") + 1
+    passage = F.substring(text, place, F.lit(sample_chars))
+    # a passage without letters gives way to the one that starts at the first letter
+    passage = F.when(passage.rlike(r"\p{L}"), passage).otherwise(F.substring(F.regexp_replace(text, r"^\P{L}+", ""), 1, sample_chars))
+    labelled = df.filter(F.col(lang_col).isNotNull() & text.rlike(r"\p{L}")).select(F.when(length > sample_chars, passage).otherwise(text).alias("text"), F.col(lang_col).alias("lang"))
+    rows = bounded_sample(labelled, ["text", "lang"], sample_rows, by="lang")[0].orderBy(F.xxhash64("text"), "text", "lang").collect()
+    rows = [(r[0], r[1]) for r in rows if has_letter(r[0])]
     if not rows:
         return None
     r = np.random.default_rng(seed)
     langs = tuple(sorted({x[1] for x in rows}))
-    kept = rows[::5] if len(rows) >= 50 else rows
-    train = [x for i, x in enumerate(rows) if i % 5] if len(rows) >= 50 else rows
+    # a fifth of each language's rows is kept back, as far as it has so many
+    number = _ranks([x[1] for x in rows])
+    kept = [x for x, n in zip(rows, number, strict=True) if n % 5 == 4] if len(rows) >= 50 else rows
+    train = [x for x, n in zip(rows, number, strict=True) if n % 5 != 4] if len(rows) >= 50 else rows
     docs = [(_sparse(s, bits), langs.index(lang)) for text, lang in train for s in _snippets(text, r, 4) if has_letter(s)]
     emb = r.normal(0, 0.1, (1 << bits, dim)).astype(np.float32)
     w, b = np.zeros((dim, len(langs)), np.float32), np.zeros(len(langs), np.float32)
@@ -116,7 +135,7 @@ def fit(
             w -= rate * np.outer(mean, g)
             b -= rate * g
             emb[idx] -= rate * len(idx) ** 0.5 * weight[:, None] * back[None, :]
-    table = emb @ w
+    table, kept = emb @ w, kept or rows
     model = LanguageModel(langs, table, b, 1.0, 0.0, bits)
     checks = [(model.logits(bag(s, bits)), langs.index(lang)) for text, lang in kept for s in _snippets(text, r, 1) if has_letter(s)]
     z, y = np.array([c[0] for c in checks]), np.array([c[1] for c in checks])

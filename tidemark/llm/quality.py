@@ -103,16 +103,14 @@ def fit(
     """Trains on at most about ``sample_rows`` labelled rows, drawn by a hash of the id, whole texts each.
 
     Only the drawn ids are broadcast and only their statistics (20 numbers a row) come to the driver. Labels that are
-    null or neither 0 nor 1 are left out, null texts count as empty. There is no model unless both classes have two rows.
+    null or neither 0 nor 1 are left out, null texts count as empty. Of rows that share an id one is learned from, chosen by a
+    hash of its text, so a repeated id does not crowd the sample. There is no model unless both classes have two rows.
     """
-    drawn = bounded_sample(labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")), "_id", sample_rows)
+    known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
+    drawn, _ = bounded_sample(known, ["_id", "_label"], sample_rows)
     stats = _statistics_udf()
-    rows = (
-        df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-        .join(F.broadcast(drawn), "_id")
-        .select("_id", "_label", stats("_text").alias("x"))
-        .collect()
-    )
+    texts = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(drawn), "_id")
+    rows = texts.groupBy("_id", "_label").agg(F.min_by("_text", F.struct(F.xxhash64("_text"), "_text")).alias("_text")).select("_id", "_label", stats("_text").alias("x")).collect()
     rows.sort(key=lambda r: (r[0], r[1], r[2]))
     y = np.array([r[1] for r in rows])
     if min((y == 0).sum(), (y == 1).sum()) < 2:
