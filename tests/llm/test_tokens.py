@@ -32,6 +32,24 @@ def test_counts_equal_the_library(spark, library):
     assert token_counts.count_tokens(rows(spark).limit(0)).count() == 0
 
 
+def test_the_first_tier_holds_lengths_of_frequent_pre_tokens(spark, library):
+    words = ["ththandheed", " zqzqzqzqzq", " the"]  # of several tokens, and of one
+    df = spark.createDataFrame([(i, w * 9 + f" rare{i}") for i in range(40) for w in words[1:]], "doc_id long, text string")
+    table = token_counts.frequent_lengths(df, "text", PATH, size=2, sample_rows=1000, sample_chars=100)
+    assert table == {w: len(library.encode(w, add_special_tokens=False).ids) for w in words[1:]} and table[words[1]] > 1
+    counted = {(r.doc_id, r.n_tokens) for r in token_counts.count_tokens(df, table_size=2).collect()}
+    assert counted == {(r.doc_id, len(library.encode(r.text, add_special_tokens=False).ids)) for r in df.collect()}
+
+
+def test_lengths_stay_with_the_worker():
+    one = token_counts.worker_lengths("k1", PATH, lambda: {" the": 1}, 10)
+    assert one[" the"] == 1 and one[" zqzqzq"] == len(pieces.coder(PATH).ids(" zqzqzq"))
+    assert token_counts.worker_lengths("k1", PATH, None, 10) is one
+    for i in range(40):
+        assert one[f"x{i}"] == len(pieces.coder(PATH).ids(f"x{i}")) and len(one) <= 11
+    assert token_counts.worker_lengths("k2", PATH, dict, 10) is not one
+
+
 @pytest.mark.parametrize("part_chars", [5, 64, 32_768])
 def test_encoding_in_parts_equals_the_library(spark, library, part_chars):
     got = {(r[0], tuple(r[1]), r[2]) for r in bpe.encode(rows(spark), part_chars=part_chars).collect()}
@@ -41,6 +59,7 @@ def test_encoding_in_parts_equals_the_library(spark, library, part_chars):
         want.add((i, tuple(ids), library.decode(ids, skip_special_tokens=False)))
     assert got == want
     assert bpe.encode(rows(spark), part_chars=part_chars).count() == len(TEXTS) + 2
+    assert bpe.encode(rows(spark).limit(0), part_chars=part_chars).count() == 0
 
 
 def test_joins_of_random_texts(library):
@@ -52,8 +71,10 @@ def test_joins_of_random_texts(library):
         cuts = sorted(r.randint(0, len(text)) for _ in range(n - 1))
         parts = [pieces.Encoded.of(c, text[a:b]) for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
         whole = pieces.join_tree(c, parts)
-        assert [i for p in whole.ids for i in p] == library.encode(text, add_special_tokens=False).ids
-        assert whole.text == text == "".join(c.split(text))
+        assert whole.ids.tolist() == library.encode(text, add_special_tokens=False).ids
+        assert "".join(run[0] for run in whole.runs) == text == "".join(c.split(text))
+        for run, ends, cuts, ids in whole.runs:
+            assert len(run) == ends[-1] and len(ids) == cuts[-1] and len(ends) == len(cuts)
 
 
 def test_unsplit_joins(library):

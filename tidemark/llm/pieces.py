@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from array import array
 from functools import lru_cache
 
+import numpy as np
+
 #: The splitting rule of byte-level BPE, for the characters that COMMON lists.
 _PIECE = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Characters that Python's character classes and the library's put in the same class. Any other sends a text to the library's own splitter.
@@ -24,13 +26,33 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class _Cache(dict):
+    """Token ids of the pieces met, as the bytes of int32, encoded when first asked for; it starts anew when it holds ``most``.
+
+    Bytes are smaller than tuples and no work for the garbage collector, which would walk a large cache again and again.
+    """
+
+    def __init__(self, coder: PieceCoder, most: int):
+        super().__init__()
+        self.coder, self.most = coder, most
+
+    def __missing__(self, piece: str) -> bytes:
+        special = self.coder.special.get(piece)
+        got = array("i", self.coder.raw(piece.encode()) if special is None else (special,)).tobytes()
+        if len(piece) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[piece] = got
+        return got
+
+
 class PieceCoder:
     """Encodes single pre-tokens of one tokenizer file and keeps the results in a bounded cache.
 
     ``cache_size`` bounds the cache: when full, it starts anew, so memory stays flat however many distinct words come.
     """
 
-    def __init__(self, path: str, cache_size: int = 100_000):
+    def __init__(self, path: str, cache_size: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -47,8 +69,9 @@ class PieceCoder:
         self.token_bytes = [b""] * size
         for token, i in self.tok.get_vocab(with_added_tokens=True).items():
             self.token_bytes[i] = token.encode() if token in self.special else bytes(back[c] for c in token)
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.cache_size = cache_size
+        self.cache = _Cache(self, cache_size)
+        #: Token ids of one piece, as the bytes of int32.
+        self.packed = self.cache.__getitem__
 
     def split(self, text: str) -> list[str]:
         """The pre-tokens of ``text``, in order; special strings are pieces of their own. Joined, they give ``text``."""
@@ -66,16 +89,9 @@ class PieceCoder:
         """Token ids of bytes that are not split any further."""
         return tuple(t.id for t in self.model.tokenize(data.decode("latin-1").translate(self._shown)))
 
-    def ids(self, piece: str) -> tuple[int, ...]:
-        """Token ids of one piece."""
-        got = self.cache.get(piece)
-        if got is None:
-            got = (self.special[piece],) if piece in self.special else self.raw(piece.encode())
-            if len(self.cache) >= self.cache_size:
-                self.cache.clear()
-            if len(piece) <= 64:
-                self.cache[piece] = got
-        return got
+    def ids(self, text: str) -> np.ndarray:
+        """Token ids of a text."""
+        return np.frombuffer(b"".join(map(self.packed, self.split(text))), np.int32)
 
     def decode(self, ids) -> str:
         """The bytes of the tokens as text; bytes that are not UTF-8 become U+FFFD, as the library does."""
@@ -112,70 +128,115 @@ def _char_spans(pairs) -> list[tuple[int, int]]:
 
 
 class Encoded:
-    """A text with the ends of its pieces (in characters) and the token ids of each piece."""
+    """A text in runs, each with the ends of its pieces (in characters), the ends of their tokens, and the token ids, as arrays.
+
+    Joining two texts replaces the pieces around the join by a new run and keeps views of the others, so it costs what the window
+    costs, however long the texts are.
+    """
 
-    __slots__ = ("text", "ends", "ids")
+    __slots__ = ("runs",)
 
-    def __init__(self, text: str, ends: list[int], ids: list[tuple[int, ...]]):
-        self.text, self.ends, self.ids = text, ends, ids
+    def __init__(self, runs: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]):
+        self.runs = runs
 
     @classmethod
     def of(cls, coder: PieceCoder, text: str) -> Encoded:
-        pieces, ends, at = coder.split(text), [], 0
-        for p in pieces:
-            at += len(p)
-            ends.append(at)
-        return cls(text, ends, [coder.ids(p) for p in pieces])
+        return cls([_run(text, pieces := coder.split(text), list(map(coder.packed, pieces)))] if text else [])
+
+    @property
+    def ids(self) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int32), *(r[3] for r in self.runs)])
+
+
+def _run(text: str, pieces: list[str], packed: list[bytes]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    ends, cuts = (np.cumsum(np.fromiter(map(len, x), np.int64, len(x))) for x in (pieces, packed))
+    return text, ends.astype(np.int32), (cuts // 4).astype(np.int32), np.frombuffer(b"".join(packed), np.int32)
+
+
+def _cut(run: tuple, n: int) -> tuple[tuple, tuple]:
+    """A run before and from its ``n``-th piece on."""
+    text, ends, cuts, ids = run
+    at, token = (int(ends[n - 1]), int(cuts[n - 1])) if n else (0, 0)
+    return (text[:at], ends[:n], cuts[:n], ids[:token]), (text[at:], ends[n:] - at, cuts[n:] - token, ids[token:])
+
+
+def _tail(runs: list, chars: int) -> tuple[list, list]:
+    """The runs before, and those that hold the last pieces, of ``chars`` characters or more, and one piece at least."""
+    keep, last = list(runs), []
+    while keep and sum(len(r[0]) for r in last) < chars:
+        run = keep.pop()
+        start = len(run[0]) - (chars - sum(len(r[0]) for r in last))
+        a, b = _cut(run, int(np.searchsorted(run[1], start, side="right")) if start > 0 else 0)
+        last.insert(0, b)
+        if len(a[1]):
+            keep.append(a)
+    return keep, last
 
 
 def join(coder: PieceCoder, left: Encoded, right: Encoded, window: int = 64) -> Encoded:
-    """The encoding of left.text + right.text.
+    """The encoding of the text of ``left`` followed by that of ``right``.
 
-    Pieces of the left side that end well before the cut stay as they are, since the splitting rule looks ahead only a few
+    Pieces of the left side that end well before the join stay as they are, since the splitting rule looks ahead only a few
     characters. From the last of them on, a window is split anew; it grows to the right until one of its boundaries past
-    the cut is a boundary of the right side too, from where both sides agree. A piece longer than the window that reaches
-    across the cut is joined token by token.
+    the join is a boundary of the right side too, from where both sides agree. A long piece that is the last of the left and the
+    first of the right is joined token by token.
     """
-    if not left.text or not right.text:
-        return right if not left.text else left
-    cut = len(left.text)
-    keep = bisect_right(left.ends, cut - max(window, LOOKAHEAD))
-    start = left.ends[keep - 1] if keep else 0
+    if not left.runs or not right.runs:
+        return left if left.runs else right
+    keep, last = _tail(left.runs, max(window, LOOKAHEAD))
+    before = "".join(r[0] for r in last)
+    length = sum(len(r[0]) for r in right.runs)
     reach = window
     while True:
-        whole = reach >= len(right.text)
-        pieces, at = coder.split(left.text[start:] + right.text[:reach]), start
-        found, mid_ends, mid_ids = None, [], []
+        taken, after, ends, chars = 0, [], set(), 0
+        for run in right.runs:
+            if chars >= reach:
+                break
+            after.append(run[0])
+            ends.update((run[1][: int(np.searchsorted(run[1], reach - chars)) + 1] + chars).tolist())
+            chars += len(run[0])
+            taken += 1
+        whole = reach >= length
+        pieces, at, found, mid = coder.split(before + "".join(after)[:reach]), -len(before), None, []
         for p in pieces:
-            if at >= cut and (whole or at <= cut + reach - LOOKAHEAD) and (at == cut or _has(right.ends, at - cut)):
-                found = at - cut
+            if at >= 0 and (whole or at <= reach - LOOKAHEAD) and (at == 0 or at in ends):
+                found = at
                 break
             at += len(p)
-            mid_ends.append(at)
-            mid_ids.append(p)
+            mid.append(p)
         if found is not None or whole:
             break
         reach *= 2
-    skip = len(right.ends) if found is None else bisect_right(right.ends, found)
-    ids, at = [], start
-    for p, end in zip(mid_ids, mid_ends, strict=True):
-        ids.append(_straddle(coder, left, right, p, at, end, cut))
-        at = end
-    ends = left.ends[:keep] + mid_ends + [cut + e for e in right.ends[skip:]]
-    return Encoded(left.text + right.text, ends, left.ids[:keep] + ids + right.ids[skip:])
-
-
-def _has(ends: list[int], at: int) -> bool:
-    i = bisect_right(ends, at)
-    return i > 0 and ends[i - 1] == at
-
-
-def _straddle(coder: PieceCoder, left: Encoded, right: Encoded, piece: str, at: int, end: int, cut: int) -> tuple[int, ...]:
-    """Token ids of one piece of the window; a long piece made of the last of the left and the first of the right is joined."""
-    last = left.ends[-2] if len(left.ends) > 1 else 0
-    if len(piece) > 512 and at == last < cut < end and right.ends[0] == end - cut:
-        return coder.join_raw(left.ids[-1], right.ids[0])
-    return coder.ids(piece)
+    rest, skipped = list(right.runs), length if found is None else found
+    while rest and skipped >= len(rest[0][0]):
+        skipped -= len(rest.pop(0)[0])
+    if skipped:
+        rest[0] = _cut(rest[0], int(np.searchsorted(rest[0][1], skipped, side="right")))[1]
+    if not mid:
+        return Encoded(keep + rest)
+    ids, at = [], -len(before)
+    for p in mid:
+        ids.append(_straddle(coder, left, right, p, at))
+        at += len(p)
+    return Encoded([*keep, _run("".join(mid), mid, ids), *rest])
+
+
+def _straddle(coder: PieceCoder, left: Encoded, right: Encoded, piece: str, at: int) -> bytes:
+    """Token ids of one piece of the window, which begins ``-at`` characters before the join; a long one made of the last piece of
+    the left and the first of the right is joined from their tokens."""
+    if len(piece) > 512 and at < 0 < at + len(piece):
+        (a, b), (c, d) = (_edge(left.runs[-1], -1), _edge(right.runs[0], 0))
+        if a == -at and c == at + len(piece):
+            return array("i", coder.join_raw(b, d)).tobytes()
+    return coder.packed(piece)
+
+
+def _edge(run: tuple, i: int) -> tuple[int, tuple[int, ...]]:
+    """Characters and token ids of a run's first (0) or last (-1) piece."""
+    _, ends, cuts, ids = run
+    n = len(ends) + i if i else 0
+    start, token = (int(ends[n - 1]), int(cuts[n - 1])) if n else (0, 0)
+    return int(ends[n]) - start, tuple(ids[token : int(cuts[n])].tolist())
 
 
 def join_tree(coder: PieceCoder, parts: list[Encoded]) -> Encoded:
@@ -186,6 +247,6 @@ def join_tree(coder: PieceCoder, parts: list[Encoded]) -> Encoded:
 
 
 @lru_cache(maxsize=4)
-def coder(path: str, cache_size: int = 100_000) -> PieceCoder:
+def coder(path: str, cache_size: int = 200_000) -> PieceCoder:
     """One coder for each file and worker process."""
     return PieceCoder(path, cache_size)
