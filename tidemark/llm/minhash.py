@@ -282,9 +282,10 @@ def near_duplicates(
     shingles and is linked with nothing; one with fewer words than ``width`` has its whole sequence as its one shingle.
 
     * Documents with equal sets are one class, stood for by its smallest id, so that copies never meet in pairs.
-    * Classes that share a band form a bucket. In each, all are compared with one hub, drawn by a hash and so another one
-      in each band. Components of the confirmed links follow. Then buckets whose rows are still apart meet themselves in
-      tiles of about twice ``tile_bytes``, so that no task holds the whole of a large one: first their signatures, then
+    * Classes that share a band form a bucket. In each, all are compared with one hub, drawn by one of four hashes, so that a group
+      has up to four hubs over all its bands. Components of the confirmed links follow. Then buckets whose rows are still apart meet themselves in
+      tiles of about twice ``tile_bytes``, so that no task holds the whole of a large one (p parts make p * (p + 1) / 2 tiles, so what
+      is sent grows with the square of such a bucket, the only step that does): first their signatures, then
       the full sets of rows whose signatures leave a possible link. A tile gives links only, never
       its pairs, and skips pairs that links join already; so no link that joins two groups is lost.
       Only pairs whose sizes forbid a link, or whose signatures agree five standard deviations too rarely, are left out.
@@ -297,9 +298,14 @@ def near_duplicates(
     kind = df.schema[id_col].dataType
     sketch = T.StructType([T.StructField("id", kind), T.StructField("n", T.LongType()), T.StructField("print", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))])
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    docs = texts.mapInArrow(_sketch(sketch, width, permutations, extra, rows), sketch).checkpoint()
-    classes = docs.filter("n > 0 and id is not null").groupBy("print", "n").agg(F.min("id").alias("rep"), F.first(F.struct("keys", "bits")).alias("s"))
-    reps = classes.select("rep", "n", "s.keys", "s.bits").checkpoint()
+    sketches = texts.mapInArrow(_sketch(sketch, width, permutations, extra, rows), sketch).checkpoint()
+    # most steps look at these three numbers only
+    docs = sketches.select("id", "n", "print").checkpoint()
+    sketched = sketches.filter("n > 0 and id is not null").groupBy("print", "n").agg(F.min("id").alias("rep"), F.first(F.struct("keys", "bits")).alias("s"))
+    reps = sketched.select("rep", "n", "s.keys", "s.bits").checkpoint()
+    used = docs.filter("n > 0 and id is not null")
+    total = used.count()
+    classes = used.groupBy("print", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).checkpoint()
     values = 2 * (permutations + extra)
     level = _level(values, per_cent)
     agreeing = _agreeing("x", "y", values)
@@ -326,21 +332,33 @@ def near_duplicates(
     apart = apart.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     tiled = apart.select("key", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "rep", "component").checkpoint()
     at = ["key", "a", "b"]
-    sketches = reps.select("rep", "keys", "bits", "n")
+    rep_sketches = reps.select("rep", "keys", "bits", "n")
     place = T.StructType([*(T.StructField(c, T.LongType()) for c in [*at, "part"]), T.StructField("rep", kind)])
-    screened = tiled.join(sketches, "rep").repartition(*at).sortWithinPartitions(*at)
+    screened = tiled.join(rep_sketches, "rep").repartition(*at).sortWithinPartitions(*at)
     screened = screened.mapInArrow(_by_tile(place, "wanted", per_cent, values, level), place).distinct().checkpoint()
     pair = T.StructType([T.StructField("u", kind), T.StructField("v", kind)])
-    compared = tiled.join(screened, place.names, "left_semi").join(sketches, "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
+    compared = tiled.join(screened, place.names, "left_semi").join(rep_sketches, "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
     compared = compared.repartition(*at).sortWithinPartitions(*at)
     more = compared.mapInArrow(_by_tile(pair, "links", per_cent, values, level), pair).checkpoint()
     if not more.isEmpty():
         found = components(links.unionByName(more))
 
-    copies = classes.select("print", "n", "rep")
-    out = docs.select("id", "n", "print").join(copies, ["print", "n"], "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    # classes of a hundredth of a per cent of all rows or more are ten thousand at most: they are broadcast, so that the others' rows
+    # spread over the join's tasks; rows without words or id need no class
+    heavy = classes.filter(F.col("copies") * 10_000 >= total)
+    by_class = heavy.select(F.col("print").alias("h_print"), F.col("n").alias("h_n"), F.col("rep").alias("h_rep"))
+    tagged = used.join(F.broadcast(by_class), (F.col("print") == F.col("h_print")) & (F.col("n") == F.col("h_n")), "left")
+    of_heavy = tagged.filter("h_rep is not null").select("id", "n", F.col("h_rep").alias("rep"))
+    light = classes.filter(F.col("copies") * 10_000 < total).select("print", "n", "rep")
+    of_light = tagged.filter("h_rep is null").select("id", "n", "print").join(light, ["print", "n"]).select("id", "n", "rep")
+    # the components of the heavy classes are as few; the others' classes have few rows each
+    by_rep = found.join(F.broadcast(heavy.select(F.col("rep").alias("node"))), "node", "left_semi").select(F.col("node").alias("rep"), "component")
+    of_heavy = of_heavy.join(F.broadcast(by_rep), "rep", "left")
+    of_light = of_light.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     own = found.join(repeated, found.node == repeated.id).select("id", F.col("component").alias("own"))
-    out = out.join(own, "id", "left")
+    out = of_heavy.unionByName(of_light).join(own, "id", "left")
+    rest = docs.filter("id is null or n = 0").join(own, "id", "left").select("id", "n", F.lit(None).cast(kind).alias("rep"), F.lit(None).cast(kind).alias("component"), "own")
+    out = out.select("id", "n", "rep", "component", "own").unionByName(rest)
     component = F.coalesce("own", "component", F.when(F.col("id").isNotNull(), F.col("rep")), "id")
     return out.select(
         F.col("id").alias(id_col),
