@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before has kept; all but the last return the columns
 of ``documents``. Between stages, rows are written as Parquet in the shared checkpoint folder and read again, so a lost
-executor costs one stage at most.
+executor costs one stage at most; a stage's folder goes when the next one's is written.
+
+Null and empty texts have no language and go in the first stage, so no later one meets them; each stage called by itself
+treats them as its operator says. Very long texts are read whole. Repeated rows stay until near-dedup; rows with a null id link with
+nothing there and stay. An empty table gives an empty one in every stage, and further columns are carried along.
 """
 
 from __future__ import annotations
@@ -59,5 +63,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        if i:
+            delete(spark, f"{folder}/{i - 1}")
         docs = spark.read.parquet(f"{folder}/{i}")
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of this run, on whatever file system it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
