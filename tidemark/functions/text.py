@@ -8,25 +8,59 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.functions import fields as fl
+from tidemark.functions.once import let
 from tidemark.functions.regex import literal, template, to_java
 
-# What redaction knows by name.
+# What redaction knows by name, the forms of time that tell formats apart, and what highlighting looks for.
 REDACTIONS = {
     "ipv4": r"\b(?:\d{1,3}\.){3}\d{1,3}\b",
-    "email": r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9.-]+",
-    "token": r"\b[A-Za-z0-9_\-]{20,}\b",
+    "email": r"\b[\w.+-]+@[\w.-]+\.[a-zA-Z]{2,}\b",
+    "token": r"\b(?:Bearer\s+)?[A-Za-z0-9_\-]{20,}\b",
     "credit_card": r"\b(?:\d[ -]?){13,16}\b",
     "uuid": r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b",
 }
 FORMATS = {
-    "iso8601": r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}",
-    "apache": r"\d{2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2}",
-    "syslog": r"[A-Za-z]{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}",
-    "epoch": r"\d{10}",
+    "iso8601": r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?",
+    "apache": r"\[\d{2}/\w{3}/\d{4}:\d{2}:\d{2}:\d{2} [+-]\d{4}\]",
+    "syslog": r"\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}",
+    "epoch": r"\d{10}(?:\.\d+)?",
     "epoch_ms": r"\d{13}",
 }
-_COLOURS = {"CRITICAL|FATAL": "\x1b[35m", "ERROR": "\x1b[31m", "WARNING|WARN": "\x1b[33m", "INFO": "\x1b[32m", "DEBUG": "\x1b[36m"}
-_RESET = "\x1b[0m"
+FORMAT_TEXTS = {
+    "iso8601": "ISO 8601 datetime (e.g. 2024-01-15T12:00:00Z)",
+    "apache": "Apache/Nginx combined log format",
+    "syslog": "Syslog format (e.g. Jan 15 12:00:00)",
+    "epoch": "Unix epoch timestamp (seconds)",
+    "epoch_ms": "Unix epoch timestamp (milliseconds)",
+}
+COLOURS = {"CRITICAL|FATAL|ERROR|ERR": "\x1b[31m\x1b[1m", "WARNING|WARN": "\x1b[33m", "INFO": "\x1b[32m", "DEBUG": "\x1b[36m"}
+TIME_COLOUR, RESET = "\x1b[36m", "\x1b[0m"
+TIMES = (
+    r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?",
+    r"\d{2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2} [+-]\d{4}",
+    r"[A-Za-z]{3} [ \d]\d \d{2}:\d{2}:\d{2}",
+)
+SIZES = {"b": 1, "k": 1024, "m": 1024**2, "g": 1024**3}
+
+
+def parse_size(text: str) -> int:
+    """Bytes of a size such as ``512``, ``64k`` or ``10m``."""
+    text = text.strip().lower()
+    if not re.fullmatch(r"[+-]?\d+[bkmg]?", text):
+        raise ValueError(f"no size: {text!r}")
+    return int(text.rstrip("bkmg")) * SIZES.get(text[-1], 1)
+
+
+def typed_json(line: Column) -> Column:
+    """Map of a JSON object's fields with their types kept, null if the line is none."""
+    return F.when(line.rlike(r"(?s)^\s*\{.*\}\s*$"), F.from_json(line, "map<string,variant>", {"allowSingleQuotes": "false"}))
+
+
+def spaced_json(fields: Column) -> Column:
+    """A map as JSON with a blank after each comma and colon. Nested values stay compact."""
+    key = lambda k: F.regexp_replace(F.to_json(F.array(k)), r"(?s)^\[|\]$", "")
+    pair = lambda e: F.concat(key(e["key"]), F.lit(": "), F.coalesce(F.regexp_replace(F.to_json(F.array(e["value"])), r"(?s)^\[|\]$", ""), F.lit("null")))
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(fields), pair), ", "), F.lit("}"))
 
 
 def strip_ansi(line: Column) -> Column:
@@ -34,23 +68,32 @@ def strip_ansi(line: Column) -> Column:
 
 
 def strip_fields(line: Column, names: list[str]) -> Column:
-    """Fields go: keys of a JSON object, else key=value words, quoted values included."""
-    parsed = fl.from_json(line)
+    """Fields go: keys of a JSON object, else key=value words, quoted values included. Lines without either stay."""
     pairs = line
     for n in names:
-        pairs = F.regexp_replace(pairs, rf'(?U)(?:(?<=\s)|^)\Q{n}\E=(?:"[^"]*"|\S+)\s*', "")
-    keep = F.map_filter(parsed, lambda k, _: ~k.isin(names))
-    return F.when(parsed.isNotNull(), F.to_json(keep)).otherwise(F.trim(pairs))
+        pairs = F.trim(F.regexp_replace(pairs, rf'(?U)(?:^|\s)\Q{n}\E=(?:"[^"]*"|\S*)', ""))
+    plain = F.when(line.rlike(r"(?U)\w+="), pairs).otherwise(line)
+    return let(typed_json(line), lambda m: F.when(m.isNotNull(), spaced_json(F.map_filter(m, lambda k, _: ~k.isin(names)))).otherwise(plain))
 
 
 def strip_prefix(line: Column, prefix: str) -> Column:
-    bare = F.ltrim(line)
-    return F.when(bare.startswith(prefix), F.ltrim(F.substring(bare, len(prefix) + 1, 1 << 30))).otherwise(line)
+    bare = F.regexp_replace(line, r"(?U)^\s+", "")
+    rest = F.regexp_replace(F.substring(bare, len(prefix) + 1, 1 << 30), r"(?U)^\s+", "")
+    return F.when(bare.startswith(prefix), rest).otherwise(line)
+
+
+def strip(line: Column, *, fields: list[str] | None = None, prefix: str | None = None, ansi: bool = False) -> Column:
+    """Colours go, then fields, then a prefix, as far as each is asked for."""
+    if ansi:
+        line = strip_ansi(line)
+    if fields:
+        line = strip_fields(line, fields)
+    return line if prefix is None else strip_prefix(line, prefix)
 
 
 def mask_positions(line: Column, start: int, end: int, mask: str = "***") -> Column:
     """The characters from start (0-based) to before end; a range that does not lie in the line changes nothing."""
-    fits = (F.lit(0 <= start < end)) & (F.length(line) > start)
+    fits = (F.lit(0 <= start < end)) & (F.length(line) >= end)
     return F.when(fits, F.concat(F.substring(line, 1, start), F.lit(mask), F.substring(line, end + 1, 1 << 30))).otherwise(line)
 
 
@@ -66,21 +109,28 @@ def mask_pattern(line: Column, pattern: str, mask: str = "***", group: int = 0)
         F.substring(acc["rest"], F.instr(acc["rest"], x["hit"]) + F.length(x["hit"]), F.length(acc["rest"])).alias("rest"),
     )
     out = F.aggregate(F.arrays_zip(hits.alias("hit"), inner.alias("part")), F.struct(F.lit("").alias("done"), line.alias("rest")), step)
-    return F.concat(out["done"], out["rest"])
+    return let(out, lambda x: F.concat(x["done"], x["rest"]))
 
 
 def mask_field(line: Column, name: str, mask: str = "***", sep: str = "=") -> Column:
     return F.regexp_replace(line, rf"(?<=\Q{name}{sep}\E)[^\s,;|]+", literal(mask))
 
 
-def redact(line: Column, builtins: list[str] = (), patterns: list[str] = (), mask: str = "[REDACTED]") -> tuple[Column, Column]:
+def mask(line: Column, *, pattern: str | None = None, field: str | None = None, mask: str = "***") -> Column:
+    """A pattern is masked, then a field, as far as each is asked for."""
+    if pattern is not None:
+        line = mask_pattern(line, pattern, mask)
+    return line if field is None else mask_field(line, field, mask)
+
+
+def redact(line: Column, builtins: list[str] = (), patterns: list[str] = (), mask: str = "[REDACTED]", ignore_case: bool = False) -> tuple[Column, Column]:
     """The line after all replacements, built-in ones first, and how many there were."""
     unknown = set(builtins) - set(REDACTIONS)
     if unknown:
         raise ValueError(f"unknown redactions: {sorted(unknown)}")
     count = F.lit(0)
     for p in [*(REDACTIONS[b] for b in builtins), *patterns]:
-        java = to_java(p)
+        java = to_java(p, ignore_case)
         count = count + F.regexp_count(line, F.lit(java))
         line = F.regexp_replace(line, java, template(mask))
     return line, count
@@ -103,48 +153,68 @@ def outdent(line: Column, prefix: str) -> Column:
 
 
 def render(line: Column, lineno: Column, text: str) -> Column:
-    """A template: {name} is a field of the line and stays as written if there is none; {_line} and {_lineno} are the line's own."""
-    parsed = fl.fields(line, "dotted")
-    parts = []
-    for i, part in enumerate(re.split(r"\{(\w+)\}", text)):
-        if i % 2 == 0:
-            parts.append(F.lit(part))
-            continue
-        own = {"_line": F.rtrim(line), "_lineno": lineno.cast("string")}.get(part, F.lit("{" + part + "}"))
-        parts.append(F.coalesce(F.try_element_at(parsed, F.lit(part)), own))
-    return F.concat(*parts)
+    """A template: {name} is a field of the line and stays as written if there is none; {_line} and {_lineno} are the line's own.
+    Fields are looked up in the pairs or the object, which are found once."""
+    parts = re.split(r"\{(\w+)\}", text)
+
+    def filled(found: Column) -> Column:
+        out = []
+        for i, part in enumerate(parts):
+            if i % 2 == 0:
+                out.append(F.lit(part))
+                continue
+            own = {"_line": F.rtrim(line), "_lineno": lineno.cast("string")}.get(part, F.lit("{" + part + "}"))
+            out.append(F.coalesce(fl.value(found, part, "dotted"), own))
+        return F.concat(*out)
+
+    return let(fl.parsed(line, "dotted"), filled)
 
 
 def rename(line: Column, names: dict[str, str]) -> Column:
     """Fields under new names, as JSON or as key=value words; of equal names the later wins. Lines without fields stay."""
     new = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
-    turn = lambda m: F.map_from_entries(F.transform(F.map_entries(m), lambda e: F.struct(F.coalesce(F.try_element_at(new, e["key"]), e["key"]), e["value"])))
-    js, words = fl.from_json(line), F.filter(F.split(F.trim(line), r"\s+"), lambda w: F.contains(w, F.lit("=")))
-    kv = F.transform(words, lambda w: F.concat(F.coalesce(F.try_element_at(new, F.substring_index(w, "=", 1)), F.substring_index(w, "=", 1)), F.substring(w, F.instr(w, "="), F.length(w))))
-    return F.when(js.isNotNull(), F.to_json(turn(js))).when(F.size(words) > 0, F.array_join(kv, " ")).otherwise(line)
+    called = lambda k: F.coalesce(F.try_element_at(new, k), k)
+
+    def turned(m: Column) -> Column:
+        # by place: of entries that get one name the last stays, at the place of the first
+        keys, values = F.transform(F.map_keys(m), called), F.map_values(m)
+        last = lambda k: F.element_at(F.reverse(values), F.array_position(F.reverse(keys), k).cast("int"))
+        return let(F.array_distinct(keys), lambda once: F.map_from_arrays(once, F.transform(once, last)))
+
+    words = F.filter(F.split(F.trim(line), r"\s+"), lambda w: F.contains(w, F.lit("=")))
+    renamed = lambda w: F.concat(called(F.substring_index(w, "=", 1)), F.substring(w, F.instr(w, "="), F.length(w)))
+    pairs = let(words, lambda ws: F.when(F.size(ws) > 0, F.array_join(F.transform(ws, renamed), " ")).otherwise(line))
+    return let(typed_json(line), lambda m: F.when(m.isNotNull(), F.to_json(turned(m))).otherwise(pairs))
+
+
+def _quoted(value: Column, when: str) -> Column:
+    return F.when(value.rlike(when), F.concat(F.lit('"'), value, F.lit('"'))).otherwise(value)
+
+
+def _pairs(m: Column, when: str) -> Column:
+    return F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), _quoted(F.coalesce(e["value"], F.lit("None")), when))), " ")
 
 
 def convert(line: Column, target: str) -> Column:
     """json, kv or plain; a line without fields is the field ``message``."""
-    m = fl.fields(line, "tokens")
-    quoted = lambda v: F.when(F.contains(v, F.lit(" ")), F.concat(F.lit('"'), v, F.lit('"'))).otherwise(v)
+    own = F.create_map(F.lit("message"), F.trim(line))
     if target == "json":
-        return F.coalesce(F.to_json(m), F.to_json(F.create_map(F.lit("message"), F.trim(line))))
+        pairs = let(fl.from_pairs(line, "tokens"), lambda m: spaced_json(F.coalesce(m, own)))
+        return let(typed_json(line), lambda m: F.when(m.isNotNull(), spaced_json(m)).otherwise(pairs))
     if target == "kv":
-        return F.coalesce(F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), quoted(e["value"]))), " "), F.concat(F.lit('message="'), F.trim(line), F.lit('"')))
+        return let(fl.fields(line, "tokens"), lambda m: F.coalesce(_pairs(m, " "), F.concat(F.lit('message="'), F.trim(line), F.lit('"'))))
     if target == "plain":
-        return F.coalesce(F.array_join(F.map_values(m), " "), line)
+        return let(fl.fields(line, "tokens"), lambda m: F.coalesce(F.array_join(F.map_values(m), " "), line))
     raise ValueError(f"unknown format: {target}")
 
 
 def normalize(line: Column, target: str = "json") -> Column:
-    """As convert, but lines without fields stay, and values with a blank or = are quoted."""
-    m = fl.fields(line, "plain")
-    quoted = lambda v: F.when(v.rlike("[ =]"), F.concat(F.lit('"'), v, F.lit('"'))).otherwise(v)
+    """As convert, but compact, lines without fields stay, and values with a blank or = are quoted."""
     if target == "json":
-        return F.coalesce(F.to_json(m), line)
+        pairs = let(fl.from_pairs(line, "plain"), lambda m: F.coalesce(F.to_json(m), line))
+        return let(typed_json(line), lambda m: F.when(m.isNotNull(), F.to_json(m)).otherwise(pairs))
     if target == "kv":
-        return F.coalesce(F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), quoted(e["value"]))), " "), line)
+        return let(fl.fields(line, "plain"), lambda m: F.coalesce(_pairs(m, "[ =]"), line))
     raise ValueError(f"unknown format: {target}")
 
 
@@ -161,21 +231,24 @@ def cast_field(line: Column, name: str, kind: str) -> Column:
     if kind == "str":
         value = F.substring(value, F.lit(2), F.length(value) - 2)
     head = rf'("\Q{name}\E"\s*:\s*)(?:"(?:[^"\\]|\\.)*"|[^,{{}}\[\]\s]+)'
-    return F.when(m.isNotNull() & value.isNotNull(), F.regexp_replace(line, F.lit(head), F.concat(F.lit("$1"), F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))))).otherwise(line)
+    put = lambda x: F.regexp_replace(line, F.lit(head), F.concat(F.lit("$1"), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))))
+    return F.when(m.isNotNull(), let(value, lambda x: F.when(x.isNotNull(), put(x)).otherwise(line))).otherwise(line)
 
 
 def detect_format(line: Column) -> Column:
     out = F.lit(None).cast("string")
     for name, p in reversed(FORMATS.items()):
-        out = F.when(line.rlike(p), name).otherwise(out)
+        out = F.when(line.rlike("(?U)" + p), name).otherwise(out)
     return out
 
 
-def highlight(line: Column) -> Column:
-    for words, colour in _COLOURS.items():
-        line = F.regexp_replace(line, rf"\b(?:{words})\b", f"{colour}$0{_RESET}")
-    return F.regexp_replace(line, r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?Z?", f"\x1b[34m$0{_RESET}")
+def list_formats() -> list[tuple[str, str]]:
+    """The names of the formats that ``detect_format`` knows, in its order, and what they are."""
+    return list(FORMAT_TEXTS.items())
 
 
-def numbered(line: Column, lineno: Column) -> Column:
-    return F.format_string("%6d: %s", lineno, line)
+def highlight(line: Column, times: bool = True) -> Column:
+    """Level names (in upper case, as whole words) in the colour of their level, and times in cyan."""
+    for words, colour in COLOURS.items():
+        line = F.regexp_replace(line, rf"(?U)\b(?:{words})\b", f"{colour}$0{RESET}")
+    return F.regexp_replace(line, "(?U)(?:" + "|".join(TIMES) + ")", f"{TIME_COLOUR}$0{RESET}") if times else line

@@ -5,43 +5,58 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.once import let
+
 # The forms of time a line may show, in order of precedence, and the keys that may hold one in a JSON line.
-ISO_T = r"(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?)"
-ISO_SPACE = r"(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})"
-APACHE = r"(\d{2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2})"
-SYSLOG = r"([A-Za-z]{3}\s{1,2}\d{1,2} \d{2}:\d{2}:\d{2})"
+PATTERNS = (
+    r"(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?)",
+    r"(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})",
+    r"(\d{2}/\w{3}/\d{4}:\d{2}:\d{2}:\d{2})",
+    r"(\w{3}\s+\d{1,2} \d{2}:\d{2}:\d{2})",
+)
 KEYS = ("timestamp", "time", "ts", "@timestamp", "date")
 
 
 def parse(text: Column) -> Column:
-    """A naive timestamp, or null: ISO with T or blank and up to six decimals, Apache and syslog forms. A trailing Z is dropped.
+    """A naive timestamp, or null: ISO with T or blank (with T up to six decimals), Apache and syslog forms. A trailing Z is dropped.
 
     Syslog has no year and gets 1900. Anything else, offsets included, gives null.
     """
-    s = F.regexp_replace(F.trim(text), "Z+$", "")
-    squeezed = F.regexp_replace(s, r"\s+", " ")
     month = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
     iso = r"^\d{4}-\d{1,2}-\d{1,2}"
     clock = r"\d{1,2}:\d{1,2}:\d{1,2}"
 
-    def when(shape: str, value: Column, form: str) -> Column:
+    def when(value: Column, shape: str, form: str) -> Column:
         return F.when(value.rlike(shape), F.try_to_timestamp(value, F.lit(form)).cast("timestamp_ntz"))
 
-    return F.coalesce(
-        when(rf"{iso}T{clock}$", s, "yyyy-M-d'T'H:m:s"),
-        when(rf"{iso}T{clock}\.\d{{1,6}}$", F.rpad(F.concat(s, F.lit("")), F.length(s), " "), "yyyy-M-d'T'H:m:s[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]"),
-        when(rf"{iso} {clock}$", squeezed, "yyyy-M-d H:m:s"),
-        when(rf"{iso} {clock}\.\d{{1,6}}$", squeezed, "yyyy-M-d H:m:s[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]"),
-        when(rf"^\d{{1,2}}/{month}/\d{{4}}:{clock}$", s, "d/MMM/yyyy:H:m:s"),
-        when(rf"^1900 {month} \d{{1,2}} {clock}$", F.concat(F.lit("1900 "), squeezed), "yyyy MMM d H:m:s"),
-    )
+    def forms(s: Column) -> Column:
+        squeezed = F.regexp_replace(s, r"\s+", " ")
+        return F.coalesce(
+            when(s, rf"{iso}T{clock}$", "yyyy-M-d'T'H:m:s"),
+            when(s, rf"{iso}T{clock}\.\d{{1,6}}$", "yyyy-M-d'T'H:m:s[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]"),
+            when(squeezed, rf"{iso} {clock}$", "yyyy-M-d H:m:s"),
+            when(s, rf"^\d{{1,2}}/{month}/\d{{4}}:{clock}$", "d/MMM/yyyy:H:m:s"),
+            when(F.concat(F.lit("1900 "), squeezed), rf"^1900 {month} \d{{1,2}} {clock}$", "yyyy MMM d H:m:s"),
+        )
+
+    return let(F.regexp_replace(F.trim(text), "Z+$", ""), forms)
+
+
+def raw(line: Column) -> Column:
+    """The text of the first form that the line shows, null if none."""
+    found = lambda p: F.nullif(F.regexp_extract(line, "(?U)" + p, 1), F.lit(""))
+    return F.coalesce(*map(found, PATTERNS))
 
 
 def extract(line: Column) -> Column:
     """The timestamp of a line. In a JSON object the first present key decides, even if its value is no time; else the first
-    form found in the text decides, without a second try."""
-    is_json = line.rlike(r"^\s*\{.*\}\s*$")
-    fields = F.from_json(line, "map<string,string>", {"allowSingleQuotes": "false"})
-    named = F.when(is_json & fields.isNotNull(), F.coalesce(*(F.when(F.map_contains_key(fields, F.lit(k)), F.lit(k)) for k in KEYS)))
-    text = F.coalesce(*(F.when(line.rlike(p), F.regexp_extract(line, p, 1)) for p in (ISO_T, ISO_SPACE, APACHE, SYSLOG)))
-    return F.when(named.isNotNull(), parse(F.try_element_at(fields, named))).otherwise(parse(text))
+    form found in the text decides, without a second try. Each pattern is looked for once."""
+
+    def named(fields: Column) -> Column:
+        first = F.coalesce(*(F.when(F.map_contains_key(fields, F.lit(k)), F.lit(k)) for k in KEYS))
+        return F.when(fields.isNotNull(), let(first, lambda k: F.when(k.isNotNull(), F.struct(parse(F.try_element_at(fields, k)).alias("ts")))))
+
+    in_json = let(F.from_json(line, "map<string,string>", {"allowSingleQuotes": "false"}), named)
+    plain = parse(raw(line))
+    is_json = line.rlike(r"(?s)^\s*\{.*\}\s*$")
+    return F.when(is_json, let(in_json, lambda found: F.when(found.isNotNull(), found["ts"]).otherwise(plain))).otherwise(plain)

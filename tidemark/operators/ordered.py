@@ -6,22 +6,13 @@ within a block, and what crosses its edge is either copied in (a few lines on ei
 
 from __future__ import annotations
 
-from collections import OrderedDict, deque
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions import timestamps
 from tidemark.functions.regex import to_java
-
-BLOCK = 65_536
-
-
-def _blocks(df: DataFrame, block: int) -> DataFrame:
-    return df.withColumn("_block", F.floor((F.col("lineno") - 1) / block).cast("long"))
+from tidemark.operators.carried import BLOCK, blocks, chunk_seconds, compact_json, dedupe_cached, micros  # noqa: F401
 
 
 def _with_neighbours(df: DataFrame, before: int, after: int, block: int) -> DataFrame:
@@ -83,7 +74,7 @@ def squash(df: DataFrame, min_repeat: int = 2, block: int = BLOCK) -> DataFrame:
 
 def _last_time(df: DataFrame, block: int) -> DataFrame:
     """``ts``, and the last time ahead of each line as ``_last``."""
-    rows = _blocks(df.withColumn("ts", timestamps.extract(F.col("line"))), block)
+    rows = blocks(df.withColumn("ts", timestamps.extract(F.col("line"))), block)
     per = rows.groupBy("file", "_block").agg(F.max_by("ts", F.when(F.col("ts").isNotNull(), F.col("lineno"))).alias("_v"))
     carry = per.select("file", "_block", F.last("_v", True).over(W.partitionBy("file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)).alias("_carry"))
     local = W.partitionBy("file", "_block").orderBy("lineno").rowsBetween(W.unboundedPreceding, -1)
@@ -92,7 +83,7 @@ def _last_time(df: DataFrame, block: int) -> DataFrame:
 
 def annotate(df: DataFrame, block: int = BLOCK) -> DataFrame:
     """Milliseconds since the first and since the last line that has a time; null for lines without one."""
-    ms = lambda a, b: (F.unix_micros(F.col(a).cast("timestamp")) - F.unix_micros(F.col(b).cast("timestamp"))) / 1000.0
+    ms = lambda a, b: (micros(F.col(a)) - micros(F.col(b))) / 1000.0
     rows = _last_time(df, block)
     first = rows.filter("ts is not null").groupBy("file").agg(F.min_by("ts", "lineno").alias("_first"))
     out = rows.join(F.broadcast(first), "file", "left")
@@ -101,7 +92,7 @@ def annotate(df: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def byte_limit(df: DataFrame, most: int, cut: bool = False, block: int = BLOCK) -> DataFrame:
     """The first lines whose UTF-8 bytes, a line feed each included, fit in ``most``; ``cut`` adds what fits of the next line."""
-    rows = _blocks(df, block)
+    rows = blocks(df, block)
     sums = rows.groupBy("file", "_block").agg(F.sum(F.octet_length("line") + 1).alias("_v"))
     sums = sums.select("file", "_block", F.coalesce(F.sum("_v").over(W.partitionBy("file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_carry"))
     until = F.sum(F.octet_length("line") + 1).over(W.partitionBy("file", "_block").orderBy("lineno"))
@@ -119,10 +110,12 @@ def chunk_count(df: DataFrame, size: int) -> DataFrame:
     return df.withColumn("chunk", F.floor((F.col("lineno") - 1) / size).cast("long"))
 
 
-def merge(df: DataFrame, skip_untimed: bool = False, block: int = BLOCK) -> DataFrame:
-    """Lines of several files by time. A line without a time has that of the line before it; ``rank`` is the order of all.
+def merge(df: DataFrame, skip_untimed: bool = False, tag: bool = False, block: int = BLOCK) -> DataFrame:
+    """Rows (file, lineno, line, ets, rank): lines of several files by time, ``rank`` being the place among all, from 1.
 
-    A file out of order keeps its own order: its lines wait for the latest time ahead of them.
+    A line without a time has that of the line before it, and ahead of any time comes first, or goes if ``skip_untimed``. A file
+    out of order keeps its own order: its lines wait for the latest time ahead of them. With ``tag`` the name of the file,
+    without its folders, stands before each line. Needs a checkpoint directory.
     """
     rows = _last_time(df, block).withColumn("ets", F.coalesce("ts", "_last"))
     if skip_untimed:
@@ -132,7 +125,8 @@ def merge(df: DataFrame, skip_untimed: bool = False, block: int = BLOCK) -> Data
     top = top.select("file", "_block", F.max("_v").over(W.partitionBy("file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)).alias("_top"))
     running = F.max(key).over(W.partitionBy("file", "_block").orderBy("lineno"))
     rows = rows.drop("_carry").join(top, ["file", "_block"]).withColumn("_key", F.greatest(running, "_top"))
-    return rows.orderBy("_key", "file", "lineno").select("file", "lineno", "line", "ets", "_key")
+    line = F.concat(F.element_at(F.split("file", "/"), -1), F.lit(": "), "line") if tag else F.col("line")
+    return numbered(rows.select("file", "lineno", line.alias("line"), "ets", "_key"), "_key", "file", "lineno").drop("_key")
 
 
 def numbered(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:
@@ -161,116 +155,3 @@ def diff(left: DataFrame, right: DataFrame, key: Column | None = None) -> DataFr
     used = last.join(a.select("_k").distinct(), "_k", "left_semi").select("lineno_right")
     rest = b.join(used, "lineno_right", "left_anti").select(F.lit("right").alias("side"), F.lit(None).cast("long").alias("lineno_left"), "lineno_right", "text")
     return both.select(side.alias("side"), "lineno_left", "lineno_right", "text").unionByName(rest)
-
-
-# -- by nature sequential: what a line does hangs on all before it --------------------------------------------------------
-
-
-def _sequential(df: DataFrame, schema: str, step) -> DataFrame:
-    """One pass over each file in order of lines, in batches: a task holds a batch and the state, never the file."""
-    ordered = df.repartition("file").sortWithinPartitions("file", "lineno")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        file, state = None, None
-        for batch in batches:
-            for name, part in batch.groupby("file", sort=False):
-                if name != file:
-                    if state is not None and (rest := state.close()):
-                        yield pd.DataFrame(rest)
-                    file, state = name, step()
-                if len(rows := state.rows(part)):
-                    yield pd.DataFrame(rows)
-        if state is not None and (rest := state.close()):
-            yield pd.DataFrame(rest)
-
-    return ordered.mapInPandas(run, schema)
-
-
-class _Chunks:
-    def __init__(self, seconds: float):
-        self.seconds, self.start, self.chunk = pd.Timedelta(seconds=seconds), None, 0
-
-    def rows(self, part: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for ts in part["ts"]:
-            if not pd.isna(ts):
-                if self.start is None:
-                    self.start = ts
-                elif ts - self.start >= self.seconds:
-                    self.start, self.chunk = ts, self.chunk + 1
-            out.append(self.chunk)
-        return part.assign(chunk=out)[["file", "lineno", "line", "chunk"]]
-
-    def close(self):
-        return None
-
-
-def chunk_seconds(df: DataFrame, seconds: float) -> DataFrame:
-    """A chunk ends where a line is ``seconds`` or more after its first timed line; untimed lines join the chunk they are in."""
-    if seconds <= 0:
-        raise ValueError("seconds must be positive")
-    rows = df.select("file", "lineno", "line", timestamps.extract(F.col("line")).alias("ts"))
-    return _sequential(rows, "file string, lineno long, line string, chunk long", lambda: _Chunks(seconds))
-
-
-class _Fifo:
-    def __init__(self, size: int):
-        self.size, self.seen = size, OrderedDict()
-
-    def rows(self, part: pd.DataFrame) -> pd.DataFrame:
-        keep = []
-        for line in part["line"]:
-            new = line not in self.seen
-            keep.append(new)
-            if new:
-                self.seen[line] = None
-                if len(self.seen) > self.size:
-                    self.seen.popitem(last=False)
-        return part[keep][["file", "lineno", "line"]]
-
-    def close(self):
-        return None
-
-
-def dedupe_cached(df: DataFrame, size: int = 1024) -> DataFrame:
-    """Lines that are not among the last ``size`` admitted ones; being met again does not make a line younger."""
-    return _sequential(df.select("file", "lineno", "line"), "file string, lineno long, line string", lambda: _Fifo(size))
-
-
-class _Compact:
-    def __init__(self):
-        self.held: deque = deque()
-        self.depth, self.file = 0, None
-
-    def rows(self, part: pd.DataFrame) -> list[dict]:
-        out: list[dict] = []
-        for file, no, line in zip(part["file"], part["lineno"], part["line"], strict=True):
-            self.file = file
-            opens = line.count("{") + line.count("["), line.count("}") + line.count("]")
-            if not self.held and not line.lstrip().startswith(("{", "[")):
-                out.append({"file": file, "lineno": no, "line": line})
-                continue
-            self.held.append((no, line))
-            self.depth += opens[0] - opens[1]
-            if self.depth <= 0:
-                out += self._flush()
-        return out
-
-    def _flush(self) -> list[dict]:
-        import json
-
-        held, self.depth = list(self.held), 0
-        self.held.clear()
-        try:
-            text = json.dumps(json.loads("\n".join(x for _, x in held)), separators=(",", ":"), ensure_ascii=False)
-            return [{"file": self.file, "lineno": held[0][0], "line": text}]
-        except ValueError:
-            return [{"file": self.file, "lineno": n, "line": x} for n, x in held]
-
-    def close(self):
-        return self._flush() if self.held else None
-
-
-def compact_json(df: DataFrame) -> DataFrame:
-    """JSON that runs over several lines as one line; what does not parse stays as it was."""
-    return _sequential(df.select("file", "lineno", "line"), "file string, lineno long, line string", _Compact)

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidemark.functions import fields as fl
 from tidemark.functions import levels, timestamps
@@ -60,7 +61,13 @@ def fraction(df: DataFrame, p: float, seed: int | None = None) -> DataFrame:
 
 
 def head(df: DataFrame, n: int = 10) -> DataFrame:
-    return df.filter(F.col("lineno") <= n).limit(max(0, n)) if "file" not in df.columns else df.filter(F.col("lineno") <= n)
+    """The first ``n`` lines of each file."""
+    return df.filter(F.col("lineno") <= n)
+
+
+def from_line(df: DataFrame, line: int) -> DataFrame:
+    """What follows the first ``line`` lines of each file, as a bookmark on that line reads it."""
+    return df.filter(F.col("lineno") > line)
 
 
 def clip(df: DataFrame, start: int, end: int | None = None) -> DataFrame:
@@ -101,7 +108,11 @@ def frequency(df: DataFrame, name: str | None = None, top: int | None = None) ->
     out = df.select(v.alias("value"), "lineno").filter("value is not null").groupBy("value").agg(F.count("*").alias("count"), F.min("lineno").alias("first"))
     if top is not None:
         out = out.orderBy(F.desc("count"), "first").limit(top)
-    total = out.agg(F.sum("count").alias("_total"))
+        # a few rows, so their sum is a window over them
+        total = F.sum("count").over(W.partitionBy())
+        return out.select("value", "count", "first", (F.col("count") * 100 / total).alias("pct"))
+    # without a cut the percentages need the number of all lines that have a value
+    total = df.agg(F.count(v).alias("_total"))
     return out.crossJoin(F.broadcast(total)).select("value", "count", "first", (F.col("count") * 100 / F.col("_total")).alias("pct"))
 
 

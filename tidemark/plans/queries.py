@@ -8,8 +8,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import fields, levels, text, timestamps
-from tidemark.operators import ordered, rows
+from tidemark.functions import fields, levels, report, text, timestamps
+from tidemark.operators import ordered, rows, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -17,6 +17,22 @@ SQL: dict[str, str] = {}
 _LEVEL = "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARN' ELSE 'INFO' END"
 KV_SQL = f"""SELECT event_id + 1 AS lineno, ts, event_type, user_id, {_LEVEL} AS level, CAST(round(value * 100) AS BIGINT) AS v,
   strftime(ts, '%Y-%m-%dT%H:%M:%S') || ' ' || {_LEVEL} || ' user=' || user_id || ' type=' || event_type || ' value=' || CAST(round(value * 100) AS BIGINT) AS line FROM events"""
+#: Lines in the forms of many programs, by event_id modulo 10: with times of all kinds, with none, with personal data.
+_MIXED_LEVEL = "CASE event_type WHEN 'error' THEN ['ERROR', 'ERR', 'CRITICAL', 'FATAL'][1 + user_id % 4] WHEN 'signup' THEN ['WARN', 'WARNING'][1 + user_id % 2] WHEN 'click' THEN 'INFO' ELSE 'DEBUG' END"
+MIXED_SQL = f"""SELECT event_id + 1 AS lineno, event_id % 10 AS form, ts, user_id, {_MIXED_LEVEL} AS level,
+  CASE event_id % 10
+    WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || ' ' || {_MIXED_LEVEL} || ' user=' || user_id
+    WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || ' ' || {_MIXED_LEVEL} || ' mail=user' || user_id || '@example.org done'
+    WHEN 2 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') || ',250 ' || {_MIXED_LEVEL} || ' from 10.0.' || user_id % 256 || '.7 done'
+    WHEN 3 THEN '10.1.2.3 - - [' || strftime(ts, '%d/%b/%Y:%H:%M:%S') || ' +0000] GET /' || user_id || ' ' || {_MIXED_LEVEL}
+    WHEN 4 THEN strftime(ts, '%b %d %H:%M:%S') || ' host app: ' || {_MIXED_LEVEL} || ' key Bearer ' || md5('k' || user_id) || ' used'
+    WHEN 5 THEN 'user=' || user_id || ' ' || {_MIXED_LEVEL} || ' card 4111 1111 1111 1111 kept'
+    WHEN 6 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+02:00 ' || {_MIXED_LEVEL} || ' id 123e4567-e89b-12d3-a456-426614174000 seen'
+    WHEN 7 THEN '{{"time":"' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '","level":"' || {_MIXED_LEVEL} || '","user":{{"id":' || user_id || ',"tags":["a",{{"b":true}}]}}}}'
+    WHEN 8 THEN '1704276000.5 ' || {_MIXED_LEVEL} || ' user=' || user_id
+    ELSE '' END AS line FROM events"""
+#: The time that a mixed line shows.
+_MIXED_TS = "CASE WHEN form IN (0, 2, 3, 7) THEN date_trunc('second', ts) WHEN form = 1 THEN ts WHEN form = 4 THEN date_trunc('second', ts) - to_years(CAST(year(ts) - 1900 AS INTEGER)) END"
 WORDS_SQL = """SELECT doc_id AS file_id, CAST(i AS BIGINT) AS lineno, parts[i] AS line
   FROM (SELECT doc_id, parts, unnest(generate_series(1, len(parts))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL))"""
 
@@ -45,11 +61,35 @@ def log_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("file", (F.col("i") + 1).cast("long").alias("lineno"), "line")
 
 
+def log_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as one file of lines in ten forms."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    pick = lambda of: F.element_at(F.array(*map(F.lit, of)), (F.col("user_id") % len(of) + 1).cast("int"))
+    level = F.when(F.col("event_type") == "error", pick(["ERROR", "ERR", "CRITICAL", "FATAL"])).when(F.col("event_type") == "signup", pick(["WARN", "WARNING"])).when(F.col("event_type") == "click", "INFO").otherwise("DEBUG")
+    time, user = lambda form: F.date_format("ts", form), F.col("user_id").cast("string")
+    forms = [
+        (time("yyyy-MM-dd'T'HH:mm:ss'Z'"), " ", level, " user=", user),
+        (time("yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), " ", level, " mail=user", user, "@example.org done"),
+        (time("yyyy-MM-dd HH:mm:ss"), ",250 ", level, " from 10.0.", (F.col("user_id") % 256).cast("string"), ".7 done"),
+        ("10.1.2.3 - - [", time("dd/MMM/yyyy:HH:mm:ss"), " +0000] GET /", user, " ", level),
+        (time("MMM dd HH:mm:ss"), " host app: ", level, " key Bearer ", F.md5(F.concat(F.lit("k"), user)), " used"),
+        ("user=", user, " ", level, " card 4111 1111 1111 1111 kept"),
+        (time("yyyy-MM-dd'T'HH:mm:ss"), "+02:00 ", level, " id 123e4567-e89b-12d3-a456-426614174000 seen"),
+        ('{"time":"', time("yyyy-MM-dd HH:mm:ss"), '","level":"', level, '","user":{"id":', user, ',"tags":["a",{"b":true}]}}'),
+        ("1704276000.5 ", level, " user=", user),
+        ("",),
+    ]
+    line = F.lit("")
+    for i, parts in enumerate(forms):
+        line = F.when(F.col("event_id") % 10 == i, F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))).otherwise(line)
+    return e.select(F.lit("mixed.log").alias("file"), (F.col("event_id") + 1).alias("lineno"), line.alias("line"))
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql.replace("{kv}", KV_SQL).replace("{text}", WORDS_SQL)
+            SQL[f.__name__] = sql.replace("{kv}", KV_SQL).replace("{text}", WORDS_SQL).replace("{mixed}", MIXED_SQL).replace("{mixed_ts}", _MIXED_TS)
         return f
 
     return add
@@ -210,15 +250,21 @@ def chunk_seconds(spark, sf):
     return ordered.chunk_seconds(log_kv(spark, sf), 3600).select("lineno", "chunk")
 
 
-@query()
+@query(
+    """WITH RECURSIVE t AS (SELECT file_id, lineno, line FROM ({text})),
+c(file_id, lineno, line, seen, kept) AS (SELECT file_id, lineno, line, [line], true FROM t WHERE lineno = 1 UNION ALL
+  SELECT t.file_id, t.lineno, t.line, CASE WHEN list_contains(c.seen, t.line) THEN c.seen ELSE list_append(c.seen, t.line)[-8:] END, NOT list_contains(c.seen, t.line)
+  FROM c JOIN t ON t.file_id = c.file_id AND t.lineno = c.lineno + 1)
+SELECT file_id::VARCHAR AS file, lineno, line FROM c WHERE kept"""
+)
 def dedupe_cached(spark, sf):
     return ordered.dedupe_cached(log_text(spark, sf), 8)
 
 
-@query()
+@query("WITH l AS ({kv}) SELECT 'events.json' AS file, lineno * 10 AS lineno, '{\"ts\":\"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '\",\"type\":\"' || event_type || '\",\"user\":' || user_id || ',\"value\":' || v || '}' AS line FROM l")
 def compact_json(spark, sf):
     broken = log_json(spark, sf).select("file", F.col("lineno"), F.posexplode(F.split("line", "(?<=,)")).alias("i", "line"))
-    return ordered.compact_json(broken.select("file", (F.col("lineno") * 10 + F.col("i")).alias("lineno"), "line"))
+    return ordered.compact_json(broken.select("file", (F.col("lineno") * 10 + F.col("i")).alias("lineno"), "line"), block=100_003)
 
 
 @query(
@@ -229,15 +275,14 @@ def score(spark, sf):
     return rows.score(log_text(spark, sf), {"the": 2.0, "license": 5.0}, 3.0).select("file", "lineno", "score")
 
 
-@query("WITH l AS ({kv}) SELECT lineno, row_number() OVER (ORDER BY user_id::VARCHAR, lineno) AS place FROM l QUALIFY place <= 200")
+@query("WITH l AS ({kv}) SELECT lineno, row_number() OVER (ORDER BY v DESC, lineno) AS place FROM l")
 def sort_field(spark, sf):
-    top = rows.sort_field(log_kv(spark, sf), "user").limit(200)
-    return top.select("lineno", F.row_number().over(ordered.W.orderBy(fields.field(F.col("line"), "user"), "lineno")).cast("long").alias("place"))
+    return ordered.numbered(log_kv(spark, sf), *rows.field_order("value", reverse=True, numeric=True), name="place").select("lineno", "place")
 
 
-@query("WITH l AS ({kv}) SELECT lineno FROM l ORDER BY date_trunc('second', ts) DESC, lineno LIMIT 100")
+@query("WITH l AS (SELECT lineno, line, {mixed_ts} AS t FROM ({mixed})) SELECT lineno, row_number() OVER (ORDER BY t IS NULL DESC, t DESC, CASE WHEN t IS NULL THEN line END DESC, lineno) AS place FROM l")
 def sort_time_reversed(spark, sf):
-    return rows.sort_time(log_kv(spark, sf), reverse=True).limit(100).select("lineno")
+    return ordered.numbered(log_mixed(spark, sf), *rows.time_order(reverse=True), name="place").select("lineno", "place")
 
 
 @query("WITH l AS ({kv}) SELECT lineno, row_number() OVER (ORDER BY user_id::VARCHAR, lineno) AS place FROM l")
@@ -252,26 +297,31 @@ def sort_time_reversed_whole(spark, sf):
 
 @query("WITH l AS ({kv}), n AS (SELECT 'f' || user_id % 3 AS file, row_number() OVER (PARTITION BY user_id % 3 ORDER BY lineno) AS lineno, date_trunc('second', ts) AS ets FROM l) SELECT file, lineno, ets, row_number() OVER (ORDER BY ets, lineno, file) AS rank FROM n")
 def merge_sources(spark, sf):
-    e = log_kv(spark, sf).withColumn("file", F.concat(F.lit("f"), fields.field(F.col("line"), "user").cast("long") % 3))
-    log = e.withColumn("lineno", F.row_number().over(ordered.W.partitionBy("file").orderBy("lineno")).cast("long"))
-    merged = ordered.merge(log, block=300)
-    return merged.select("file", "lineno", "ets", F.row_number().over(ordered.W.orderBy("_key", "file", "lineno")).cast("long").alias("rank"))
+    e = log_kv(spark, sf).withColumn("file", F.concat(F.lit("f"), F.regexp_extract("line", r"user=(\d+)", 1).cast("long") % 3))
+    placed = ordered.numbered(e, "file", "lineno", name="place")
+    first = placed.groupBy("file").agg(F.min("place").alias("first"))
+    log = placed.join(F.broadcast(first), "file").select("file", (F.col("place") - F.col("first") + 1).alias("lineno"), "line")
+    return ordered.merge(log, block=30_000).select("file", "lineno", "ets", "rank")
 
 
-_PARTS = "WITH t AS ({text}), a AS (SELECT row_number() OVER (ORDER BY file_id, lineno) AS lineno, line FROM t WHERE file_id % 10 < 3), b AS (SELECT row_number() OVER (ORDER BY file_id, lineno) AS lineno, line FROM t WHERE file_id % 10 BETWEEN 2 AND 5)"
+_TWO = """WITH t AS ({text}), a AS (SELECT row_number() OVER (ORDER BY file_id, lineno) AS lineno, line FROM t),
+u AS (SELECT conv_id, turn, CAST(i AS BIGINT) AS i, parts[i] AS line FROM (SELECT conv_id, turn, parts, unnest(generate_series(1, len(parts))) AS i FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS parts FROM conversations WHERE text IS NOT NULL))),
+b AS (SELECT row_number() OVER (ORDER BY conv_id, turn, i, line) AS lineno, line FROM u)"""
 
 
 @query(
-    _PARTS
+    _TWO
     + """, k AS (SELECT line, max(lineno) AS r FROM b GROUP BY line)
 SELECT CASE WHEN k.r IS NULL THEN 'left' ELSE 'both' END AS side, a.lineno AS lineno_left, k.r AS lineno_right, a.line AS text FROM a LEFT JOIN k ON a.line = k.line
 UNION ALL SELECT 'right', NULL, b.lineno, b.line FROM b WHERE b.lineno NOT IN (SELECT r FROM k WHERE line IN (SELECT line FROM a))"""
 )
 def diff_sources(spark, sf):
+    """All lines of all documents against all lines of all conversations."""
     t = log_text(spark, sf).withColumn("n", F.col("file").cast("long"))
-    number = F.row_number().over(ordered.W.orderBy("n", "lineno")).cast("long")
-    part = lambda keep: t.filter(keep).select(F.lit("x").alias("file"), number.alias("lineno"), "line")
-    return ordered.diff(part("n % 10 < 3"), part("n % 10 between 2 and 5"), F.col("line"))
+    left = ordered.numbered(t.select("n", "lineno", "line"), "n", "lineno", name="place").select(F.lit("x").alias("file"), F.col("place").alias("lineno"), "line")
+    c = spark.read.parquet(f"{sf}/conversations.parquet").filter("text is not null").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    right = ordered.numbered(c, "conv_id", "turn", "i", "line", name="place").select(F.lit("y").alias("file"), F.col("place").alias("lineno"), "line")
+    return ordered.diff(left, right, F.col("line"))
 
 
 _WHOLE = "WITH t AS ({text}), a AS (SELECT row_number() OVER (ORDER BY file_id, lineno) AS lineno, line FROM t), b AS (SELECT lineno, regexp_replace(line, '\\d+', '#', 'g') AS line FROM a)"
@@ -313,11 +363,150 @@ _lines("template", lambda c, n: text.render(c, n, "[{type}] {_lineno} {user} {mi
 _lines("rename", lambda c, n: text.rename(c, {"user": "uid", "value": "amount"}), "'uid=' || user_id || ' type=' || event_type || ' amount=' || v")
 _lines("strip_fields", lambda c, n: text.strip_fields(c, ["user", "value"]), "strftime(ts, '%Y-%m-%dT%H:%M:%S') || ' ' || level || ' type=' || event_type")
 _lines("convert_kv", lambda c, n: text.convert(c, "kv"), "'ts=' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || ' type=' || event_type || ' user=' || user_id || ' value=' || v", log_json)
-_lines("convert_json", lambda c, n: text.convert(c, "json"), """'{"user":"' || user_id || '","type":"' || event_type || '","value":"' || v || '"}'""")
+_lines("convert_json", lambda c, n: text.convert(c, "json"), """'{"user": "' || user_id || '", "type": "' || event_type || '", "value": "' || v || '"}'""")
 _lines("convert_plain", lambda c, n: text.convert(c, "plain"), "user_id || ' ' || event_type || ' ' || v")
 _lines("normalize_json", lambda c, n: text.normalize(c, "json"), """'{"user":"' || user_id || '","type":"' || event_type || '","value":"' || v || '"}'""")
 _lines("cast_field", lambda c, n: text.cast_field(c, "user", "float"), _JSON.replace("user_id ||", "user_id || '.0' ||"), log_json)
 _lines("columns", lambda c, n: F.concat_ws("|", *(F.coalesce(F.try_element_at(fields.from_pairs(c, "greedy"), F.lit(k)), F.lit("-")) for k in ("user", "nope", "type"))), "user_id || '|-|' || event_type")
 _lines("indent", lambda c, n: text.indent(c, "> "), "'> ' || line")
 _lines("outdent", lambda c, n: text.outdent(c, "2024"), "CASE WHEN starts_with(line, '2024') THEN line[5:] ELSE line END")
-_lines("highlight", lambda c, n: text.highlight(c), "chr(27) || '[34m' || line[1:19] || chr(27) || '[0m ' || CASE level WHEN 'ERROR' THEN chr(27) || '[31m' WHEN 'WARN' THEN chr(27) || '[33m' ELSE chr(27) || '[32m' END || level || chr(27) || '[0m' || line[21 + length(level):]")
+
+_ESC = "chr(27) || '["
+_HIGH = f"""CASE form
+  WHEN 0 THEN {_ESC}36m' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || {_ESC}0m' || ' ' || shown || ' user=' || user_id
+  WHEN 1 THEN {_ESC}36m' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || {_ESC}0m' || ' ' || shown || ' mail=user' || user_id || '@example.org done'
+  WHEN 2 THEN {_ESC}36m' || strftime(ts, '%Y-%m-%d %H:%M:%S') || ',250' || {_ESC}0m' || ' ' || shown || ' from 10.0.' || user_id % 256 || '.7 done'
+  WHEN 3 THEN '10.1.2.3 - - [' || {_ESC}36m' || strftime(ts, '%d/%b/%Y:%H:%M:%S') || ' +0000' || {_ESC}0m' || '] GET /' || user_id || ' ' || shown
+  WHEN 4 THEN {_ESC}36m' || strftime(ts, '%b %d %H:%M:%S') || {_ESC}0m' || ' host app: ' || shown || ' key Bearer ' || md5('k' || user_id) || ' used'
+  WHEN 5 THEN 'user=' || user_id || ' ' || shown || ' card 4111 1111 1111 1111 kept'
+  WHEN 6 THEN {_ESC}36m' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+02:00' || {_ESC}0m' || ' ' || shown || ' id 123e4567-e89b-12d3-a456-426614174000 seen'
+  WHEN 7 THEN '{{"time":"' || {_ESC}36m' || strftime(ts, '%Y-%m-%d %H:%M:%S') || {_ESC}0m' || '","level":"' || shown || '","user":{{"id":' || user_id || ',"tags":["a",{{"b":true}}]}}}}'
+  WHEN 8 THEN '1704276000.5 ' || shown || ' user=' || user_id ELSE '' END"""
+_SHOWN = f"CASE level WHEN 'INFO' THEN {_ESC}32m' WHEN 'DEBUG' THEN {_ESC}36m' WHEN 'WARN' THEN {_ESC}33m' WHEN 'WARNING' THEN {_ESC}33m' ELSE {_ESC}31m' || {_ESC}1m' END || level || {_ESC}0m'"
+
+
+def _mixed(name: str, column, sql: str, extra: str = ""):
+    def run(spark, sf):
+        return log_mixed(spark, sf).select("lineno", column(F.col("line"), F.col("lineno")).alias("out"))
+
+    run.__name__ = name
+    query(f"WITH l AS (SELECT *{extra} FROM ({{mixed}})) SELECT lineno, {sql} AS out FROM l")(run)
+
+
+_mixed("highlight", lambda c, n: text.highlight(c), _HIGH, f", {_SHOWN} AS shown")
+_mixed("detect_format_mixed", lambda c, n: text.detect_format(c), "CASE WHEN form IN (0, 1, 2, 6, 7) THEN 'iso8601' WHEN form = 3 THEN 'apache' WHEN form = 4 THEN 'syslog' WHEN form = 8 THEN 'epoch' END")
+_mixed("extract_time_mixed", lambda c, n: timestamps.extract(c), "{mixed_ts}")
+_REDACTED = "CASE form WHEN 1 THEN regexp_replace(line, 'user[0-9]+@example.org', '#') WHEN 2 THEN regexp_replace(line, '10[.]0[.][0-9]+[.]7', '#') WHEN 3 THEN regexp_replace(line, '^10.1.2.3', '#') WHEN 4 THEN regexp_replace(line, 'Bearer [0-9a-f]{32}', '#') WHEN 5 THEN regexp_replace(line, '4111 1111 1111 1111 ?', '#') WHEN 6 THEN regexp_replace(line, '123e4567-e89b-12d3-a456-426614174000', '#') ELSE line END"
+_mixed("redact_mixed", lambda c, n: text.redact(c, ["email", "ipv4", "uuid", "credit_card", "token"], mask="#")[0], _REDACTED)
+_mixed("flatten", lambda c, n: tables.flatten(c), """CASE form WHEN 7 THEN '{"time": "' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '", "level": "' || level || '", "user.id": ' || user_id || ', "user.tags.0": "a", "user.tags.1.b": true}' ELSE line END""")
+_mixed("numbered", lambda c, n: report.numbered(c, n), "printf('%6d: %s', lineno, line)")
+_lines("strip_prefix", lambda c, n: text.strip_prefix(c, "2024-01-"), "CASE WHEN starts_with(line, '2024-01-') THEN line[9:] ELSE line END")
+_lines("strip_ansi", lambda c, n: text.strip_ansi(F.concat(F.lit("\x1b[31m"), c, F.lit("\x1b[0m"))), "line")
+_lines("strip_pipeline", lambda c, n: text.strip(F.concat(F.lit("\x1b[1;31m"), c), fields=["user"], prefix="2024-", ansi=True), "CASE WHEN starts_with(line, '2024-') THEN regexp_replace(line, ' user=[0-9]+', '')[6:] ELSE regexp_replace(line, ' user=[0-9]+', '') END")
+_lines("mask_pipeline", lambda c, n: text.mask(c, pattern=r"\d{4}-\d{2}", field="user"), "regexp_replace(regexp_replace(line, '[0-9]{4}-[0-9]{2}', '***', 'g'), 'user=[0-9]+', 'user=***')")
+
+
+@query("WITH l AS (SELECT lineno, line, {mixed_ts} AS t FROM ({mixed})) SELECT lineno, line FROM l WHERE trim(line) <> '' AND t BETWEEN TIMESTAMP '2024-01-03 00:00:00' AND TIMESTAMP '2024-01-10 12:00:00'")
+def time_range_mixed(spark, sf):
+    return rows.time_range(log_mixed(spark, sf), datetime(2024, 1, 3), datetime(2024, 1, 10, 12)).select("lineno", "line")
+
+
+@query("WITH l AS (SELECT lineno, line, {mixed_ts} AS t FROM ({mixed})) SELECT lineno, line FROM l WHERE t IS NULL OR t BETWEEN TIMESTAMP '2024-01-14 00:00:00' AND TIMESTAMP '2024-01-15 00:00:00'")
+def last_window_mixed(spark, sf):
+    return rows.last_window(log_mixed(spark, sf), 86_400, datetime(2024, 1, 15)).select("lineno", "line")
+
+
+@query(
+    """WITH l AS (SELECT lineno, CASE WHEN event_type = 'purchase' THEN 'no fields' ELSE 'user=' || user_id || ' type=' || event_type END AS line, user_id::VARCHAR AS u, event_type AS t FROM ({kv})),
+w AS (SELECT greatest(4, max(length(u))) AS a, greatest(4, max(length(t))) AS b FROM l WHERE line <> 'no fields')
+SELECT lineno, CASE WHEN line = 'no fields' THEN line ELSE rpad(u, CAST(a AS INTEGER), ' ') || '  ' || rpad('-', 4, ' ') || '  ' || rpad(t, CAST(b AS INTEGER), ' ') END AS line FROM l, w"""
+)
+def align(spark, sf):
+    kv, c = log_kv(spark, sf), F.col("line")
+    short = F.when(c.contains("type=purchase"), F.lit("no fields")).otherwise(F.regexp_extract(c, r"user=\d+ type=\w+", 0))
+    return tables.align(kv.withColumn("line", short), ["user", "nope", "type"]).select("lineno", "line")
+
+
+@query(
+    """WITH l AS ({kv}), r AS (SELECT 0 AS lineno, 'USER' AS u, 'TYPE' AS t UNION ALL SELECT lineno, user_id::VARCHAR, event_type FROM l), w AS (SELECT max(length(u)) AS a, max(length(t)) AS b FROM r)
+SELECT lineno, rtrim(rpad(u, CAST(a AS INTEGER), ' ') || '  ' || rpad(t, CAST(b AS INTEGER), ' ')) AS line FROM r, w"""
+)
+def column_table(spark, sf):
+    return tables.columns(log_kv(spark, sf), ["user", "type"]).select("lineno", "line")
+
+
+@query("WITH l AS ({kv}) SELECT (lineno - 1) // 250 + 1 AS chunk, lineno, line FROM l UNION ALL SELECT DISTINCT (lineno - 1) // 250 + 1, 0, '--- part ' || CAST((lineno - 1) // 250 + 1 AS VARCHAR) || ' ---' FROM l")
+def chunk_lines(spark, sf):
+    return tables.chunk_lines(ordered.chunk_count(log_kv(spark, sf), 250), "part").select("chunk", "lineno", "line")
+
+
+@query(
+    """WITH l AS ({kv}), c AS (SELECT user_id::VARCHAR AS value, count(*) AS n, min(lineno) AS first FROM l GROUP BY 1 ORDER BY 2 DESC, 3 LIMIT 10)
+SELECT row_number() OVER (ORDER BY n DESC, first) AS place, lpad(n::VARCHAR, CAST(length(max(n) OVER ()::VARCHAR) AS INTEGER), ' ') || '  ' || printf('%5.1f', n / sum(n) OVER () * 100) || '%  ' || value AS line FROM c"""
+)
+def freq_lines(spark, sf):
+    return tables.frequency_lines(rows.frequency(log_kv(spark, sf), "user", 10))
+
+
+@query("WITH l AS ({kv}) SELECT event_type AS value, count(*)::VARCHAR || chr(9) || event_type AS line FROM l GROUP BY 1")
+def count_lines_text(spark, sf):
+    return rows.count_field(log_kv(spark, sf), "type").select("value", report.count(F.col("value"), F.col("count")).alias("line"))
+
+
+@query("WITH l AS ({kv}) SELECT date_trunc('hour', ts) AS bucket, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') || printf('  %6d events  (%.2f/s)', count(*), count(*) / 3600.0) AS line FROM l GROUP BY 1")
+def rate_lines(spark, sf):
+    return rows.rate(log_kv(spark, sf), 3600).select("bucket", report.rate(F.col("bucket"), F.col("count"), 3600).alias("line"))
+
+
+@query("WITH l AS ({kv}) SELECT event_type AS key, printf('%-30s  %8d  %12.3f  %12.3f', event_type, count(*), CAST(sum(v) AS DOUBLE), sum(v) / count(*)) AS line FROM l GROUP BY 1 UNION ALL SELECT NULL, 'KEY                                COUNT           SUM          MEAN' UNION ALL SELECT NULL, repeat('-', 68)")
+def pivot_lines(spark, sf):
+    return tables.pivot_lines(rows.pivot(log_json(spark, sf), "type", "value")).select("key", "line")
+
+
+@query(
+    """WITH l AS ({kv}), m AS (SELECT * FROM l WHERE level <> 'INFO'), r AS (
+SELECT ['Total lines   : ' || (SELECT count(*) FROM l), 'Matched lines : ' || count(*), 'First ts      : ' || strftime(arg_min(ts, lineno), '%Y-%m-%d %H:%M:%S'), 'Last ts       : ' || strftime(arg_max(ts, lineno), '%Y-%m-%d %H:%M:%S'),
+  'Level counts  :', '  ERROR     : ' || count(*) FILTER (WHERE level = 'ERROR'), '  WARN      : ' || count(*) FILTER (WHERE level = 'WARN')] AS parts FROM m)
+SELECT CAST(i AS BIGINT) AS place, parts[i] AS line FROM (SELECT parts, unnest(generate_series(1, len(parts))) AS i FROM r)"""
+)
+def stats_lines(spark, sf):
+    log = log_kv(spark, sf)
+    return tables.stats_lines(rows.stats(log, rows.level_range(log, "warn")))
+
+
+@query("WITH t AS ({text}), s AS (SELECT file_id, lineno, line, (CASE WHEN regexp_matches(line, '(?i)the') THEN 2.0 ELSE 0 END) + (CASE WHEN regexp_matches(line, '(?i)license') THEN 5.0 ELSE 0 END) AS score FROM t) SELECT file_id::VARCHAR AS file, lineno, printf('%6d  %7.2f  ', lineno, score) || rtrim(line) AS line FROM s WHERE score >= 3")
+def score_lines(spark, sf):
+    scored = rows.score(log_text(spark, sf), {"the": 2.0, "license": 5.0}, 3.0)
+    return scored.select("file", "lineno", report.scored(F.col("line"), F.col("lineno"), F.col("score")).alias("line"))
+
+
+@query(
+    """WITH l AS ({kv}), s AS (SELECT lineno, line, date_trunc('second', ts) AS t FROM l), m AS (SELECT lineno, line, epoch_ms(t) - epoch_ms(min(t) OVER ()) AS e, epoch_ms(t) - epoch_ms(lag(t) OVER (ORDER BY lineno)) AS d FROM s)
+SELECT lineno, printf('[%6d] [+%10sms] [d%10sms] ', lineno, coalesce(printf('%.1f', CAST(e AS DOUBLE)), '      -'), coalesce(printf('%.1f', CAST(d AS DOUBLE)), '      -')) || line AS line FROM m"""
+)
+def annotate_lines(spark, sf):
+    a = ordered.annotate(log_kv(spark, sf), block=30_000)
+    return a.select("lineno", report.annotated(F.col("line"), F.col("lineno"), F.col("elapsed_ms"), F.col("delta_ms")).alias("line"))
+
+
+@query(
+    """WITH l AS ({kv}), m AS (SELECT lineno, line, bool_or(event_type = 'error') OVER (ORDER BY lineno ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING) AS near FROM l),
+g AS (SELECT lineno, line, lineno - lag(lineno) OVER (ORDER BY lineno) > 1 AS gap FROM m WHERE near)
+SELECT lineno, 1 AS part, lineno || ':' || line AS line FROM g UNION ALL SELECT lineno, 0, '--' FROM g WHERE gap"""
+)
+def context_lines(spark, sf):
+    c = ordered.context(log_kv(spark, sf), "ERROR", before=2, after=1, block=30_000)
+    first = c.agg(F.min("lineno").alias("first"))
+    shown = report.context(F.col("line"), F.col("lineno"), F.col("gap") & (F.col("lineno") > F.col("first")), show_lineno=True)
+    parts = c.crossJoin(F.broadcast(first)).select("lineno", shown.alias("parts"))
+    return parts.select("lineno", F.size("parts").alias("n"), F.posexplode("parts").alias("i", "line")).select("lineno", (F.col("i") + 2 - F.col("n")).alias("part"), "line")
+
+
+@query("WITH l AS ({kv}) SELECT lineno, line FROM l WHERE lineno > 400")
+def from_line(spark, sf):
+    return rows.from_line(log_kv(spark, sf), 400).select("lineno", "line")
+
+
+@query("WITH l AS (SELECT *, CASE WHEN form IN (0, 1, 2, 6, 7) THEN 'iso8601' WHEN form = 3 THEN 'apache' WHEN form = 4 THEN 'syslog' WHEN form = 8 THEN 'epoch' END AS f FROM ({mixed})), s AS (SELECT * FROM l WHERE line <> '' ORDER BY lineno LIMIT 20) SELECT f AS format, count(*) AS votes FROM s WHERE f IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, min(lineno) LIMIT 1")
+def vote_format(spark, sf):
+    return rows.vote_format(log_mixed(spark, sf))

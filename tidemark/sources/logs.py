@@ -60,12 +60,32 @@ def read_rotated(spark: SparkSession, base: str, include_gz: bool = True) -> Dat
     return read_log(spark, *rotated(spark, base, include_gz))
 
 
-def write_lines(df: DataFrame, path: str, col: str = "line") -> int:
-    """Lines in order of (file_seq, lineno) as text files; their number is returned."""
-    df.orderBy("file_seq", "lineno").select(F.col(col).alias("value")).write.mode("overwrite").text(path)
+def write_lines(df: DataFrame, path: str, col: str = "line", *, numbers: bool = False, count_only: bool = False, order: tuple[str, ...] = ("file_seq", "lineno")) -> int:
+    """Lines in the given order as text files, with their places ahead of them if ``numbers``; their number is returned.
+
+    With ``count_only`` the number alone is written. Places need a checkpoint directory.
+    """
+    if count_only:
+        counted = df.agg(F.count("*").cast("string").alias("value"))
+        counted.write.mode("overwrite").text(path)
+        return int(df.sparkSession.read.text(path).first()[0])
+    rows = df.select(*order, F.col(col).alias("value"))
+    if numbers:
+        from tidemark.functions.report import numbered as shown
+        from tidemark.operators.ordered import numbered
+
+        rows = numbered(rows, *order, name="_place").withColumn("value", shown(F.col("value"), F.col("_place")))
+    rows.orderBy(*order).select("value").write.mode("overwrite").text(path)
     return df.sparkSession.read.text(path).count()
 
 
+def write_merged(df: DataFrame, path: str, *, tag: bool = False, skip_untimed: bool = False) -> int:
+    """Lines of several files by time as text files, see ``ordered.merge``; their number is returned."""
+    from tidemark.operators.ordered import merge
+
+    return write_lines(merge(df, skip_untimed, tag), path, order=("rank",))
+
+
 def bucket_key(line, field: str | None = None, pattern: str | None = None):
     """Where a line goes when a log is split: by a field (``unknown`` without) or by the first group of a pattern (``default``)."""
     from tidemark.functions.fields import field as get
