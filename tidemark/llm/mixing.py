@@ -156,7 +156,7 @@ def mix(
     block_words: int = 4096,
     shard_words: int = 1 << 24,
     least_shards: int = 16,
-    cell_rows: int = 16_384,
+    cell_rows: int = 1024,
     seed: int = 2024,
 ) -> Mix:
     """Draws a mixture of all rows of ``df``.
