@@ -177,3 +177,33 @@ def test_follow_reads_a_line_longer_than_a_batch(tmp_path):
     with path.open("ab") as f:
         f.write(b"\n")
     assert [r[2] for r in reader.read(at)[0]] == ["y" * 50]
+
+
+def test_follow_shared_deals_each_line_to_one_range(tmp_path):
+    path = tmp_path / "shared.log"
+    path.write_bytes(b"a\n" + b"x" * 95 + b"\r\n\nb\n" + b"y" * 50)
+    for most in (1, 2, 7, 10, 99, 100, 1000):
+        reader = FollowSource({"path": str(path), "fromStart": "true", "shared": "true", "maxBytes": str(most)}).streamReader(None)
+        end = reader.latestOffset()
+        rows = [r for p in reader.partitions(reader.initialOffset(), end) for r in reader.read(p)]
+        assert end == {"at": 102} and [r[1:] for r in rows] == [(0, "a"), (2, "x" * 95), (99, ""), (100, "b")]
+    assert reader.partitions({"at": 152}, end) == []  # within a line still being written
+    path.write_bytes(b"new\n")
+    assert [r[2] for p in reader.partitions(end, reader.latestOffset()) for r in reader.read(p)] == ["new"]
+    path.write_bytes(b"")
+    assert reader.latestOffset() == {"at": 0} and reader.partitions({"at": 0}, {"at": 0}) == []
+
+
+def test_follow_shared_as_a_stream(spark, tmp_path):
+    path = tmp_path / "live.log"
+    path.write_text("old\n")
+    query = follow(spark, str(path), shared=True).writeStream.format("memory").queryName("live_shared").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        query.processAllAvailable()
+        for more in ("new 1\nnew 2\npart", " done\n"):
+            with path.open("a") as f:
+                f.write(more)
+            query.processAllAvailable()
+        assert [r.line for r in spark.table("live_shared").orderBy("offset").collect()] == ["new 1", "new 2", "part done"]
+    finally:
+        query.stop()

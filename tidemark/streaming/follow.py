@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition, SimpleDataSourceStreamReader
 
 from tidemark.functions import timestamps
 
@@ -51,8 +51,57 @@ class _Reader(SimpleDataSourceStreamReader):
         return rows, at + end
 
 
+class _SharedReader(DataSourceStreamReader):
+    """The driver keeps offsets only; tasks read ranges of ``maxBytes``, each the lines that begin in its own."""
+
+    def __init__(self, options: dict):
+        self.path, self.from_start = options["path"], options.get("fromStart", "false") == "true"
+        self.most = int(options.get("maxBytes", 8 << 20))
+
+    def initialOffset(self) -> dict:
+        return {"at": 0 if self.from_start or not os.path.exists(self.path) else os.path.getsize(self.path)}
+
+    def latestOffset(self) -> dict:
+        """The end of the last whole line, looked for from the end of the file; 0 if there is none."""
+        if not os.path.exists(self.path):
+            return {"at": 0}
+        with open(self.path, "rb") as f:
+            at = f.seek(0, os.SEEK_END)
+            while at:
+                begin = max(0, at - (1 << 16))
+                f.seek(begin)
+                if (found := f.read(at - begin).rfind(b"\n")) >= 0:
+                    return {"at": begin + found + 1}
+                at = begin
+        return {"at": 0}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        """Ranges of (begin, end, first of the batch). An end ahead of the start is that of a file that has shrunk, or of a
+        start within a line that is still being written; only the former is read anew."""
+        at, until = start["at"], end["at"]
+        if until < at:
+            if os.path.exists(self.path) and os.path.getsize(self.path) >= at:
+                return []
+            at = 0
+        return [InputPartition((a, min(a + self.most, until), a == at)) for a in range(at, until, self.most)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        at, until, first = partition.value
+        with open(self.path, "rb") as f:
+            if not first:  # from the byte before, so that a line that begins with the range is its own
+                f.seek(at - 1)
+                at += len(f.readline()) - 1
+            f.seek(at)
+            while at < until and (line := f.readline()):
+                yield self.path, at, line.removesuffix(b"\n").removesuffix(b"\r").decode("utf-8", "replace")
+                at += len(line)
+
+
 class FollowSource(DataSource):
-    """Rows (file, offset, line). Options: path, fromStart (false), maxBytes of a batch (more for a longer line)."""
+    """Rows (file, offset, line). Options: path, fromStart (false), maxBytes of a batch (more for a longer line), shared.
+
+    With ``shared`` (false) every machine sees the path: a batch is all that is there, read by tasks of ``maxBytes`` each.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -61,14 +110,24 @@ class FollowSource(DataSource):
     def schema(self) -> str:
         return "file string, offset long, line string"
 
+    def streamReader(self, schema) -> _SharedReader:
+        if self.options.get("shared", "false") != "true":
+            return super().streamReader(schema)  # not implemented: the driver's reader serves
+        return _SharedReader(self.options)
+
     def simpleStreamReader(self, schema) -> _Reader:
         return _Reader(self.options)
 
 
-def follow(spark: SparkSession, path: str, from_start: bool = False) -> DataFrame:
-    """The lines appended to a file, as a stream. The file must be visible to the driver, which reads it, as for any tail."""
+def follow(spark: SparkSession, path: str, from_start: bool = False, shared: bool = False) -> DataFrame:
+    """The lines appended to a file, as a stream.
+
+    The driver reads the file, as for any tail of its own machine's; one on a folder that all machines share (``shared``)
+    is read by tasks, and a line is in one task's range alone.
+    """
     spark.dataSource.register(FollowSource)
-    return spark.readStream.format("follow").option("path", path).option("fromStart", str(from_start).lower()).load()
+    flags = {"fromStart": str(from_start).lower(), "shared": str(shared).lower()}
+    return spark.readStream.format("follow").option("path", path).options(**flags).load()
 
 
 def live_rate(lines: DataFrame, seconds: int = 60, late: str = "10 minutes") -> DataFrame:
