@@ -5,8 +5,8 @@ of ``documents``. Between stages, rows are written as Parquet in the shared chec
 executor costs one stage at most; a stage's folder goes when the next one's is written.
 
 Null and empty texts have no language and go in the first stage, so no later one meets them; each stage called by itself
-treats them as its operator says. Very long texts are read whole. Repeated rows stay until near-dedup; rows with a null id link with
-nothing there and stay. An empty table gives an empty one in every stage, and further columns are carried along.
+treats them as its operator says. Very long texts are read whole. Repeated rows of one id are one document to
+near-dedup: they stay or go together, and the mixture draws each by itself; rows with a null id link with nothing there and stay. An empty table gives an empty one in every stage, and further columns are carried along.
 """
 
 from __future__ import annotations
@@ -51,7 +51,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language ID", language), ("quality classifier", good), ("MinHash near-dedup", distinct), ("mixing sources", mixture), ("BPE encoding", tokens)]
 
-#: SQL can express neither the classifiers nor the draws; tests/test_pipeline.py holds near-dedup against brute force and checks the others.
+#: SQL can express neither the classifiers nor the draws; tests/llm/test_pipeline.py holds near-dedup against brute force and checks the others.
 ORACLE_SQL = None
 
 
