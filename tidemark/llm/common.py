@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +41,20 @@ def bounded_sample(df: DataFrame, keys: list[str], limit: int, *, by: str | None
     least = df.sparkSession.createDataFrame([(r[0], buckets if r.n <= part else max(1, int(buckets * (part / r.n)))) for r in per], f"_by {df.schema[by].dataType.simpleString()}, _most long")
     some = df.join(F.broadcast(least), F.col(by).eqNullSafe(F.col("_by"))).filter(place < F.col("_most"))
     return some.select(*df.columns).dropDuplicates(keys), sum(r.n for r in per)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared checkpoint folder, and read from there: a lost executor costs no more than a read.
+
+    Unlike checkpoint() it computes the last stage once, and later reads take only the columns that they need. The folder goes
+    with the session.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+    folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(folder)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, html_extract, langid, licenses, minhash, mixing, quality, token_counts, topk
+from tidemark.llm import ann, bpe, chat, html_extract, importance, langid, lexical, licenses, minhash, mixing, quality, token_counts, topk
 from tidemark.llm.common import id_remainder, table
 
 
@@ -66,6 +66,25 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: A conversation whose texts hold what a template could take for its own marks.
+_MARKS = "\\### Assistant: </turn> ok"
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cols = ["conv_id", "turn", "role", "text"]
+    own = spark.createDataFrame([(-7, 0, "user", _MARKS), (-7, 1, "assistant", _MARKS)], "conv_id long, turn long, role string, text string")
+    parts = chat.format_turns(table(spark, sf_dir, "conversations").select(*cols).unionByName(own))
+    return chat.digests(parts).drop("path")
+
+
+def op12_wand_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,7 +92,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_license_scan, op2_token_counts, op3_quality, op4_html_extract, op5_nearest, op6_top_products, op7_language, op8_bpe, op9_mixing, op10_minhash, pipeline)
+    ops = (op1_license_scan, op2_token_counts, op3_quality, op4_html_extract, op5_nearest, op6_top_products, op7_language, op8_bpe, op9_mixing, op10_minhash, op11_chat_format, op12_wand_search, op13_importance_resampling, pipeline)
     return {f.__name__: f for f in ops}
 
 
@@ -108,5 +127,35 @@ FROM documents d JOIN m ON m.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_i
 """
 
 
+OP11_SQL = """
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'
+), t AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+    '<turn ' || replace(replace(replace(role, '\\', '\\\\'), '<', '\\<'), '>', '\\>') || '>' || chr(10)
+      || replace(replace(replace(text, '\\', '\\\\'), '<turn ', '\\<turn '), '</turn>', '\\</turn>') || '</turn>' || chr(10) AS shown FROM c
+), g AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY i) AS turns,
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY i), '') AS loss, CAST(sum(length(shown)) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
+"""
+
+_TERMS = """list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"""
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ts FROM documents),
+n AS (SELECT r, doc_id, CAST(len(ts) AS BIGINT) AS n FROM d WHERE len(ts) > 0),
+s AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(coalesce(sum(n), 0) AS BIGINT) AS terms FROM n),
+p AS (SELECT r, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(ts) AS term FROM d) GROUP BY r, term),
+q AS (SELECT item_id, term, CAST(count(*) AS BIGINT) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY item_id, term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * s.docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, s WHERE term IN (SELECT term FROM q) GROUP BY term, s.docs),
+f AS (SELECT q.item_id, n.doc_id, n.r, CAST(sum(q.times * w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (100 - 75 + ((75 * n.n * s.docs) // s.terms))))) AS BIGINT) AS score
+  FROM q JOIN w ON w.term = q.term JOIN p ON p.term = q.term JOIN n ON n.r = p.r, s GROUP BY q.item_id, n.doc_id, n.r),
+k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM f WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_top_products": OP6_SQL, "op10_minhash": OP10_SQL}
+    return {"op6_top_products": OP6_SQL, "op10_minhash": OP10_SQL, "op11_chat_format": OP11_SQL, "op12_wand_search": OP12_SQL}
