@@ -62,18 +62,17 @@ def pointers(links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     the number of nodes, only theirs are left, and they go.
     """
     state = stored(links.select("node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("score").alias("total")), "chat-links")
-    n, levels = state.count(), []
+    n, levels, done = state.count(), [], state.filter("up is null")
     while True:
-        level = state.filter("up is not null").select("node", "up")
-        left = level.count()
-        if left == 0 or 1 << len(levels) > n:
-            break
-        levels.append(level)
-        # what lies ahead of the pointer is added to what lies before it
-        ahead = state.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("total").alias("_total"))
-        joined = state.join(ahead, "up", "left")
-        state = stored(joined.select("node", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total")), "chat-reach")
-    return state.filter("up is null").drop("up"), levels
+        open_ = state.filter("up is not null")
+        if 1 << len(levels) > n or open_.isEmpty():
+            return done.drop("up"), levels
+        levels.append(open_.select("node", "up"))
+        # what lies ahead of the pointer is added to what lies before it; nodes that have reached their root wait aside
+        ahead = open_.unionByName(done).select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("total").alias("_total"))
+        joined = open_.join(ahead, "up")
+        state = stored(joined.select("node", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"), (F.col("total") + F.col("_total")).alias("total")), "chat-reach")
+        done = done.unionByName(state.filter("up is null"))
 
 
 def unfold(leaves: DataFrame, levels: list[DataFrame]) -> DataFrame:
