@@ -117,7 +117,7 @@ def weighted(docs: DataFrame, gain: np.ndarray, most_words: int, seed: int) -> D
     return rows.mapInArrow(run, "doc_id long, n_words long, n_features long, weight long, score long")
 
 
-def offsets(scores: DataFrame, coarse: int = 1 << 16) -> DataFrame:
+def offsets(scores: DataFrame, coarse: int = 1 << 12) -> DataFrame:
     """Rows (score, n, above): how many rows have each score, and how many a higher one.
 
     Counts are summed from the top in two steps, over blocks of ``coarse`` neighbouring scores and then in each block, so no
