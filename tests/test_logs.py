@@ -8,7 +8,7 @@ from tidemark.functions import fields, levels, text, timestamps
 from tidemark.functions.regex import to_java
 from tidemark.operators import ordered, rows
 from tidemark.sources import logs
-from tidemark.streaming.follow import FollowSource, follow
+from tidemark.streaming.follow import FollowSource, follow, live_rate, run_until
 
 
 def log(spark, *lines, file="a"):
@@ -173,7 +173,7 @@ def test_follow_reads_a_line_longer_than_a_batch(tmp_path):
         got = list(rows)
         assert got == list(reader.readBetweenOffsets(at, end))
         lines, at = lines + [r[2] for r in got], end
-    assert lines == ["a", "x" * 95, "b"] and at == {"at": 100}
+    assert lines == ["a", "x" * 95, "b"] and at["at"] == 100
     with path.open("ab") as f:
         f.write(b"\n")
     assert [r[2] for r in reader.read(at)[0]] == ["y" * 50]
@@ -186,12 +186,118 @@ def test_follow_shared_deals_each_line_to_one_range(tmp_path):
         reader = FollowSource({"path": str(path), "fromStart": "true", "shared": "true", "maxBytes": str(most)}).streamReader(None)
         end = reader.latestOffset()
         rows = [r for p in reader.partitions(reader.initialOffset(), end) for r in reader.read(p)]
-        assert end == {"at": 102} and [r[1:] for r in rows] == [(0, "a"), (2, "x" * 95), (99, ""), (100, "b")]
-    assert reader.partitions({"at": 152}, end) == []  # within a line still being written
+        assert end["at"] == 102 and [r[1:] for r in rows] == [(0, "a"), (2, "x" * 95), (99, ""), (100, "b")]
+    assert reader.partitions(reader.mark(str(path), 152, 0), end) == []  # within a line still being written
     path.write_bytes(b"new\n")
     assert [r[2] for p in reader.partitions(end, reader.latestOffset()) for r in reader.read(p)] == ["new"]
     path.write_bytes(b"")
-    assert reader.latestOffset() == {"at": 0} and reader.partitions({"at": 0}, {"at": 0}) == []
+    empty = reader.latestOffset()
+    assert empty["at"] == 0 and reader.partitions(empty, empty) == []
+
+
+def rotate(path, how):
+    """Moves what ``path`` holds to ``path.1``, as log rotation does; older ones move up."""
+    for n in range(9, 0, -1):
+        for end in ("", ".gz"):
+            old = path.with_name(f"{path.name}.{n}{end}")
+            if old.exists():
+                old.rename(path.with_name(f"{path.name}.{n + 1}{end}"))
+    first = path.with_name(f"{path.name}.1")
+    if how == "copy":
+        first.write_bytes(path.read_bytes())
+        path.write_bytes(b"")
+    else:
+        path.rename(first)
+        path.write_bytes(b"")
+    if how == "gz":
+        with gzip.open(f"{first}.gz", "wb") as f:
+            f.write(first.read_bytes())
+        first.unlink()
+
+
+@pytest.mark.parametrize("shared", [False, True])
+@pytest.mark.parametrize("how", ["rename", "copy", "gz"])
+@pytest.mark.parametrize("most", [7, 1000])
+def test_follow_across_rotation(tmp_path, shared, how, most):
+    path, written = tmp_path / "app.log", []
+    path.write_bytes(b"")
+    source = FollowSource({"path": str(path), "fromStart": "true", "maxBytes": str(most), "shared": str(shared).lower()})
+    reader = source.streamReader(None) if shared else source.simpleStreamReader(None)
+
+    def append(n, end=b"\n"):
+        for _ in range(n):
+            written.append(f"line {len(written)}")
+            with path.open("ab") as f:
+                f.write(written[-1].encode() + (end if _ == n - 1 else b"\n"))
+
+    def step(at):
+        if shared:
+            end = reader.latestOffset()
+            return [r for p in reader.partitions(at, end) for r in reader.read(p)], end
+        rows, end = reader.read(at)
+        rows = list(rows)
+        assert rows == list(reader.readBetweenOffsets(at, end))
+        return rows, end
+
+    at, got = reader.initialOffset(), []
+    # what is written ahead of each rotation, with a line feed at its end or not, and how often the file is read then
+    for before, end, reads, rotations, after in ((3, b"\n", 1, 1, 2), (2, b"\n", 0, 1, 9), (4, b"", 1, 2, 1), (0, b"\n", 1, 1, 30)):
+        append(before, end)
+        for _ in range(reads):
+            rows, at = step(at)
+            got += rows
+        for i in range(rotations):
+            rotate(path, how)
+            if i + 1 < rotations:
+                append(2)
+        append(after)  # so it may have outgrown the offset
+    for _ in range(200):
+        rows, new = step(at)
+        got += rows
+        if new == at:
+            break
+        at = new
+    assert [r[2] for r in got] == written
+    if not shared:
+        assert [r[1] for r in got] == sorted({r[1] for r in got})
+
+
+def test_follow_of_a_file_emptied_or_deleted(tmp_path):
+    path = tmp_path / "app.log"
+    path.write_bytes(b"one\ntwo\n")
+    reader = FollowSource({"path": str(path)}).simpleStreamReader(None)
+    at = reader.initialOffset()
+    path.write_bytes(b"three\nfour\nfive\n")  # longer than before, with no copy of what it held
+    rows, at = reader.read(at)
+    assert [r[1:] for r in rows] == [(8, "three"), (14, "four"), (19, "five")]
+    path.unlink()
+    assert list(reader.read(at)[0]) == [] and reader.read(at)[1] == at
+    path.write_bytes(b"six\n")
+    assert [r[2] for r in reader.read(at)[0]] == ["six"]
+
+
+def test_follow_ends(spark, tmp_path):
+    path = tmp_path / "ends.log"
+    path.write_text("".join(f"l{i}\n" for i in range(10)))
+    few = follow(spark, str(path), from_start=True, lines=4).writeStream.format("memory").queryName("few").option("checkpointLocation", str(tmp_path / "c")).start()
+    assert run_until(few, lines=4, timeout=60) >= 4 and not few.isActive
+    assert [r.line for r in spark.table("few").orderBy("offset").collect()] == ["l0", "l1", "l2", "l3"]
+    every = follow(spark, str(path), from_start=True).writeStream.format("memory").queryName("every").option("checkpointLocation", str(tmp_path / "d")).start()
+    every.processAllAvailable()
+    path.unlink()
+    assert run_until(every, path=str(path), timeout=60) == 10 and not every.isActive
+
+
+def test_live_rate(spark, tmp_path):
+    path = tmp_path / "rate.log"
+    path.write_text("2024-01-01T00:00:05 a\n2024-01-01T00:00:50 b\nno time\n2024-01-01T00:01:10 c\n2024-01-01T01:00:00 d\n")
+    query = live_rate(follow(spark, str(path), from_start=True), 60, "1 minute").writeStream.format("memory").queryName("rates").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        query.processAllAvailable()
+        got = {str(r.bucket): r["count"] for r in spark.table("rates").collect()}
+    finally:
+        query.stop()
+    assert got == {"2024-01-01 00:00:00": 2, "2024-01-01 00:01:00": 1}
 
 
 def test_follow_shared_as_a_stream(spark, tmp_path):
