@@ -164,7 +164,8 @@ def render(line: Column, lineno: Column, text: str) -> Column:
                 out.append(F.lit(part))
                 continue
             own = {"_line": F.rtrim(line), "_lineno": lineno.cast("string")}.get(part, F.lit("{" + part + "}"))
-            out.append(F.coalesce(fl.value(found, part, "dotted"), own))
+            null = F.when(F.map_contains_key(found["json"], F.lit(part)), F.lit("None"))  # a JSON null
+            out.append(F.coalesce(fl.value(found, part, "dotted"), null, own))
         return F.concat(*out)
 
     return let(fl.parsed(line, "dotted"), filled)
@@ -219,7 +220,7 @@ def normalize(line: Column, target: str = "json") -> Column:
 
 
 def cast_field(line: Column, name: str, kind: str) -> Column:
-    """One field of a JSON line as int, float, bool or str; the line stays if the field is absent or does not convert."""
+    """One field of a JSON line, not those of that name in its values, as int, float, bool or str; the line is compact then, and stays if the field is absent or does not convert."""
     m = fl.from_json(line)
     v = F.trim(F.try_element_at(m, F.lit(name)))
     value = {
@@ -230,11 +231,28 @@ def cast_field(line: Column, name: str, kind: str) -> Column:
     }[kind]
     if kind == "str":
         value = F.substring(value, F.lit(2), F.length(value) - 2)
-    head = rf'("\Q{name}\E"\s*:\s*)(?:"(?:[^"\\]|\\.)*"|[^,{{}}\[\]\s]+)'
-    put = lambda x: F.regexp_replace(line, F.lit(head), F.concat(F.lit("$1"), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))))
+    text = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"(?s)^\[|\]$", "")
+
+    def put(x: Column) -> Column:
+        one = lambda e: F.concat(text(e["key"]), F.lit(":"), F.when(e["key"] == name, x).otherwise(F.coalesce(text(e["value"]), F.lit("null"))))
+        return F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(typed_json(line)), one), ","), F.lit("}"))
+
     return F.when(m.isNotNull(), let(value, lambda x: F.when(x.isNotNull(), put(x)).otherwise(line))).otherwise(line)
 
 
+#: The white space that stripping takes.
+BLANKS = r"[\s\x1c-\x1f]+"
+
+
+def stripped(line: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(line, f"(?U)^{BLANKS}|{BLANKS}$", "")
+
+
+def rstripped(line: Column) -> Column:
+    return F.regexp_replace(line, f"(?U){BLANKS}$", "")
+
+
 def detect_format(line: Column) -> Column:
     out = F.lit(None).cast("string")
     for name, p in reversed(FORMATS.items()):

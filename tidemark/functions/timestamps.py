@@ -48,6 +48,13 @@ def raw(line: Column) -> Column:
     return F.coalesce(*map(found, PATTERNS))
 
 
+def after(line: Column) -> Column:
+    """What follows the first form of time in a line, without blanks ahead of it; the line itself if it has no valid time."""
+    place = F.instr(line, raw(line)) + F.length(raw(line))
+    rest = F.regexp_replace(F.substring(line, place, F.length(line)), r"(?U)^\s+", "")
+    return F.when(extract(line).isNotNull() & raw(line).isNotNull(), rest).otherwise(line)
+
+
 def extract(line: Column) -> Column:
     """The timestamp of a line. In a JSON object the first present key decides, even if its value is no time; else the first
     form found in the text decides, without a second try. Each pattern is looked for once."""

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from tidemark.functions import timestamps
 from tidemark.functions.regex import to_java
+from tidemark.functions.text import rstripped
 from tidemark.operators.carried import BLOCK, blocks, chunk_seconds, compact_json, dedupe_cached, micros  # noqa: F401
 
 
@@ -143,12 +144,13 @@ def numbered(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFra
     return rows.join(F.broadcast(before), "_range").select(*df.columns, place.cast("long").alias(name))
 
 
-def diff(left: DataFrame, right: DataFrame, key: Column | None = None) -> DataFrame:
+def diff(left: DataFrame, right: DataFrame, key: Column | None = None, ignore_timestamps: bool = False) -> DataFrame:
     """Rows (side, lineno_left, lineno_right, text). Of equal right lines the last is the partner of all equal left ones; the
-    others count as right."""
-    k = F.rtrim("line") if key is None else key
-    a = left.select(k.alias("_k"), F.col("lineno").alias("lineno_left"), F.rtrim("line").alias("text"))
-    b = right.select(k.alias("_k"), F.col("lineno").alias("lineno_right"), F.rtrim("line").alias("text"))
+    others count as right. Lines are compared without white space at their end, and by what follows their time if ``ignore_timestamps``."""
+    bare = rstripped(F.col("line"))
+    k = key if key is not None else timestamps.after(bare) if ignore_timestamps else bare
+    a = left.select(k.alias("_k"), F.col("lineno").alias("lineno_left"), bare.alias("text"))
+    b = right.select(k.alias("_k"), F.col("lineno").alias("lineno_right"), bare.alias("text"))
     last = b.groupBy("_k").agg(F.max("lineno_right").alias("lineno_right"))
     both = a.join(last, "_k", "left")
     side = F.when(F.col("lineno_right").isNull(), "left").otherwise("both")

@@ -21,7 +21,7 @@ def time_range(df: DataFrame, start: datetime | None = None, end: datetime | Non
         inside &= ts >= F.lit(start).cast("timestamp_ntz")
     if end is not None:
         inside &= ts <= F.lit(end).cast("timestamp_ntz")
-    return df.filter((F.trim("line") != "") & (inside | (ts.isNull() & F.lit(keep_untimed))))
+    return df.filter((F.col("line") != "") & (inside | (ts.isNull() & F.lit(keep_untimed))))
 
 
 def last_window(df: DataFrame, seconds: float, anchor: datetime) -> DataFrame:
@@ -56,8 +56,12 @@ def every(df: DataFrame, n: int) -> DataFrame:
     return df.filter(F.col("lineno") % n == 0)
 
 
-def fraction(df: DataFrame, p: float, seed: int | None = None) -> DataFrame:
-    return df.sample(False, p, seed)
+def fraction(df: DataFrame, p: float, seed: int = 0) -> DataFrame:
+    """Each line with probability ``p``, by a hash of seed, file and number: the same lines for any partitioning and in every run."""
+    if not 0 <= p <= 1:
+        raise ValueError("a probability lies between 0 and 1")
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce("file", F.lit("")), F.col("lineno").cast("string"))), 1, 13), 16, 10).cast("long")
+    return df.filter(draw < F.lit(int(p * (1 << 52))))
 
 
 def head(df: DataFrame, n: int = 10) -> DataFrame:
@@ -77,7 +81,9 @@ def clip(df: DataFrame, start: int, end: int | None = None) -> DataFrame:
 
 
 def tail(df: DataFrame, n: int = 10) -> DataFrame:
-    return df.orderBy(F.desc("lineno")).limit(max(0, n))
+    """The last ``n`` lines of each file."""
+    last = W.partitionBy("file").orderBy(F.desc("lineno"))
+    return df.withColumn("_last", F.row_number().over(last)).filter(F.col("_last") <= max(0, n)).drop("_last")
 
 
 def count_field(df: DataFrame, name: str) -> DataFrame:
@@ -91,15 +97,26 @@ def count_pattern(df: DataFrame, pattern: str, ignore_case: bool = False) -> Dat
     """All hits by their first group, or by the whole hit where the pattern has none or it took no part."""
     import re
 
-    p = F.lit(to_java(pattern, ignore_case))
-    hits = F.regexp_extract_all("line", p, F.lit(0))
-    if re.compile(pattern).groups:
-        hits = F.zip_with(F.regexp_extract_all("line", p, F.lit(1)), hits, lambda g, h: F.when(g != "", g).otherwise(h))
+    p, groups = to_java(pattern, ignore_case), re.compile(pattern).groups
+    hits = F.regexp_extract_all("line", F.lit(p), F.lit(0))
+    if groups:
+        # an empty first group that took part is told by one more: its reference matches then, and the hit's last character is taken
+        flags, body = p[: p.index(")") + 1], p[p.index(")") + 1 :]
+        p = F.lit(f"{flags}(?:{body})(?:(?=\\1)(?<=([\\s\\S])))?")
+        found = F.arrays_zip(hits.alias("hit"), F.regexp_extract_all("line", p, F.lit(1)).alias("first"), F.regexp_extract_all("line", p, F.lit(groups + 1)).alias("took"))
+        hits = F.transform(found, lambda x: F.when((x["first"] != "") | (x["took"] != ""), x["first"]).otherwise(x["hit"]))
     return df.select(F.explode(hits).alias("value")).groupBy("value").count()
 
 
 def count_lines(df: DataFrame) -> DataFrame:
-    return df.select(F.trim("line").alias("value")).filter("value <> ''").groupBy("value").count()
+    from tidemark.functions.text import stripped
+
+    return df.select(stripped(F.col("line")).alias("value")).filter("value <> ''").groupBy("value").count()
+
+
+def top(counts: DataFrame, n: int) -> DataFrame:
+    """The ``n`` largest of counted values (value, count), ties in the order of the values."""
+    return counts.orderBy(F.desc("count"), "value").limit(max(0, n))
 
 
 def frequency(df: DataFrame, name: str | None = None, top: int | None = None) -> DataFrame:

@@ -139,3 +139,21 @@ def pivot_lines(pivot: DataFrame, with_value: bool = True) -> DataFrame:
     head, rule = report.pivot_header(with_value)
     top = pivot.sparkSession.createDataFrame([(0, None, head), (1, None, rule)], "part int, key string, line string")
     return top.unionByName(pivot.select(F.lit(2).alias("part"), "key", line.alias("line")))
+
+
+def context_lines(df: DataFrame, show_lineno: bool = False, separator: str = "--") -> DataFrame:
+    """Rows (file, lineno, part, line): the text of a context search (``ordered.context``), a separator (part 0) ahead of each line (part 1)
+    after a gap, but for the first line of a file's text."""
+    first = df.groupBy("file").agg(F.min("lineno").alias("_first"))
+    gap = F.col("gap") & (F.col("lineno") > F.col("_first"))
+    parts = df.join(first, "file").select("file", "lineno", report.context(F.col("line"), F.col("lineno"), gap, show_lineno, separator).alias("parts"))
+    return parts.select("file", "lineno", F.size("parts").alias("n"), F.posexplode("parts").alias("i", "line")).select("file", "lineno", (F.col("i") + 2 - F.col("n")).alias("part"), "line")
+
+
+def diff_lines(df: DataFrame, only: str | None = None, colour: bool = False) -> DataFrame:
+    """Rows (side, lineno_left, lineno_right, line): a comparison (``ordered.diff``) as text, of one side if ``only`` names it."""
+    if only is not None:
+        if only not in report.SIDES:
+            raise ValueError(f"not a side: {only}")
+        df = df.filter(F.col("side") == only)
+    return df.select("side", "lineno_left", "lineno_right", report.diff(F.col("side"), F.col("text"), colour).alias("line"))

@@ -87,17 +87,19 @@ def write_merged(df: DataFrame, path: str, *, tag: bool = False, skip_untimed: b
 
 
 def bucket_key(line, field: str | None = None, pattern: str | None = None):
-    """Where a line goes when a log is split: by a field (``unknown`` without) or by the first group of a pattern (``default``)."""
+    """Where a line goes when a log is split: by a field (``unknown`` without) or by a pattern (``default`` without a hit): by its first named group, else its first group, else the whole hit."""
     from tidemark.functions.fields import field as get
     from tidemark.functions.regex import to_java
+    from tidemark.functions.text import stripped
 
     if field is not None:
         key = F.coalesce(get(line, field), F.lit("unknown"))
     else:
         p = to_java(pattern)
-        group = 1 if re.compile(pattern).groups else 0
+        named = re.compile(pattern).groupindex
+        group = min(named.values()) if named else min(1, re.compile(pattern).groups)
         key = F.when(line.rlike(p), F.regexp_extract(line, p, group)).otherwise("default")
-    safe = F.regexp_replace(key, r"(?U)[^\w.\-]", "_")
+    safe = F.regexp_replace(stripped(key), r"(?U)[^\w.\-]", "_")
     return F.when(safe == "", "unknown").otherwise(safe)
 
 

@@ -29,6 +29,7 @@ class _Log:
     def __init__(self, options: dict):
         self.path, self.from_start = options["path"], options.get("fromStart", "false") == "true"
         self.most = int(options.get("maxBytes", 8 << 20))
+        self.start = int(options["start"]) if "start" in options else None
 
     def names(self) -> list[str]:
         """The rotated files, oldest first, and the live one, as far as they exist."""
@@ -108,6 +109,8 @@ class _Log:
         return out
 
     def initialOffset(self) -> dict:
+        if self.start is not None:
+            return self.mark(self.path, self.start, 0)
         if self.from_start or not os.path.exists(self.path):
             return self.mark(self.path, 0, 0)
         return self.mark(self.path, os.path.getsize(self.path), 0)
@@ -204,7 +207,7 @@ class _SharedReader(_Log, DataSourceStreamReader):
 
 
 class FollowSource(DataSource):
-    """Rows (file, offset, line). Options: path, fromStart (false), maxBytes of a batch (more for a longer line), shared.
+    """Rows (file, offset, line). Options: path, fromStart (false), maxBytes of a batch (more for a longer line), shared, start.
 
     ``file`` is the path followed, also for lines that rotation has moved elsewhere. ``offset`` counts the bytes of the log from the file
     on that was live at first, over all rotations, so it orders the lines; with ``shared`` it begins anew in each file.
@@ -228,15 +231,16 @@ class FollowSource(DataSource):
         return _Reader(self.options)
 
 
-def follow(spark: SparkSession, path: str, from_start: bool = False, shared: bool = False, lines: int | None = None, max_bytes: int = 8 << 20) -> DataFrame:
-    """The lines appended to a file, as a stream; the first ``lines`` of them, if given.
+def follow(spark: SparkSession, path: str, from_start: bool = False, shared: bool = False, lines: int | None = None, max_bytes: int = 8 << 20, start: int | None = None) -> DataFrame:
+    """The lines appended to a file, as a stream; the first ``lines`` of them, if given. It begins at byte ``start``, at the file's
+    beginning if ``from_start``, or else at its end.
 
     The driver reads the file, as for any tail of its own machine's; one on a folder that all machines share (``shared``)
     is read by tasks, and a line is in one task's range alone. Files renamed to ``path.N`` (``.gz`` too), or copied there and truncated, are read
     to their end before the new one; lines are lost only where a file is deleted, or emptied without a copy, before it is read.
     """
     spark.dataSource.register(FollowSource)
-    flags = {"fromStart": str(from_start).lower(), "shared": str(shared).lower(), "maxBytes": max_bytes}
+    flags = {"fromStart": str(from_start).lower(), "shared": str(shared).lower(), "maxBytes": max_bytes} | ({} if start is None else {"start": start})
     out = spark.readStream.format("follow").option("path", path).options(**flags).load()
     return out if lines is None else out.limit(lines)
 
