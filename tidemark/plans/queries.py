@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import fields, levels, report, text, timestamps
 from tidemark.operators import ordered, rows, tables
+from tidemark.sources import logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -495,11 +496,7 @@ g AS (SELECT lineno, line, lineno - lag(lineno) OVER (ORDER BY lineno) > 1 AS ga
 SELECT lineno, 1 AS part, lineno || ':' || line AS line FROM g UNION ALL SELECT lineno, 0, '--' FROM g WHERE gap"""
 )
 def context_lines(spark, sf):
-    c = ordered.context(log_kv(spark, sf), "ERROR", before=2, after=1, block=30_000)
-    first = c.agg(F.min("lineno").alias("first"))
-    shown = report.context(F.col("line"), F.col("lineno"), F.col("gap") & (F.col("lineno") > F.col("first")), show_lineno=True)
-    parts = c.crossJoin(F.broadcast(first)).select("lineno", shown.alias("parts"))
-    return parts.select("lineno", F.size("parts").alias("n"), F.posexplode("parts").alias("i", "line")).select("lineno", (F.col("i") + 2 - F.col("n")).alias("part"), "line")
+    return tables.context_lines(ordered.context(log_kv(spark, sf), "ERROR", before=2, after=1, block=30_000), show_lineno=True).drop("file")
 
 
 @query("WITH l AS ({kv}) SELECT lineno, line FROM l WHERE lineno > 400")
@@ -510,3 +507,95 @@ def from_line(spark, sf):
 @query("WITH l AS (SELECT *, CASE WHEN form IN (0, 1, 2, 6, 7) THEN 'iso8601' WHEN form = 3 THEN 'apache' WHEN form = 4 THEN 'syslog' WHEN form = 8 THEN 'epoch' END AS f FROM ({mixed})), s AS (SELECT * FROM l WHERE line <> '' ORDER BY lineno LIMIT 20) SELECT f AS format, count(*) AS votes FROM s WHERE f IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, min(lineno) LIMIT 1")
 def vote_format(spark, sf):
     return rows.vote_format(log_mixed(spark, sf))
+
+
+# -- lines with odd white space, nested and null fields, and what depends on them -----------------------------------------
+
+ODD_SQL = """SELECT event_id + 1 AS lineno, event_id % 8 AS form, ts, user_id, event_type, CASE event_id % 8
+    WHEN 0 THEN 'user=' || user_id || chr(9) WHEN 1 THEN ' user=' || user_id || chr(13) WHEN 2 THEN '   ' WHEN 3 THEN chr(9)
+    WHEN 4 THEN '{"x": {"u": "5"}, "u": "' || user_id || '", "n": null}' WHEN 5 THEN '' WHEN 6 THEN 'x= y=' || user_id % 3
+    ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') || ' user=' || user_id || '  ' END AS line FROM events"""
+
+
+def log_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as lines with tabs, returns and blanks at their ends, nested and null fields, empty values."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    user = F.col("user_id").cast("string")
+    forms = [
+        ("user=", user, "\t"), (" user=", user, "\r"), ("   ",), ("\t",), ('{"x": {"u": "5"}, "u": "', user, '", "n": null}'), ("",),
+        ("x= y=", (F.col("user_id") % 3).cast("string")), (F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), " user=", user, "  "),
+    ]
+    line = F.lit("")
+    for i, parts in enumerate(forms):
+        line = F.when(F.col("event_id") % 8 == i, F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))).otherwise(line)
+    return e.select(F.lit("odd.log").alias("file"), (F.col("event_id") + 1).alias("lineno"), line.alias("line"))
+
+
+def odd(sql: str):
+    return query("WITH l AS (" + ODD_SQL + ") " + sql)
+
+
+@odd("SELECT trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS value, count(*) AS count FROM l WHERE trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') <> '' GROUP BY 1")
+def count_lines_odd(spark, sf):
+    return rows.count_lines(log_odd(spark, sf))
+
+
+@odd("""SELECT lineno, CASE WHEN form = 4 THEN '{"x":{"u":"5"},"u":' || user_id || ',"n":null}' ELSE line END AS out FROM l""")
+def cast_nested(spark, sf):
+    return log_odd(spark, sf).select("lineno", text.cast_field(F.col("line"), "u", "int").alias("out"))
+
+
+@odd("SELECT lineno, line FROM l WHERE line <> '' AND (form <> 7 OR date_trunc('second', ts) BETWEEN TIMESTAMP '2024-01-03 00:00:00' AND TIMESTAMP '2024-01-10 12:00:00')")
+def time_range_untimed(spark, sf):
+    return rows.time_range(log_odd(spark, sf), datetime(2024, 1, 3), datetime(2024, 1, 10, 12), keep_untimed=True).select("lineno", "line")
+
+
+@odd("SELECT lineno, CASE WHEN form = 4 THEN '[' || user_id || '|None|{nope}]' ELSE '[{u}|{n}|{nope}]' END AS out FROM l")
+def template_null(spark, sf):
+    return log_odd(spark, sf).select("lineno", text.render(F.col("line"), F.col("lineno"), "[{u}|{n}|{nope}]").alias("out"))
+
+
+@odd("SELECT value, count(*) AS count FROM (SELECT unnest(['', CAST(user_id % 3 AS VARCHAR)]) AS value FROM l WHERE form = 6) GROUP BY 1")
+def count_pattern_empty(spark, sf):
+    return rows.count_pattern(log_odd(spark, sf), r"[xy]=(\d*)")
+
+
+@odd("SELECT CASE WHEN form IN (0, 1, 7) THEN CAST(user_id AS VARCHAR) WHEN form = 6 THEN CAST(user_id % 3 AS VARCHAR) ELSE 'default' END AS bucket, count(*) AS count FROM l GROUP BY 1")
+def split_buckets(spark, sf):
+    return log_odd(spark, sf).groupBy(logs.bucket_key(F.col("line"), pattern=r"(\w+)=(?P<n>\d+ ?)").alias("bucket")).count()
+
+
+_SIDES = """WITH l AS ({kv}), a AS (SELECT lineno, line, line[21:] AS k FROM l), b AS (SELECT lineno, strftime(ts + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') || '  ' || CASE WHEN event_type = 'error' THEN 'new ' ELSE '' END || line[21:] AS line, CASE WHEN event_type = 'error' THEN 'new ' ELSE '' END || line[21:] AS k FROM l),
+m AS (SELECT k, max(lineno) AS r FROM b GROUP BY k)"""
+
+
+def _shifted(spark, sf):
+    """The events' log, and the same with other times and with some lines changed."""
+    left = log_kv(spark, sf)
+    e = spark.read.parquet(f"{sf}/events.parquet").select((F.col("event_id") + 1).alias("lineno"), F.date_format(F.col("ts") + F.expr("INTERVAL 1 HOUR"), "yyyy-MM-dd HH:mm:ss").alias("t"), F.when(F.col("event_type") == "error", "new ").otherwise("").alias("mark"))
+    right = left.join(e, "lineno").select(F.lit("b").alias("file"), "lineno", F.concat("t", F.lit("  "), "mark", F.substring("line", 21, 1 << 20)).alias("line"))
+    return left, right
+
+
+@query(
+    _SIDES
+    + """ SELECT CASE WHEN m.r IS NULL THEN 'left' ELSE 'both' END AS side, a.lineno AS lineno_left, m.r AS lineno_right, a.line AS text FROM a LEFT JOIN m ON a.k = m.k
+UNION ALL SELECT 'right', NULL, b.lineno, b.line FROM b WHERE b.lineno NOT IN (SELECT r FROM m WHERE k IN (SELECT k FROM a))"""
+)
+def diff_ignoring_times(spark, sf):
+    return ordered.diff(*_shifted(spark, sf), ignore_timestamps=True)
+
+
+@query(_SIDES + " SELECT 'left' AS side, a.lineno AS lineno_left, CAST(NULL AS BIGINT) AS lineno_right, '< ' || a.line AS line FROM a WHERE a.k NOT IN (SELECT k FROM m)")
+def diff_text(spark, sf):
+    return tables.diff_lines(ordered.diff(*_shifted(spark, sf), ignore_timestamps=True), only="left")
+
+
+@query("WITH l AS ({kv}) SELECT lineno, line FROM l WHERE CAST('0x' || substr(md5('7:events.log:' || lineno), 1, 13) AS BIGINT) < CAST(floor(0.1 * 4503599627370496) AS BIGINT)")
+def sample_fraction(spark, sf):
+    return rows.fraction(log_kv(spark, sf), 0.1, 7).select("lineno", "line")
+
+
+@query("WITH l AS ({kv}) SELECT CAST(user_id AS VARCHAR) AS value, count(*) AS count FROM l GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15")
+def count_top(spark, sf):
+    return rows.top(rows.count_field(log_kv(spark, sf), "user"), 15)
