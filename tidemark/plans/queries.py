@@ -179,7 +179,7 @@ def count_pattern(spark, sf):
     return rows.count_pattern(log_kv(spark, sf), r"user=(\d+)")
 
 
-@query("WITH t AS ({text}) SELECT trim(line, ' ') AS value, count(*) AS count FROM t WHERE trim(line, ' ') <> '' GROUP BY 1")
+@query("WITH t AS ({text}), s AS (SELECT trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || ' ') AS value FROM t) SELECT value, count(*) AS count FROM s WHERE value <> '' GROUP BY 1")
 def count_lines(spark, sf):
     return rows.count_lines(log_text(spark, sf))
 
