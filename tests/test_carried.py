@@ -84,8 +84,10 @@ def test_json_over_lines(spark, block):
         files[f] = lines + r.choice([[], ["{ never", "closed"]])
     got = rows(ordered.compact_json(frame(spark, files), block=block))
     assert got == sorted((f, i, x) for f, lines in files.items() for i, x in compacted(lines))
-    kept = ordered.compact_json(frame(spark, {"a": ["[", "1", "]"]}), most_bytes=2)
-    assert [x for _, _, x in rows(kept)] == ["[", "1", "]"]
+    kept = ordered.compact_json(frame(spark, {"a": ["x", "[", "1", "2"]}), most_bytes=2)  # never closed
+    assert [x for _, _, x in rows(kept)] == ["x", "[", "1", "2"]
+    with pytest.raises(Exception, match="begins at line 2 of a"):
+        ordered.compact_json(frame(spark, {"a": ["x", "[", "1", "]"]}), most_bytes=2).collect()
 
 
 @pytest.mark.parametrize("block", [2, 7, 1000])

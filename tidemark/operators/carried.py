@@ -157,14 +157,15 @@ def _ends_of_openers(change: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray,
     return sums, end, depth, opener
 
 
-def compact_json(df: DataFrame, block: int = BLOCK, most_bytes: int = 256 << 20) -> DataFrame:
+def compact_json(df: DataFrame, block: int = BLOCK, most_bytes: int = 1 << 30) -> DataFrame:
     """Rows (file, lineno, line): JSON that runs over several lines as one compact line, at its first line's number; what does
     not parse stays as it was.
 
     A line that begins with a bracket, outside of a group, opens one, which ends where as many brackets have closed. A block's
     summary tells for any depth ahead of it which depth it leaves; one task a file goes through the summaries. Lines of a group
-    then meet by its number. Groups of more than ``most_bytes`` stay as they are, as one unclosed bracket takes all that
-    follows with it, and a row could not hold them.
+    then meet by its number. A closed group of more than ``most_bytes`` is an error, as a row could not hold it. One bracket that is never
+    closed takes all that follows with it: such a group parses only if brackets stand in its strings, so beyond ``most_bytes``
+    it stays as it is and is not gathered.
     """
     opens = F.col("line").rlike(r"(?U)^\s*[\{\[]")
     change = (F.regexp_count("line", F.lit(r"[\{\[]")) - F.regexp_count("line", F.lit(r"[\}\]]"))).cast("long")
@@ -226,7 +227,9 @@ def compact_json(df: DataFrame, block: int = BLOCK, most_bytes: int = 256 << 20)
     states = _walk(per, step, "file string, _block long, _depth long, _opener long")
     told = rows.join(states, ["file", "_block"]).groupBy("file", "_block").applyInArrow(assign, "file string, lineno long, line string, _group long").checkpoint()
     held = told.filter("_group is not null")
-    big = held.groupBy("file", "_group").agg(F.sum(F.octet_length("line")).alias("_bytes")).filter(F.col("_bytes") > most_bytes).select("file", "_group")
+    big = held.groupBy("file", "_group").agg(F.sum(F.octet_length("line")).alias("_bytes"), (F.sum(change) > 0).alias("_open")).filter(F.col("_bytes") > most_bytes)
+    said = F.concat(F.lit("a group of JSON lines has more bytes than most_bytes; it begins at line "), F.col("_group").cast("string"), F.lit(" of "), "file")
+    big = big.filter(F.when(F.col("_open"), F.lit(True)).otherwise(F.raise_error(said).cast("boolean"))).select("file", "_group")
     shape = "file string, lineno long, line string"
     joined = held.join(big, ["file", "_group"], "left_anti").groupBy("file", "_group").applyInArrow(join, shape)
     stay = held.join(big, ["file", "_group"], "left_semi")
