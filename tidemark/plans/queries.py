@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import fields, levels, report, text, timestamps
 from tidemark.operators import ordered, rows, tables
 from tidemark.sources import logs
+from tidemark.streaming import stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -599,3 +601,91 @@ def sample_fraction(spark, sf):
 @query("WITH l AS ({kv}) SELECT CAST(user_id AS VARCHAR) AS value, count(*) AS count FROM l GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15")
 def count_top(spark, sf):
     return rows.top(rows.count_field(log_kv(spark, sf), "user"), 15)
+
+
+# -- the same on streams --------------------------------------------------------------------------------------------------
+
+
+def _streamed(spark: SparkSession, lines: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``operator`` gives of the lines as a stream of micro-batches, in two runs with a restart between them.
+
+    The lines are dealt into four parts by number, so that each file is cut; all lies in the shared checkpoint folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    rows_ = lines.select("file", "lineno", "line")
+    last = rows_.agg(F.max("lineno")).first()[0] or 0
+    for part in range(4):
+        mine = F.col("lineno").between(last * part // 4 + 1, last * (part + 1) // 4)
+        rows_.filter(mine).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        if part in (1, 3):
+            stream = spark.readStream.schema(rows_.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+            run = operator(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+            run.awaitTermination()
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.parquet(f"{folder}/out")
+
+
+def _by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as files of 16 groups of users, numbered as in the whole log."""
+    return log_kv(spark, sf_dir).withColumn("file", F.concat(F.lit("u"), F.regexp_extract("line", r"user=(\d+)", 1).cast("long") % 16))
+
+
+_USERS = "WITH l AS (SELECT *, 'u' || user_id % 16 AS file, date_trunc('second', ts) AS t FROM ({kv}))"
+
+
+@query(_USERS + " SELECT file, lineno, CAST(epoch_ms(t) - epoch_ms(first_value(t) OVER (PARTITION BY file ORDER BY lineno)) AS DOUBLE) AS elapsed_ms, CAST(epoch_ms(t) - epoch_ms(lag(t) OVER (PARTITION BY file ORDER BY lineno)) AS DOUBLE) AS delta_ms FROM l")
+def live_annotate(spark, sf):
+    return _streamed(spark, _by_user(spark, sf), lambda s: stateful.annotate(s, "lineno")).select("file", "lineno", "elapsed_ms", "delta_ms")
+
+
+@query(_USERS.replace("SELECT *", "SELECT lineno, level || ' ' || event_type AS line").replace("date_trunc('second', ts)", "ts") + ", p AS (SELECT file, lineno, line, lag(line) OVER (PARTITION BY file ORDER BY lineno) AS before FROM l) SELECT file, lineno, line FROM p WHERE before IS NULL OR before <> line")
+def live_dedupe_adjacent(spark, sf):
+    return _streamed(spark, _short(spark, sf), lambda s: stateful.dedupe_adjacent(s, "lineno"))
+
+
+def _short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level and type of each event alone, so that lines repeat."""
+    return _by_user(spark, sf_dir).withColumn("line", F.concat_ws(" ", F.split("line", " ")[1], F.regexp_extract("line", r"type=(\w+)", 1)))
+
+
+@query(
+    """WITH RECURSIVE l AS (SELECT 'u' || user_id % 16 AS file, lineno, level || ' ' || event_type AS line, row_number() OVER (PARTITION BY user_id % 16 ORDER BY lineno) AS n FROM ({kv})),
+c(file, n, lineno, line, seen, kept) AS (SELECT file, n, lineno, line, [line], true FROM l WHERE n = 1 UNION ALL
+  SELECT l.file, l.n, l.lineno, l.line, CASE WHEN list_contains(c.seen, l.line) THEN c.seen ELSE list_append(c.seen, l.line)[-3:] END, NOT list_contains(c.seen, l.line) FROM c JOIN l ON l.file = c.file AND l.n = c.n + 1)
+SELECT file, lineno, line FROM c WHERE kept"""
+)
+def live_dedupe_cached(spark, sf):
+    return _streamed(spark, _short(spark, sf), lambda s: stateful.dedupe_cached(s, 3, "lineno"))
+
+
+@query(
+    """WITH RECURSIVE l AS (SELECT 'u' || user_id % 16 AS file, lineno, date_trunc('second', ts) AS t, row_number() OVER (PARTITION BY user_id % 16 ORDER BY lineno) AS n FROM ({kv})),
+c(file, n, lineno, s, chunk) AS (SELECT file, n, lineno, t, 0 FROM l WHERE n = 1 UNION ALL
+  SELECT l.file, l.n, l.lineno, CASE WHEN l.t - c.s >= INTERVAL 6 HOUR THEN l.t ELSE c.s END, CASE WHEN l.t - c.s >= INTERVAL 6 HOUR THEN c.chunk + 1 ELSE c.chunk END FROM c JOIN l ON l.file = c.file AND l.n = c.n + 1)
+SELECT file, lineno, CAST(chunk AS BIGINT) AS chunk FROM c"""
+)
+def live_chunks(spark, sf):
+    return _streamed(spark, _by_user(spark, sf), lambda s: stateful.chunk_seconds(s, 21_600, "lineno")).select("file", "lineno", "chunk")
+
+
+@query(
+    """WITH t AS (SELECT lineno, date_trunc('second', ts) AS t, 'u' || user_id % 16 AS file, strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || level AS line, level FROM ({kv})),
+n AS (SELECT *, CASE WHEN level = lag(level) OVER w THEN 0 ELSE 1 END AS new FROM t WINDOW w AS (PARTITION BY file ORDER BY lineno)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY file ORDER BY lineno) AS island FROM n),
+r AS (SELECT file, island, min(lineno) AS lineno, arg_min(line, lineno) AS line, count(*) AS n, arg_max(t, lineno) AS t FROM i GROUP BY 1, 2),
+e AS (SELECT file, max(island) AS island FROM r GROUP BY file)
+SELECT r.file, r.lineno, CASE WHEN n > 1 THEN line || '  [repeated ' || n || 'x]' ELSE line END AS line, n AS repeated FROM r JOIN e ON e.file = r.file WHERE r.island < e.island"""
+)
+def live_squash(spark, sf):
+    """Runs of one level; a file's last run is still open, as the watermark comes nowhere near the wait."""
+    log = _by_user(spark, sf).withColumn("line", F.concat_ws(" ", F.replace(F.split("line", " ")[0], F.lit("T"), F.lit(" ")), F.split("line", " ")[1]))
+    return _streamed(spark, log, lambda s: stateful.squash(s, 2, 60 * 86_400, "0 seconds", "lineno"))
+
+
+@query("WITH l AS ({kv}) SELECT 'j' || user_id % 16 AS file, lineno * 10 AS lineno, '{\"ts\":\"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '\",\"type\":\"' || event_type || '\",\"user\":' || user_id || ',\"value\":' || v || '}' AS line FROM l")
+def live_compact_json(spark, sf):
+    file = F.concat(F.lit("j"), F.regexp_extract("line", r'"user":(\d+)', 1).cast("long") % 16)
+    broken = log_json(spark, sf).select(file.alias("file"), "lineno", F.posexplode(F.split("line", "(?<=,)")).alias("i", "line"))
+    return _streamed(spark, broken.select("file", (F.col("lineno") * 10 + F.col("i")).alias("lineno"), "line"), lambda s: stateful.compact_json(s, 300, place="lineno"))
