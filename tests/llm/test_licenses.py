@@ -30,7 +30,7 @@ def test_notices_and_spans(spark):
 
 def test_planted_notices_are_found():
     """Against a brute-force search of every template at every place."""
-    r, index = random.Random(8), licenses.Index(licenses.NOTICES)
+    r, index, whole = random.Random(8), licenses.Index(licenses.NOTICES), licenses.Index(licenses.NOTICES, 1.0)
     vocabulary = list(index.words) + [f"w{i}".encode() for i in range(300)]
     for _ in range(200):
         words = [r.choice(vocabulary) for _ in range(r.randint(0, 200))]
@@ -39,7 +39,7 @@ def test_planted_notices_are_found():
         notice = [back[i] for i in index.templates[name]]
         at = r.randint(0, len(words))
         text = words[:at] + notice + words[at:]
-        found = {(m.first_word, m.license) for m in index.find(index.ids(text), 1.0)}
+        found = {(m.first_word, m.license) for m in whole.find(whole.ids(text))}
         want = [(i, n) for n, t in index.templates.items() for i in range(len(text) - len(t) + 1) if index.ids(text[i : i + len(t)]).tolist() == t.tolist()]
         for i, n in want:
             assert (i, n) in found or any(f <= i and i + len(index.templates[n]) <= f + len(index.templates[m]) for f, m in found)
@@ -59,12 +59,40 @@ def test_edited_short_notices_are_found():
         for at in r.sample(range(len(notice)), int(0.2 * len(notice) + 1e-9)):
             notice[at] = b"an"
         ids = index.ids([b"w"] * 20 + notice + [b"w"] * 20)
-        band = min(index.band, len(notice) // 4)
+        band = index.plans[name].band
         every = [index._align(name, index.templates[name], ids, start, band) for start in range(-len(notice), len(ids))]
         want = max((m for m in every if m), key=lambda m: m.matched)
         if want.coverage < 0.8:  # a change beside the end leaves the local alignment shorter
             continue
         held += want.coverage < 1
-        assert any(m.first_word <= want.first_word and want.last_word <= m.last_word for m in index.find(ids, 0.8))
+        assert any(m.first_word <= want.first_word and want.last_word <= m.last_word for m in index.find(ids))
     assert held > 60
-    assert [m.license for m in index.find(index.ids(b"released under an mit license".split()), 0.8)] == ["MIT"]
+    assert [m.license for m in index.find(index.ids(b"released under an mit license".split()))] == ["MIT"]
+
+
+def test_edited_notices_of_any_length_are_found():
+    """Words replaced, left out and put in anywhere, against alignment of every template at every place."""
+    r = random.Random(11)
+    long = " ".join(f"clause{i % 170} of{i % 13}" for i in range(400))
+    index = licenses.Index({**licenses.NOTICES, "long": long})
+    back = {i: w for w, i in index.words.items()}
+    assert {n for by in index.inverted.values() for posts in by.values() for n, _ in posts} == set(index.templates)
+    assert index.plans["long"].window > 1 and index.plans["MIT"].gram == 1
+    held = 0
+    for n in range(40):
+        name = ["long", *licenses.NOTICES][n % (1 + len(licenses.NOTICES))]
+        notice = [back[i] for i in index.templates[name]]
+        changes = r.randint(0, max(1, int(0.2 * len(notice))))
+        for _ in range(changes):
+            at = r.randrange(len(notice))
+            notice[at : at + r.choice([0, 1, 1])] = r.choice([[], [b"zz"], [b"the"]])
+            if not notice:
+                break
+        ids = index.ids([b"w", b"the"] * 12 + notice + [b"of", b"w"] * 12)
+        plan = index.plans[name]
+        every = [index._align(name, index.templates[name], ids, start, plan.band) for start in range(-5, len(ids) - len(notice) + 5)]
+        want = max((m for m in every if m), key=lambda m: m.matched)
+        if want.coverage >= 0.8:
+            held += want.coverage < 1
+            assert any(m.first_word <= want.first_word and want.last_word <= m.last_word for m in index.find(ids)), (name, want)
+    assert held > 15

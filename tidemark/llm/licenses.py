@@ -41,68 +41,98 @@ class Match:
     coverage: float
 
 
+@dataclass(frozen=True)
+class Plan:
+    """How a template is looked for; see ``Index``."""
+
+    gram: int
+    window: int
+    need: int
+    band: int
+
+
 class Index:
     """Templates by their winnowed fingerprints: of every ``window`` consecutive ``gram``-word hashes the least is kept.
 
-    A passage that shares gram + window - 1 words in a row with a template shares a fingerprint with it. Templates of up to
-    ``short`` words have no fingerprints: wherever enough of their words lie close together, each word shared is an anchor.
+    Both numbers are each template's own, such that a passage that matches ``least`` of its words must share a fingerprint: as many
+    words as may be missing, and as many diagonals as the alignment's band has, can cut the matched words into so many
+    runs at most, and gram + window - 1 is what the longest of these has at least. Short and medium templates so get runs of one or two words, all of them
+    kept. Where all are kept, the runs also tell how many fingerprints a match shares at least (``need``).
     """
 
-    def __init__(self, templates: Mapping[str, str], gram: int = 3, window: int = 3, band: int = 8, short: int = 16):
-        self.gram, self.window, self.band, self.short = gram, window, band, short
+    def __init__(self, templates: Mapping[str, str], least: float = 0.8, gram: int = 3, band: int = 8):
+        self.least = least
         split = {name: _WORD.findall(text.encode().lower()) for name, text in templates.items()}
         self.words = {w: i for i, w in enumerate(sorted({w for ws in split.values() for w in ws}), 1)}
         self.templates = {name: np.array([self.words[w] for w in ws], np.int64) for name, ws in split.items() if ws}
-        self.inverted: dict[int, list[tuple[str, int]]] = {}
-        self.members: dict[str, np.ndarray] = {}  # of each short template, whether a word is one of its own
+        self.plans = {name: self._plan(len(ids), gram, band) for name, ids in self.templates.items()}
+        self.inverted: dict[int, dict[int, list[tuple[str, int]]]] = {}  # by gram and hash
         for name, ids in self.templates.items():
-            if len(ids) <= short:
-                self.members[name] = np.isin(np.arange(len(self.words) + 1), ids)
-                continue
-            hashes = self._grams(ids)
-            for at in self._winnow(hashes):
-                self.inverted.setdefault(int(hashes[at]), []).append((name, int(at)))
+            plan = self.plans[name]
+            hashes = self._grams(ids, plan.gram)
+            for at in self._winnow(hashes, plan.window):
+                self.inverted.setdefault(plan.gram, {}).setdefault(int(hashes[at]), []).append((name, int(at)))
+        self.keys = {g: np.array(sorted(by), np.uint64) for g, by in self.inverted.items()}
+        self.places: dict[str, list[list[int]]] = {}  # of each template, where it has each key
+        for name, plan in self.plans.items():
+            by = self.inverted[plan.gram]
+            self.places[name] = [[at for n, at in by[int(k)] if n == name] for k in self.keys[plan.gram]]
+        self.members = {name: np.array([bool(at) for at in places]) for name, places in self.places.items()}
+
+    def _plan(self, n: int, gram: int, band: int) -> Plan:
+        width, matched = min(band, n // 4), max(1, int(np.ceil(self.least * n - 1e-9)))
+        runs = n - matched + 2 * width + 1
+        longest = -(-matched // runs)
+        gram = min(gram, longest)
+        window = longest - gram + 1
+        return Plan(gram, window, max(1, matched - (gram - 1) * runs) if window == 1 else 1, width)
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         """Numbers of the words, 0 for those that no template has."""
         get = self.words.get
         return np.fromiter((get(w, 0) for w in words), np.int64, len(words))
 
-    def _grams(self, ids: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def _grams(ids: np.ndarray, gram: int) -> np.ndarray:
         """Hashes of all runs of words; the largest number for a run with a word that no template has."""
-        n = len(ids) - self.gram + 1
+        n = len(ids) - gram + 1
         if n <= 0:
             return np.zeros(0, np.uint64)
         h, known = np.zeros(n, np.uint64), np.ones(n, bool)
-        for i in range(self.gram):
+        for i in range(gram):
             part = ids[i : i + n]
             h = (h * np.uint64(0x100000001B3)) ^ (part.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             known &= part > 0
         h ^= h >> np.uint64(29)
         return np.where(known, h, _NONE)
 
-    def _winnow(self, h: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def _winnow(h: np.ndarray, window: int) -> np.ndarray:
         if not len(h):
             return np.zeros(0, np.int64)
-        w = min(self.window, len(h))
-        views = np.lib.stride_tricks.sliding_window_view(h, w)
-        at = np.unique(views.argmin(axis=1) + np.arange(len(views)))
-        return at[h[at] != _NONE]
+        if window > 1:
+            views = np.lib.stride_tricks.sliding_window_view(h, min(window, len(h)))
+            at = np.unique(views.argmin(axis=1) + np.arange(len(views)))
+            return at[h[at] != _NONE]
+        return np.flatnonzero(h != _NONE)
 
-    def find(self, ids: np.ndarray, least: float) -> list[Match]:
+    def find(self, ids: np.ndarray) -> list[Match]:
         """Matches that cover at least ``least`` of a template's words, in page order; of matches within each other the longer."""
         if not (ids > 0).any():
             return []
-        hashes = self._grams(ids)
-        anchors: dict[str, list[int]] = {}
-        for at in self._winnow(hashes):
-            for name, start in self.inverted.get(int(hashes[at]), ()):
-                anchors.setdefault(name, []).append(int(at) - start)
-        found = [m for name, starts in anchors.items() for m in self._aligned(name, sorted(starts), ids) if m.coverage >= least]
-        for name in self.members:
-            band = self._width(name)
-            aligned = (self._align(name, self.templates[name], ids, start, band) for start in self._close(name, ids, least))
-            found += [m for m in dict.fromkeys(aligned) if m is not None and m.coverage >= least]
+        shared: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}  # places of fingerprints that any template has, and their keys
+        found = []
+        for name, plan in self.plans.items():
+            if (plan.gram, plan.window) not in shared:
+                hashes, keys = self._grams(ids, plan.gram), self.keys[plan.gram]
+                at = self._winnow(hashes, plan.window)
+                key = np.minimum(np.searchsorted(keys, hashes[at]), len(keys) - 1)
+                same = keys[key] == hashes[at]
+                shared[plan.gram, plan.window] = at[same], key[same]
+            at, key = shared[plan.gram, plan.window]
+            own = self.members[name][key]
+            matches = [self._align(name, self.templates[name], ids, start, plan.band) for start in self._starts(name, at[own], key[own])]
+            found += [m for m in dict.fromkeys(matches) if m is not None and m.coverage >= self.least]
         found.sort(key=lambda m: (-m.matched, m.first_word, m.license))
         kept: list[Match] = []
         for m in found:
@@ -110,29 +140,21 @@ class Index:
                 kept.append(m)
         return sorted(kept, key=lambda m: (m.first_word, m.license))
 
-    def _width(self, name: str) -> int:
-        return min(self.band, len(self.templates[name]) // 4)
-
-    def _close(self, name: str, ids: np.ndarray, least: float) -> list[int]:
-        """Diagonals of all words shared with a short template where a stretch as long as a match may be holds enough of them."""
-        template = self.templates[name]
-        own = self.members[name][ids]
-        enough, reach = max(1, int(np.ceil(least * len(template) - 1e-9))), len(template) + 2 * self._width(name)
-        at = np.flatnonzero(own)
-        if len(at) < enough:
+    def _starts(self, name: str, at: np.ndarray, key: np.ndarray) -> list[int]:
+        """The diagonals within whose band a template shares ``need`` fingerprints, from the places of those it shares at all."""
+        plan, n = self.plans[name], len(self.templates[name])
+        if len(at) < plan.need:
+            return []
+        # first by distance alone: so many places in a stretch as long as a match can be
+        tight = np.flatnonzero(at[plan.need - 1 :] - at[: len(at) - plan.need + 1] < n + 2 * plan.band)
+        near = np.unique((tight[:, None] + np.arange(plan.need)).ravel())
+        places = self.places[name]
+        diagonals = np.sort(np.array([int(at[i]) - place for i in near for place in places[key[i]]], np.int64))
+        if not len(diagonals):
             return []
-        tight = np.flatnonzero(at[enough - 1 :] - at[: len(at) - enough + 1] < reach)
-        near = np.unique((tight[:, None] + np.arange(enough)).ravel())
-        return sorted({int(p) - i for p in at[near] for i in np.flatnonzero(template == ids[p]).tolist()})
-
-    def _aligned(self, name: str, starts: list[int], ids: np.ndarray) -> Iterator[Match]:
-        template, done = self.templates[name], -(10**9)
-        band = self._width(name)
-        for start in starts:
-            if start - done > band:  # anchors of nearly one diagonal are one alignment
-                done = start
-                if (m := self._align(name, template, ids, start, band)) is not None:
-                    yield m
+        starts = np.unique((np.unique(diagonals)[:, None] + np.arange(-plan.band, plan.band + 1)).ravel())
+        votes = np.searchsorted(diagonals, starts + plan.band, "right") - np.searchsorted(diagonals, starts - plan.band, "left")
+        return starts[votes >= plan.need].tolist()
 
     def _align(self, name: str, template: np.ndarray, ids: np.ndarray, start: int, band: int) -> Match | None:
         """Local alignment within ``band`` diagonals of the anchor (a quarter of the template at most): a word matched scores 2, one replaced, left out or put in -1."""
@@ -180,21 +202,21 @@ def scan(
     the templates is broadcast (its size is that of ``templates``); nothing is shuffled. A null or empty text has no matches,
     repeated rows have theirs each, rows with a null id too. A notice that recurs is reported each time.
     """
-    shared = df.sparkSession.sparkContext.broadcast(Index(templates))
+    shared = df.sparkSession.sparkContext.broadcast(Index(templates, min_coverage))
 
     @F.pandas_udf("array<struct<license:string,start:int,end:int,matched_words:int,template_words:int,coverage:double>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         index = shared.value
         for texts in batches:
-            yield pd.Series([_rows(index, t, min_coverage) for t in texts], dtype="object")
+            yield pd.Series([_rows(index, t) for t in texts], dtype="object")
 
     found = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col), F.explode(run(F.col(text_col))).alias("_m"))
     return found.select(id_col, "_m.*")
 
 
-def _rows(index: Index, text: str, least: float) -> list[dict]:
+def _rows(index: Index, text: str) -> list[dict]:
     data = text.encode("utf-8", "replace").lower()
-    matches = index.find(index.ids(_WORD.findall(data)), least)
+    matches = index.find(index.ids(_WORD.findall(data)))
     if not matches:
         return []
     spans = [m.span() for m in _WORD.finditer(data)]
