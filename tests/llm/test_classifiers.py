@@ -75,7 +75,7 @@ def test_languages_of_long_or_few_texts_are_learned(spark):
     r = random.Random(8)
     text = lambda lang, n: " ".join(r.choice(WORDS[lang]) for _ in range(n))
     rows = [(i, text("xx", 30), "xx", None) for i in range(900)] + [(2000 + i, "12 " * 9000 + text("yy", 9000), "yy", None) for i in range(3)] + [(3000 + i, text("zz", 20), "zz", None) for i in range(4)]
-    model = langid.fit(spark.createDataFrame(rows, DOCS), sample_rows=90, sample_chars=5000)
+    model = langid.fit(spark.createDataFrame(rows, DOCS), sample_rows=90)
     assert model.langs == ("xx", "yy", "zz")
     assert [model.predict(text(lang, 40))[0] for lang in model.langs] == list(model.langs)
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,36 +84,46 @@ def _ranks(values: list[str]) -> list[int]:
     return out
 
 
+def _bags(rows: DataFrame, bits: int, seed: int) -> DataFrame:
+    """Rows (key, lang, idx, weight): of each text (text, lang) its bag and those of four snippets, as bytes, made where the texts are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for key, text, lang in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "lang")), strict=True):
+                if has_letter(text):
+                    parts = [_sparse(s, bits) for s in _snippets(text, np.random.default_rng((seed, key & 0x7FFFFFFF)), 4) if has_letter(s)]
+                    out.append((key, lang, [i.astype(np.uint32).tobytes() for i, _ in parts], [w.astype(np.float16).tobytes() for _, w in parts]))
+            kinds = [("key", pa.int64()), ("lang", pa.string()), ("idx", pa.list_(pa.binary())), ("weight", pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
+
+    return rows.select(F.xxhash64("text").alias("key"), "text", "lang").mapInArrow(run, "key long, lang string, idx array<binary>, weight array<binary>")
+
+
 def fit(
     df: DataFrame,
     *,
     text_col: str = "text",
     lang_col: str = "lang",
     sample_rows: int = 3000,
-    sample_chars: int = 20_000,
     bits: int = 14,
     dim: int = 12,
     epochs: int = 4,
     seed: int = 7,
 ) -> LanguageModel | None:
-    """Trains on at most about ``sample_rows`` different labelled texts, drawn by a hash in equal parts for each language, and of
-    texts longer than ``sample_chars`` on a passage of so many characters from a place that the hash tells. That bounds what comes
-    to the driver, and neither rare languages nor such that have only long texts are left out.
+    """Trains on at most about ``sample_rows`` different labelled texts, drawn by a hash in equal parts for each language.
 
-    Rows with a null language, a null text or one without a letter teach nothing; without any other there is no model. Copies
-    count once. Other columns are not read.
+    The drawn texts are read whole where they lie; their bags of subwords, of 2^``bits`` entries at most each, come to the driver, so texts of any
+    length teach in full and what comes is bounded. Rows with a null language, a null text or one without a letter teach nothing;
+    without any other there is no model. Copies count once. Other columns are not read.
 
     Embeddings and softmax are trained together by stochastic gradient descent; a fifth of the rows is kept back, from which
     the temperature of the scores and the rejection threshold are set: a right answer falls below it once in a thousand times.
     """
-    text, length = F.col(text_col), F.char_length(text_col)
-    place = F.pmod(F.xxhash64(text), F.greatest(length - sample_chars + 1, F.lit(1))).cast("int") + 1
-    passage = F.substring(text, place, F.lit(sample_chars))
-    # a passage without letters gives way to the one that starts at the first letter
-    passage = F.when(passage.rlike(r"\p{L}"), passage).otherwise(F.substring(F.regexp_replace(text, r"^\P{L}+", ""), 1, sample_chars))
-    labelled = df.filter(F.col(lang_col).isNotNull() & text.rlike(r"\p{L}")).select(F.when(length > sample_chars, passage).otherwise(text).alias("text"), F.col(lang_col).alias("lang"))
-    rows = bounded_sample(labelled, ["text", "lang"], sample_rows, by="lang")[0].orderBy(F.xxhash64("text"), "text", "lang").collect()
-    rows = [(r[0], r[1]) for r in rows if has_letter(r[0])]
+    labelled = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    drawn = bounded_sample(labelled, ["text", "lang"], sample_rows, by="lang")[0]
+    rows = sorted(_bags(drawn, bits, seed).collect(), key=lambda x: (x.key, x.lang))
+    rows = [([(np.frombuffer(i, np.uint32), np.frombuffer(w, np.float16).astype(np.float32)) for i, w in zip(x.idx, x.weight, strict=True)], x.lang) for x in rows]
     if not rows:
         return None
     r = np.random.default_rng(seed)
@@ -121,7 +132,7 @@ def fit(
     number = _ranks([x[1] for x in rows])
     kept = [x for x, n in zip(rows, number, strict=True) if n % 5 == 4] if len(rows) >= 50 else rows
     train = [x for x, n in zip(rows, number, strict=True) if n % 5 != 4] if len(rows) >= 50 else rows
-    docs = [(_sparse(s, bits), langs.index(lang)) for text, lang in train for s in _snippets(text, r, 4) if has_letter(s)]
+    docs = [(one, langs.index(lang)) for bags, lang in train for one in bags]
     emb = r.normal(0, 0.1, (1 << bits, dim)).astype(np.float32)
     w, b = np.zeros((dim, len(langs)), np.float32), np.zeros(len(langs), np.float32)
     for epoch in range(epochs):
@@ -137,7 +148,7 @@ def fit(
             emb[idx] -= rate * len(idx) ** 0.5 * weight[:, None] * back[None, :]
     table, kept = emb @ w, kept or rows
     model = LanguageModel(langs, table, b, 1.0, 0.0, bits)
-    checks = [(model.logits(bag(s, bits)), langs.index(lang)) for text, lang in kept for s in _snippets(text, r, 1) if has_letter(s)]
+    checks = [(weight @ model.table[idx] + model.bias, langs.index(lang)) for bags, lang in kept for idx, weight in bags[:2]]
     z, y = np.array([c[0] for c in checks]), np.array([c[1] for c in checks])
     nll = lambda t: -np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean()
     t = min(np.geomspace(0.2, 5, 40), key=nll)
