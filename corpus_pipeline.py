@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before has kept; all but the last return the columns
 of ``documents``. Between stages, rows are written as Parquet in the shared checkpoint folder and read again, so a lost
-executor costs one stage at most; a stage's folder goes when the next one's is written.
+executor costs one stage at most; a stage's folder goes when the next one's is written, the last with the session.
 
 Null and empty texts have no language and go in the first stage, so no later one meets them; each stage called by itself
 treats them as its operator says. Very long texts are read whole. Repeated rows of one id are one document to
@@ -21,16 +21,21 @@ from tidemark.llm.common import id_remainder, table
 from tidemark.llm.queries import bpe_digests
 
 
+def held(docs: DataFrame) -> DataFrame:
+    """Id and text, and the whole row beside them, so that no column of the row meets one that an operator adds."""
+    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows and is sure of; the rest go."""
     model = langid.fit(docs.filter(F.coalesce(id_remainder("doc_id", 4) != 2, F.lit(False))))
-    return langid.predict(docs, model).filter(~F.col("rejected")).select(*docs.columns)
+    return langid.predict(held(docs), model).filter(~F.col("rejected")).select("row.*")
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more for quality; the rest go."""
     labels = table(spark, sf_dir, "labels").filter(F.coalesce(id_remainder("doc_id", 3) != 1, F.lit(False)))
-    return quality.score(docs, quality.fit(docs.select("doc_id", "text"), labels)).filter("predicted = 1").select(*docs.columns)
+    return quality.score(held(docs), quality.fit(docs.select("doc_id", "text"), labels)).filter("predicted = 1").select("row.*")
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,6 +71,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i:
             delete(spark, f"{folder}/{i - 1}")
         docs = spark.read.parquet(f"{folder}/{i}")
+    # the last stage reads the folder that is left when its rows are asked for; it goes with the session
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

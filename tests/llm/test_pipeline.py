@@ -65,3 +65,23 @@ def test_stages_in_turn(spark):
             assert sorted((x.doc_id, x.decoded_sha256) for x in after) == sorted((x.doc_id, hashlib.sha256(x.text.encode()).hexdigest()) for x in before)
     assert corpus_pipeline.run(spark, SF).count() == sizes[-1]
     assert docs.filter(F.col("n_tokens") <= 0).isEmpty()
+
+
+def test_stages_keep_further_columns_and_take_odd_rows(spark):
+    """Ties, repeated rows, null ids and columns whose names the operators use, in every stage; then an empty table."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    one = docs.first()
+    odd = spark.createDataFrame([(None, one.text, one.lang, one.source, one.n_chars), (one.doc_id, one.text, one.lang, one.source, one.n_chars), (10**9, None, None, None, None), (10**9 + 1, "", "en", "s", 0)], docs.schema)
+    clash = docs.unionByName(odd).withColumn("score", F.lit("own")).withColumn("size", F.lit(1)).withColumn("lang_pred", F.lit("own"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, clash, SF)
+        assert got.columns == clash.columns, name
+        rows = got.collect()
+        assert rows and all(r.score == "own" and r["size"] == 1 and r.lang_pred == "own" for r in rows), name
+        if name == "language ID":
+            assert all(r.doc_id not in (10**9, 10**9 + 1) for r in rows)
+        if name == "MinHash near-dedup":
+            assert any(r.doc_id is None for r in rows)
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0, name
