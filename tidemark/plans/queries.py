@@ -8,11 +8,12 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions import fields, levels, report, text, timestamps
 from tidemark.operators import ordered, rows, tables
 from tidemark.sources import logs
-from tidemark.streaming import stateful
+from tidemark.streaming import merging, stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -606,8 +607,8 @@ def count_top(spark, sf):
 # -- the same on streams --------------------------------------------------------------------------------------------------
 
 
-def _streamed(spark: SparkSession, lines: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What ``operator`` gives of the lines as a stream of micro-batches, in two runs with a restart between them.
+def _fed(spark: SparkSession, lines: DataFrame, start: Callable[[DataFrame, str], StreamingQuery]) -> str:
+    """Feeds the lines as a stream of micro-batches to what ``start`` makes of it in a folder, in two runs with a restart between them.
 
     The lines are dealt into four parts by number, so that each file is cut; all lies in the shared checkpoint folder.
     """
@@ -619,12 +620,19 @@ def _streamed(spark: SparkSession, lines: DataFrame, operator: Callable[[DataFra
         mine = F.col("lineno").between(last * part // 4 + 1, last * (part + 1) // 4)
         rows_.filter(mine).coalesce(1).write.mode("append").parquet(f"{folder}/in")
         if part in (1, 3):
-            stream = spark.readStream.schema(rows_.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-            run = operator(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-            run.awaitTermination()
+            start(spark.readStream.schema(rows_.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), folder).awaitTermination()
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.parquet(f"{folder}/out")
+    return folder
+
+
+def _streamed(spark: SparkSession, lines: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``operator`` gives of the lines as a stream."""
+
+    def start(stream: DataFrame, folder: str) -> StreamingQuery:
+        return operator(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+
+    return spark.read.parquet(f"{_fed(spark, lines, start)}/out")
 
 
 def _by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -689,3 +697,13 @@ def live_compact_json(spark, sf):
     file = F.concat(F.lit("j"), F.regexp_extract("line", r'"user":(\d+)', 1).cast("long") % 16)
     broken = log_json(spark, sf).select(file.alias("file"), "lineno", F.posexplode(F.split("line", "(?<=,)")).alias("i", "line"))
     return _streamed(spark, broken.select("file", (F.col("lineno") * 10 + F.col("i")).alias("lineno"), "line"), lambda s: stateful.compact_json(s, 300, place="lineno"))
+
+
+@query("WITH l AS ({kv}), n AS (SELECT 'f' || user_id % 3 AS file, row_number() OVER (PARTITION BY user_id % 3 ORDER BY lineno) AS lineno, date_trunc('second', ts) AS ets FROM l) SELECT file, lineno, ets, row_number() OVER (ORDER BY ets, lineno, file) AS rank FROM n")
+def live_merge(spark, sf):
+    """Three files merged while they come; what is held when the stream ends is released then."""
+    log = log_kv(spark, sf).withColumn("file", F.concat(F.lit("f"), F.regexp_extract("line", r"user=(\d+)", 1).cast("long") % 3))
+    files = ["f0", "f1", "f2"]
+    folder = _fed(spark, log, lambda s, at: merging.merge(s, f"{at}/merge", files, place="lineno", trigger={"availableNow": True})) + "/merge"
+    merging.finish(spark, folder)
+    return merging.merged(spark, folder).select("file", "lineno", "ets", "rank")
