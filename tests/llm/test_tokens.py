@@ -2,10 +2,11 @@ import random
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe, pieces, token_counts
+from tidemark.llm import bpe, common, pieces, token_counts
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [
@@ -41,6 +42,19 @@ def test_the_first_tier_holds_lengths_of_frequent_pre_tokens(spark, library):
     assert counted == {(r.doc_id, len(library.encode(r.text, add_special_tokens=False).ids)) for r in df.collect()}
 
 
+def test_a_sample_opens_some_of_the_files_only(spark, tmp_path):
+    df = spark.range(400).selectExpr("id AS doc_id", "concat('text ', id) AS text", "id AS _metadata")
+    df.repartition(40).write.parquet(str(tmp_path / "t"))
+    back = spark.read.parquet(str(tmp_path / "t"))
+    some = common.some_files(back.select("doc_id", "text"), 10)
+    assert 3 <= len(some.select(F.input_file_name()).distinct().collect()) <= 20 and some.rdd.getNumPartitions() < back.rdd.getNumPartitions()
+    assert 0 < common.some_files(back, 10).count() < 400  # a column that bears the metadata's name
+    assert common.some_files(back, 100).count() == 400
+    assert common.some_files(back.groupBy("text").count(), 10).count() == 400  # more than a scan
+    assert token_counts.frequent_lengths(back, "text", PATH, size=1, sample_rows=2000, sample_chars=100, sample_files=10)
+    assert token_counts.count_tokens(back, sample_files=1).count() == 400
+
+
 def test_lengths_stay_with_the_worker():
     one = token_counts.worker_lengths("k1", PATH, lambda: {" the": 1}, 10)
     assert one[" the"] == 1 and one[" zqzqzq"] == len(pieces.coder(PATH).ids(" zqzqzq"))

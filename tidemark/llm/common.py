@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,21 @@ def bounded_sample(df: DataFrame, keys: list[str], limit: int, *, by: str | None
     return some.select(*df.columns).dropDuplicates(keys), sum(r.n for r in per)
 
 
+def some_files(df: DataFrame, limit: int) -> DataFrame:
+    """The rows of about ``limit`` of the files that ``df`` is read from, chosen by a hash of their names; the others are not opened.
+
+    All rows, if there are no more files than that, or if ``df`` is more than a scan with filters and columns taken from it.
+    """
+    n = len(df._jdf.inputFiles())
+    if n <= limit:
+        return df
+    try:
+        name = df.metadataColumn("_metadata")["file_path"]
+        return df.filter(F.pmod(F.xxhash64(name), F.lit(1 << 30)) < int((1 << 30) * (limit / n)))
+    except AnalysisException:
+        return df
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared checkpoint folder, and read from there: a lost executor costs no more than a read.
 

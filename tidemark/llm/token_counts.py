@@ -11,11 +11,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample
+from tidemark.llm.common import some_files
 from tidemark.llm.pieces import PieceCoder, coder
 
 #: Longer pre-tokens are not kept.
 _LONGEST = 64
+_BUCKETS = 1 << 30
 
 
 def default_tokenizer() -> str:
@@ -24,14 +25,21 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def frequent_lengths(df: DataFrame, text_col: str, path: str, *, size: int, sample_rows: int, sample_chars: int) -> dict[str, int]:
-    """Token counts of the ``size`` most frequent pre-tokens of a sample: of about ``sample_rows`` different texts, from a place in each
-    that a hash tells, ``sample_chars`` characters. Both bound what the driver sees; ties go to the smaller pre-token."""
+def frequent_lengths(df: DataFrame, text_col: str, path: str, *, size: int, sample_rows: int, sample_chars: int, sample_files: int = 64) -> dict[str, int]:
+    """Token counts of the ``size`` most frequent pre-tokens of a sample: of at most about ``sample_rows`` different texts, from a place in each
+    that a hash tells, ``sample_chars`` characters. Both bound what the driver sees; ties go to the smaller pre-token.
+
+    The texts come from about ``sample_files`` of the files (all, if fewer), so the sample reads no more of a larger table. Rows are counted from
+    the files' footers and chosen by a hash of the text; where many are copies, the sample is smaller.
+    """
     c = coder(path)
+    drawn = some_files(df, sample_files)
+    n, hashed = drawn.count(), F.xxhash64(text_col)
     text, length = F.col(text_col), F.char_length(text_col)
-    place = F.pmod(F.xxhash64(text), F.greatest(length - sample_chars + 1, F.lit(1))).cast("int") + 1
-    passages = df.filter(length > 0).select(F.substring(text, place, F.lit(sample_chars)).alias("text"))
-    counts = Counter(chain.from_iterable(c.split(r.text)[1:-1] or c.split(r.text) for r in bounded_sample(passages, ["text"], sample_rows)[0].collect()))
+    place = F.pmod(hashed, F.greatest(length - sample_chars + 1, F.lit(1))).cast("int") + 1
+    some = drawn.filter(F.pmod(F.xxhash64(text_col, F.lit(11)), F.lit(_BUCKETS)) < int(_BUCKETS * min(1.0, sample_rows / max(n, 1))))
+    passages = some.filter(length > 0).select(F.substring(text, place, F.lit(sample_chars)).alias("text")).distinct()
+    counts = Counter(chain.from_iterable(c.split(r.text)[1:-1] or c.split(r.text) for r in passages.collect()))
     often = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:size]
     return {piece: len(c.packed(piece)) // 4 for piece, _ in often if len(piece) <= _LONGEST}
 
@@ -77,6 +85,7 @@ def count_tokens(
     cache_size: int = 200_000,
     sample_rows: int = 2000,
     sample_chars: int = 4000,
+    sample_files: int = 64,
 ) -> DataFrame:
     """Rows (id, n_bytes, n_tokens, over_limit) for each row of ``df``.
 
@@ -89,7 +98,7 @@ def count_tokens(
     scan and one Python evaluation: no pre-token leaves its task.
     """
     path = tokenizer or default_tokenizer()
-    shared = df.sparkSession.sparkContext.broadcast(frequent_lengths(df, text_col, path, size=table_size, sample_rows=sample_rows, sample_chars=sample_chars))
+    shared = df.sparkSession.sparkContext.broadcast(frequent_lengths(df, text_col, path, size=table_size, sample_rows=sample_rows, sample_chars=sample_chars, sample_files=sample_files))
     key = uuid.uuid4().hex
 
     @F.pandas_udf("long")
