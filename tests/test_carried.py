@@ -137,3 +137,6 @@ def test_sinks(spark, tmp_path):
     assert write_lines(df.withColumn("file_seq", F.lit(0)).filter("file like '%one%'"), str(tmp_path / "n"), numbers=True) == 3
     assert sorted(lines(str(tmp_path / "n"))) == [f"     1: {stamp(1)}", "     2:   more", f"     3: {stamp(5)}"]
     assert write_lines(df, str(tmp_path / "c"), count_only=True) == 5 and lines(str(tmp_path / "c")) == ["5"]
+    assert write_lines(df.filter("false"), str(tmp_path / "e"), order=("file", "lineno")) == 0 and lines(str(tmp_path / "e")) == []
+    many = spark.range(5000).selectExpr("'f' AS file", "id AS lineno", "concat('l', id) AS line").repartition(7)
+    assert write_lines(many, str(tmp_path / "m"), order=("file", "lineno")) == 5000
