@@ -7,6 +7,7 @@ from collections import OrderedDict
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import report, text
 from tidemark.functions.text import list_formats, parse_size, rename, strip
 from tidemark.operators import ordered, tables
 from tidemark.sources.logs import write_lines, write_merged
@@ -140,3 +141,10 @@ def test_sinks(spark, tmp_path):
     assert write_lines(df.filter("false"), str(tmp_path / "e"), order=("file", "lineno")) == 0 and lines(str(tmp_path / "e")) == []
     many = spark.range(5000).selectExpr("'f' AS file", "id AS lineno", "concat('l', id) AS line").repartition(7)
     assert write_lines(many, str(tmp_path / "m"), order=("file", "lineno")) == 5000
+
+
+def test_white_space_at_the_end_of_shown_lines(spark):
+    df = spark.createDataFrame([(7, "a \t "), (8, "  ")], "lineno long, line string")
+    line, n = F.col("line"), F.col("lineno")
+    shown = [report.numbered(line, n), text.render(line, n, "{_lineno}|{_line}|"), F.array_join(report.context(line, n, F.lit(False), True), "")]
+    assert [tuple(r) for r in df.orderBy("lineno").select(*shown).collect()] == [("     7: a \t ", "7|a \t |", "7:a"), ("     8:   ", "8|  |", "8:")]

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import rstripped
+
 #: How sides of a comparison are marked and coloured.
 SIDES = {"left": "< ", "right": "> ", "both": "  "}
 SIDE_COLOURS = {"left": "\x1b[31m", "right": "\x1b[32m", "both": "\x1b[0m"}
@@ -24,7 +26,7 @@ def fixed(value: Column, width: int, places: int) -> Column:
 
 def numbered(line: Column, lineno: Column) -> Column:
     """A line with its number, as the text sink shows it."""
-    return F.format_string("%6d: %s", lineno, F.rtrim(line))
+    return F.format_string("%6d: %s", lineno, line)
 
 
 def frequency(value: Column, count: Column, most: Column, total: Column) -> Column:
@@ -75,8 +77,9 @@ def annotated(line: Column, lineno: Column | None = None, elapsed_ms: Column | N
 
 
 def context(line: Column, lineno: Column, gap: Column, show_lineno: bool = False, separator: str = "--") -> Column:
-    """The lines of text for one row of a context search: a separator ahead of a line after a gap, then the line."""
-    text = F.concat(lineno.cast("string"), F.lit(":"), F.rtrim(line)) if show_lineno else F.rtrim(line)
+    """The lines of text for one row of a context search: a separator ahead of a line after a gap, then the line without white space at its end."""
+    bare = rstripped(line)
+    text = F.concat(lineno.cast("string"), F.lit(":"), bare) if show_lineno else bare
     return F.when(gap, F.array(F.lit(separator), text)).otherwise(F.array(text))
 
 

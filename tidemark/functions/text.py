@@ -163,7 +163,7 @@ def render(line: Column, lineno: Column, text: str) -> Column:
             if i % 2 == 0:
                 out.append(F.lit(part))
                 continue
-            own = {"_line": F.rtrim(line), "_lineno": lineno.cast("string")}.get(part, F.lit("{" + part + "}"))
+            own = {"_line": line, "_lineno": lineno.cast("string")}.get(part, F.lit("{" + part + "}"))
             null = F.when(F.map_contains_key(found["json"], F.lit(part)), F.lit("None"))  # a JSON null
             out.append(F.coalesce(fl.value(found, part, "dotted"), null, own))
         return F.concat(*out)
