@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import report, text
 from tidemark.functions.text import list_formats, parse_size, rename, strip
-from tidemark.operators import ordered, tables
+from tidemark.operators import carried, ordered, tables
 from tidemark.sources.logs import write_lines, write_merged
 
 
@@ -91,20 +91,55 @@ def test_json_over_lines(spark, block):
         ordered.compact_json(frame(spark, {"a": ["x", "[", "1", "]"]}), most_bytes=2).collect()
 
 
-@pytest.mark.parametrize("block", [2, 7, 1000])
-def test_bounded_memory(spark, block):
-    r = random.Random(3)
-    files = {f: [r.choice("abcdefgh") * r.randint(1, 2) for _ in range(50)] for f in ("x", "y")} | {"z": ["only"]}
+def admitted(files, size):
     want = []
     for f, lines in files.items():
         seen = OrderedDict()
         for i, x in enumerate(lines, 1):
             if x not in seen:
-                if len(seen) >= 5:
+                if len(seen) >= size:
                     seen.popitem(last=False)
                 seen[x] = None
                 want.append((f, i, x))
-    assert rows(ordered.dedupe_cached(frame(spark, files), 5, block=block)) == sorted(want)
+    return sorted(want, key=lambda r: (r[0], r[1]))
+
+
+@pytest.mark.parametrize("block", [2, 7, 1000])
+def test_bounded_memory(spark, block):
+    r = random.Random(3)
+    files = {f: [r.choice("abcdefgh") * r.randint(1, 2) for _ in range(50)] for f in ("x", "y")} | {"z": ["only"]}
+    assert rows(ordered.dedupe_cached(frame(spark, files), 5, block=block)) == admitted(files, 5)
+
+
+@pytest.mark.parametrize("size", [1, 3, 8])
+def test_bounded_memory_that_turns_over_slowly(spark, size):
+    """Null lines, memories that are just too small, and a line driven out now and then, all the way through a file."""
+    r = random.Random(size)
+    slow = [None if i % 17 == 0 else str(i // 40 + r.randrange(size)) for i in range(160)]
+    files = {"slow": slow, "ring": [str(i % (size + 1)) for i in range(60)], "new": [str(i) for i in range(60)], "same": ["x"] * 60}
+    assert rows(ordered.dedupe_cached(frame(spark, files), size, block=20)) == admitted(files, size)
+
+
+def test_bounded_memory_with_few_lines_takes_few_rounds(spark, monkeypatch):
+    """Three hundred blocks that hold what one memory holds: two stretches, so as many rounds and one that finds them agreed."""
+    walks, rounds = [], carried._rounds
+
+    def counted(spark):
+        write = rounds(spark)
+        return lambda df: walks.append(1) or write(df)
+
+    monkeypatch.setattr(carried, "_rounds", counted)
+    r = random.Random(1)
+    files = {"f": [str(r.randrange(20)) for _ in range(900)]}
+    assert rows(ordered.dedupe_cached(frame(spark, files), 20, block=3)) == admitted(files, 20)
+    assert len(walks) <= 3
+
+
+def test_bounded_memory_over_gaps_of_numbers(spark):
+    lines = [(1, "a"), (2, "b"), (50, "a"), (51, "c"), (90, "b"), (91, "a")]
+    df = spark.createDataFrame([("f", n, x) for n, x in lines], "file string, lineno long, line string")
+    assert [r[1:] for r in rows(ordered.dedupe_cached(df, 3, block=4))] == [(1, "a"), (2, "b"), (51, "c")]
+    assert ordered.dedupe_cached(df.limit(0), 3).count() == 0
 
 
 def test_flat_json(spark):

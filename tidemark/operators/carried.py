@@ -2,20 +2,22 @@
 
 What a block does hangs on the state at its first line. Where that is a number, each block sums up what it makes of any number;
 one pass over these few rows a file gives every block its state, and the blocks are then done side by side. Where it is more,
-blocks start from a guess and are done again until the states agree.
+blocks start from a guess, and those that it matters to are done again until the states agree.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from bisect import bisect_left
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidemark.functions import timestamps
 
@@ -50,6 +52,28 @@ def _walk(summaries: DataFrame, step: Callable[[dict | None, dict], dict], schem
     return summaries.repartition("file").sortWithinPartitions("file", "_block").mapInArrow(run, schema)
 
 
+def _rounds(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
+    """Writes a round's table and reads it again, and deletes that of two rounds ago.
+
+    A checkpoint would keep the size that Spark estimates; where a table is joined with itself round by round that estimate squares each time.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+    context, written = spark.sparkContext, []
+    folder = f"{base}/rounds-{uuid.uuid4().hex}"
+
+    def write(df: DataFrame) -> DataFrame:
+        written.append(f"{folder}/{len(written)}")
+        df.write.parquet(written[-1])
+        if len(written) > 2:
+            old = context._jvm.org.apache.hadoop.fs.Path(written[-3])
+            old.getFileSystem(context._jsc.hadoopConfiguration()).delete(old, True)
+        return spark.read.schema(df.schema).parquet(written[-1])
+
+    return write
+
+
 def _sorted(group: pa.Table) -> pa.Table:
     return group.take(pa.array(np.argsort(group.column("lineno").to_numpy(), kind="stable")))
 
@@ -242,50 +266,83 @@ def compact_json(df: DataFrame, block: int = BLOCK, most_bytes: int = 1 << 30) -
 def dedupe_cached(df: DataFrame, size: int = 1024, block: int = BLOCK) -> DataFrame:
     """Rows (file, lineno, line): lines that are not among the last ``size`` admitted ones; being met again does not make a line younger.
 
-    Each block starts from what the block before leaves. At first all start with nothing; blocks whose start has changed are done
-    again, until none has. A block forgets its start after ``size`` new lines, so two or three rounds are the rule; in
-    the worst case (hardly any new lines) there are as many as blocks. Files of one block take one round. Needs a checkpoint directory.
+    Files of one block are done at once. For others, lines' digests are written, about 40 bytes a line, and each block is run from
+    an empty memory. Then, round by round, tasks walk through stretches of blocks. A block that admits nothing, or whose new lines
+    drive none out, turns any memory into the next by its distinct lines alone; one that was run from the memory it now starts with is known
+    too. Only the others are run again, side by side, from what they now start with, until none is left and stretches agree at their edges.
+
+    So a file with few different lines takes a round for each stretch, and where new lines are many, blocks forget their start and
+    agree after two or three. In between, where lines are driven out slowly all the way, there may be as many rounds as blocks.
+    A stretch is up to 256 blocks, fewer for large memories, so that a task holds about 1.5 million digests at most.
+    A null line is a line like others. Needs a checkpoint directory.
     """
-    rows = blocks(df.select("file", "lineno", "line"), block)
+    most = max(1, size)
+    stretch = max(2, min(256, (1 << 19) // most))
+    rows = blocks(df.select("file", "lineno", "line"), block).withColumn("_key", F.unhex(F.sha2("line", 256)))
+    digests, at = pa.list_(pa.binary()), ["file", "_block"]
 
-    def admit(group: pa.Table, start: list[str]) -> tuple[list[int], list[str]]:
+    def admit(keys: list[bytes | None], start: list[bytes | None]) -> tuple[list[int], list[bytes | None]]:
         seen, kept = OrderedDict.fromkeys(start), []
-        for i, line in enumerate(group.column("line").to_pylist()):
-            if line not in seen:
-                if len(seen) >= size and seen:
+        for i, key in enumerate(keys):
+            if key not in seen:
+                if len(seen) >= most:
                     seen.popitem(last=False)
-                seen[line] = None
+                seen[key] = None
                 kept.append(i)
         return kept, list(seen)
 
-    def start_of(states: pa.Table) -> list[str]:
-        return states.column("_seen")[0].as_py() if states.num_rows else []
-
-    def leave(key, lines: pa.Table, states: pa.Table) -> pa.Table:
-        if not lines.num_rows:
-            return pa.Table.from_pydict({"file": [], "_block": [], "_seen": []}, schema=pa.schema([("file", pa.string()), ("_block", pa.int64()), ("_seen", pa.list_(pa.string()))]))
-        _, seen = admit(_sorted(lines), start_of(states))
-        cols = [pa.array([key[0].as_py()], pa.string()), pa.array([key[1].as_py() + 1], pa.int64()), pa.array([seen], pa.list_(pa.string()))]
-        return pa.Table.from_arrays(cols, names=["file", "_block", "_seen"])
+    def begin(group: pa.Table) -> pa.Table:
+        """What a block makes of an empty memory, and its distinct lines unless they are more than a memory holds."""
+        keys = _sorted(group).column("_key").to_pylist()
+        distinct = list(dict.fromkeys(keys))
+        cols = [pa.array([distinct if len(distinct) <= most else None], digests), pa.array([[]], digests), pa.array([admit(keys, [])[1]], digests)]
+        return pa.Table.from_arrays([*(group.column(c).slice(0, 1) for c in at), *cols], names=[*at, "distinct", "start", "leave"])
+
+    def walk(group: pa.Table) -> pa.Table:
+        group = group.take(pa.array(np.argsort(group.column("_at").to_numpy())))
+        before, after, stale, seen = [], [], [], None
+        for i in range(group.num_rows):
+            row = group.slice(i, 1).to_pylist()[0]
+            start = row["before"] if seen is None else seen
+            seen, known = row["leave"], row["start"] == start
+            if not known and row["distinct"] is not None:
+                held = set(start)
+                new = [x for x in row["distinct"] if x not in held]
+                if known := not new or len(start) + len(new) <= most:
+                    seen = start + new
+            before.append(start)
+            after.append(seen)
+            stale.append(not known)
+        cols = [*(group.column(c) for c in (*at, "_at", "distinct", "start", "leave")), pa.array(before, digests), pa.array(after, digests), pa.array(stale)]
+        return pa.Table.from_arrays(cols, names=[*at, "_at", "distinct", "start", "leave", "before", "after", "stale"])
+
+    def again(key, lines: pa.Table, states: pa.Table) -> pa.Table:
+        starts = states.column("before").combine_chunks()
+        left = [admit(_sorted(lines).column("_key").to_pylist(), x)[1] for x in starts.to_pylist()]
+        return pa.Table.from_arrays([states.column("file"), states.column("_block"), starts, pa.array(left, digests)], names=[*at, "_start", "_leave"])
 
     def keep(key, lines: pa.Table, states: pa.Table) -> pa.Table:
         lines = _sorted(lines)
-        kept, _ = admit(lines, start_of(states)) if lines.num_rows else ([], [])
+        start = states.column("before")[0].as_py() if states.num_rows else []
+        kept = admit(lines.column("_key").to_pylist(), start)[0]
         return lines.take(pa.array(kept, pa.int64())).select(["file", "lineno", "line"])
 
-    shape = "file string, _block long, _seen array<string>"
-    at = ["file", "_block"]
-    several = rows.groupBy("file").agg(F.max("_block").alias("_last")).filter("_last > 0")
-    starts = df.sparkSession.createDataFrame([], shape)
+    shape = "file string, _block long, distinct array<binary>, start array<binary>, leave array<binary>"
+    several = rows.groupBy("file").agg(F.min("_block").alias("_first"), F.max("_block").alias("_last")).filter("_last > _first").select("file").checkpoint()
+    states = df.sparkSession.createDataFrame([], "file string, _block long, before array<binary>")
     if not several.isEmpty():
-        chained = rows.join(several.select("file"), "file", "left_semi")
-        changed = chained.groupBy(*at).count().select(*at).checkpoint()
-        while not changed.isEmpty():
-            again = chained.join(changed, at, "left_semi")
-            known = starts.join(changed, at, "left_semi")
-            found = again.groupBy(*at).cogroup(known.groupBy(*at)).applyInArrow(leave, shape).join(chained.select(*at).distinct(), at, "left_semi").checkpoint()
-            old = starts.select(*at, F.col("_seen").alias("_old"))
-            new = found.join(old, at, "left").filter(~F.col("_seen").eqNullSafe(F.coalesce("_old", F.array().cast("array<string>")))).select(*at, "_seen")
-            starts = starts.join(new, at, "left_anti").unionByName(new).checkpoint()
-            changed = new.select(*at).checkpoint()
-    return rows.groupBy(*at).cogroup(starts.groupBy(*at)).applyInArrow(keep, "file string, lineno long, line string")
+        keys = rows.join(several, "file", "left_semi").select(*at, "lineno", "_key").checkpoint()
+        place = keys.select(*at).distinct().withColumn("_at", F.row_number().over(W.partitionBy("file").orderBy("_block")) - 1)
+        known = keys.groupBy(*at).applyInArrow(begin, shape).join(place, at).withColumn("before", F.array().cast("array<binary>"))
+        write, shape = _rounds(df.sparkSession), "file string, _block long, _at int, distinct array<binary>, start array<binary>, leave array<binary>, before array<binary>, after array<binary>, stale boolean"
+        while True:
+            walked = write(known.groupBy("file", F.floor(F.col("_at") / stretch)).applyInArrow(walk, shape))
+            edges = walked.filter((F.col("_at") + 1) % stretch == 0).select("file", (F.col("_at") + 1).alias("_at"), F.col("after").alias("_fresh"))
+            known = walked.join(edges, ["file", "_at"], "left").withColumn("moved", F.col("_fresh").isNotNull() & (F.col("_fresh") != F.col("before"))).withColumn("before", F.coalesce("_fresh", "before")).drop("_fresh", "after")
+            if known.filter("moved or stale").isEmpty():
+                break
+            stale = known.filter("stale").select(*at, "before")
+            new = keys.join(stale, at, "left_semi").groupBy(*at).cogroup(stale.groupBy(*at)).applyInArrow(again, "file string, _block long, _start array<binary>, _leave array<binary>")
+            known = known.join(new, at, "left").withColumns({"start": F.coalesce("_start", "start"), "leave": F.coalesce("_leave", "leave")}).drop("_start", "_leave", "moved", "stale")
+        states = known.select(*at, "before")
+    return rows.groupBy(*at).cogroup(states.groupBy(*at)).applyInArrow(keep, "file string, lineno long, line string")
