@@ -150,6 +150,23 @@ def test_place_in_a_whole_sort(spark):
     assert ordered.numbered(log.limit(0), "lineno").count() == 0
 
 
+def test_json_numbers_sort_by_value(spark):
+    lines = ['{"n": 10}', '{"n": 9}', '{"n": "9"}', '{"n": "10"}', "n=2", '{"n": -1.5}', '{"m": 1}', "plain", '{"n": 9007199254740993}', '{"n": 9007199254740992}', '{"n": null}', '{"n": true}', "", '{"n": 1e300}']
+    df = log(spark, *lines).repartition(3)
+    assert [r.lineno for r in rows.sort_field(df, "n").collect()] == [7, 8, 11, 13, 6, 2, 1, 10, 9, 14, 4, 5, 3, 12]
+    back = [r.lineno for r in rows.sort_field(df, "n", reverse=True).collect()]
+    assert back == [12, 3, 5, 4, 14, 9, 10, 1, 2, 6, 7, 8, 11, 13]
+
+
+def test_formats_by_vote(spark):
+    iso, sys = "2024-01-15T13:45:00 x", "Jan 15 13:45:00 host x"
+    df = log(spark, sys, "\t", iso, "", iso, sys, iso, file="a").unionByName(log(spark, "", "", iso, file="b")).unionByName(log(spark, "none", file="c"))
+    assert {tuple(r) for r in rows.vote_formats(df, 6).collect()} == {("a", "syslog", 2), ("b", "iso8601", 1)}
+    assert {tuple(r) for r in rows.vote_formats(df, 7).collect()} == {("a", "iso8601", 3), ("b", "iso8601", 1)}
+    assert rows.vote_formats(df, 2).filter("file = 'b'").count() == 0 and rows.vote_formats(df.limit(0)).count() == 0
+    assert [tuple(r) for r in rows.vote_format(df.filter("file = 'a'"), 3).collect()] == [("iso8601", 2)]
+
+
 def test_whole_queries_return_every_line(spark):
     import __spark_entry__ as entry
 

@@ -57,7 +57,7 @@ def pivot(key: Column, count_: Column, sum_: Column | None = None, mean: Column
 
 def scored(line: Column, lineno: Column | None, score: Column | None) -> Column:
     parts = ([] if lineno is None else [F.format_string("%6d", lineno)]) + ([] if score is None else [fixed(score, 7, 2)])
-    return F.concat_ws("  ", *parts, F.rtrim(line))
+    return F.concat_ws("  ", *parts, line)
 
 
 def diff(side: Column, text: Column, colour: bool = False) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from tidemark.functions import fields as fl
 from tidemark.functions import levels, timestamps
 from tidemark.functions.regex import to_java
+from tidemark.functions.text import detect_format, stripped, typed_json
 
 
 def time_range(df: DataFrame, start: datetime | None = None, end: datetime | None = None, keep_untimed: bool = False) -> DataFrame:
@@ -109,8 +110,6 @@ def count_pattern(df: DataFrame, pattern: str, ignore_case: bool = False) -> Dat
 
 
 def count_lines(df: DataFrame) -> DataFrame:
-    from tidemark.functions.text import stripped
-
     return df.select(stripped(F.col("line")).alias("value")).filter("value <> ''").groupBy("value").count()
 
 
@@ -178,9 +177,17 @@ def sort_time(df: DataFrame, reverse: bool = False) -> DataFrame:
 
 
 def field_order(name: str, reverse: bool = False, numeric: bool = False) -> list[Column]:
-    v = F.coalesce(fl.field(F.col("line"), name), F.lit(""))
-    k = v.try_cast("double") if numeric else v
-    return [k.desc_nulls_last() if reverse else k.asc_nulls_first(), F.col("lineno")]
+    """Order by a field: lines without it first, then JSON numbers by value, then text. If ``numeric``, text is read as numbers too."""
+    line = F.col("line")
+    v = F.coalesce(fl.field(line, name), F.lit(""))
+    turn = lambda k: k.desc_nulls_last() if reverse else k.asc_nulls_first()
+    if numeric:
+        return [turn(v.try_cast("double")), F.col("lineno")]
+    kind = F.schema_of_variant(F.try_element_at(typed_json(line), F.lit(name)))
+    number = F.coalesce(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.lit(False))
+    # whole numbers that are one double are told apart by the second
+    keys = [F.when(v == "", 0).when(number, 1).otherwise(2), F.when(number, v.try_cast("double")), F.when(number, v.try_cast("decimal(38,0)")), F.when(~number, v)]
+    return [*map(turn, keys), F.col("lineno")]
 
 
 def sort_field(df: DataFrame, name: str, reverse: bool = False, numeric: bool = False) -> DataFrame:
@@ -188,8 +195,14 @@ def sort_field(df: DataFrame, name: str, reverse: bool = False, numeric: bool =
 
 
 def vote_format(df: DataFrame, sample: int = 20) -> DataFrame:
-    """The commonest format among the first non-blank lines, ties by first appearance."""
-    from tidemark.functions.text import detect_format
-
-    first = df.filter(F.trim("line") != "").orderBy("lineno").limit(sample).select("lineno", detect_format(F.col("line")).alias("format")).filter("format is not null")
+    """The commonest format among the first ``sample`` lines that are not blank, ties by first appearance."""
+    first = df.filter(stripped(F.col("line")) != "").orderBy("lineno").limit(sample).select("lineno", detect_format(F.col("line")).alias("format")).filter("format is not null")
     return first.groupBy("format").agg(F.count("*").alias("votes"), F.min("lineno").alias("first")).orderBy(F.desc("votes"), "first").limit(1).select("format", "votes")
+
+
+def vote_formats(df: DataFrame, sample: int = 20) -> DataFrame:
+    """Rows (file, format, votes): the commonest format among the first ``sample`` lines of each file, blank ones among them, ties
+    by first appearance. A file without any has no row. Only lines of these numbers are read on."""
+    found = df.filter(F.col("lineno") <= sample).select("file", "lineno", detect_format(F.col("line")).alias("format")).filter("format is not null")
+    votes = found.groupBy("file", "format").agg(F.count("*").alias("votes"), F.min("lineno").alias("first"))
+    return votes.groupBy("file").agg(F.max_by(F.struct("format", "votes"), F.struct("votes", -F.col("first"))).alias("best")).select("file", "best.*")

@@ -512,6 +512,21 @@ def vote_format(spark, sf):
     return rows.vote_format(log_mixed(spark, sf))
 
 
+@query("WITH l AS ({kv}) SELECT lineno, row_number() OVER (ORDER BY v DESC, lineno) AS place FROM l")
+def sort_json_numbers(spark, sf):
+    return ordered.numbered(log_json(spark, sf), *rows.field_order("value", reverse=True), name="place").select("lineno", "place")
+
+
+@query(
+    """WITH l AS (SELECT (lineno - 1) // 50 AS part, (lineno - 1) % 50 + 1 AS n, CASE WHEN form IN (0, 1, 2, 6, 7) THEN 'iso8601' WHEN form = 3 THEN 'apache' WHEN form = 4 THEN 'syslog' WHEN form = 8 THEN 'epoch' END AS f FROM ({mixed}) WHERE lineno % 3 <> 0 OR lineno % 10 IN (4, 5)),
+v AS (SELECT part, f, count(*) AS votes, min(n) AS first FROM l WHERE n <= 20 AND f IS NOT NULL GROUP BY 1, 2)
+SELECT CAST(part AS VARCHAR) AS file, f AS format, votes FROM v QUALIFY row_number() OVER (PARTITION BY part ORDER BY votes DESC, first) = 1"""
+)
+def vote_formats(spark, sf):
+    mixed = log_mixed(spark, sf).filter("lineno % 3 <> 0 or lineno % 10 in (4, 5)")
+    return rows.vote_formats(mixed.select(F.floor((F.col("lineno") - 1) / 50).cast("string").alias("file"), ((F.col("lineno") - 1) % 50 + 1).alias("lineno"), "line"))
+
+
 # -- lines with odd white space, nested and null fields, and what depends on them -----------------------------------------
 
 ODD_SQL = """SELECT event_id + 1 AS lineno, event_id % 8 AS form, ts, user_id, event_type, CASE event_id % 8
