@@ -478,7 +478,7 @@ def stats_lines(spark, sf):
     return tables.stats_lines(rows.stats(log, rows.level_range(log, "warn")))
 
 
-@query("WITH t AS ({text}), s AS (SELECT file_id, lineno, line, (CASE WHEN regexp_matches(line, '(?i)the') THEN 2.0 ELSE 0 END) + (CASE WHEN regexp_matches(line, '(?i)license') THEN 5.0 ELSE 0 END) AS score FROM t) SELECT file_id::VARCHAR AS file, lineno, printf('%6d  %7.2f  ', lineno, score) || rtrim(line) AS line FROM s WHERE score >= 3")
+@query("WITH t AS ({text}), s AS (SELECT file_id, lineno, line, (CASE WHEN regexp_matches(line, '(?i)the') THEN 2.0 ELSE 0 END) + (CASE WHEN regexp_matches(line, '(?i)license') THEN 5.0 ELSE 0 END) AS score FROM t) SELECT file_id::VARCHAR AS file, lineno, printf('%6d  %7.2f  ', lineno, score) || line AS line FROM s WHERE score >= 3")
 def score_lines(spark, sf):
     scored = rows.score(log_text(spark, sf), {"the": 2.0, "license": 5.0}, 3.0)
     return scored.select("file", "lineno", report.scored(F.col("line"), F.col("lineno"), F.col("score")).alias("line"))
