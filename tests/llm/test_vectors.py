@@ -92,6 +92,22 @@ def test_a_leaf_of_copies_does_not_end_the_search():
     seen = {int(i) for t, leaf in forest.probe(forest.costs(x[:1]), 0) for i in forest.trees[t].points[leaf]}
     assert len(seen - set(range(300))) >= 199
 
+
+def test_queries_unlike_the_rows_find_their_neighbours(spark):
+    """Rows in clusters, queries away from all: a budget fitted on the rows alone finds a third of the neighbours."""
+    r = np.random.default_rng(8)
+    x = r.normal(size=(50, 32))[r.integers(0, 50, 6000)] * 5 + r.normal(size=(6000, 32))
+    x[::100] = r.normal(size=(60, 32)) * 5
+    df = spark.createDataFrame([(i, [float(v) for v in row], None) for i, row in enumerate(x)], SCHEMA)
+    got = {(q.query_id, q.vec_id) for q in ann.nearest(df, df.filter("vec_id % 100 = 0"), sample_rows=1500, least_rows=0).collect()}
+    want = set()
+    for i in range(0, 6000, 100):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        want |= {(i, int(j)) for j in np.argsort(d)[:10]}
+    assert len(got & want) >= 0.9 * len(want)
+
+
 def test_top_products(spark):
     rows = vectors() + ODD + [(3, vectors()[3][1], None)]
     df = spark.createDataFrame(rows, SCHEMA)

@@ -93,6 +93,16 @@ class Forest:
     weights: np.ndarray  # of the sample points
     scale: float  # rows that a sample point stands for
     budget: float  # weight of the sample points that a query visits
+    points: np.ndarray  # the sample
+    wanted: int  # sample points nearest to a query that it looks for, and how many of them it may miss
+    missed: int
+
+    def near(self, q: np.ndarray) -> np.ndarray:
+        """The ``wanted`` sample points nearest to each query, in no order."""
+        if self.wanted >= len(self.points):
+            return np.tile(np.arange(len(self.points)), (len(q), 1))
+        d = (self.points * self.points).sum(axis=1) - 2 * (q @ self.points.T)
+        return np.argpartition(d, self.wanted, axis=1)[:, : self.wanted]
 
     def costs(self, q: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each tree, for each query and inner node: minus the log likelihood that a neighbour lies left of it, and right."""
@@ -124,13 +134,16 @@ class Forest:
             heapq.heappush(heap, (p + left[n], t, children[n][0]))
             heapq.heappush(heap, (p + right[n], t, children[n][1]))
 
-    def probe(self, costs: list[tuple[np.ndarray, np.ndarray]], i: int) -> list[tuple[int, int]]:
-        """The (tree, leaf) that query ``i`` visits, until they hold sample points of weight ``budget``, each counted once."""
-        found, seen = [], 0.0
+    def probe(self, costs: list[tuple[np.ndarray, np.ndarray]], i: int, near: np.ndarray | None = None) -> list[tuple[int, int]]:
+        """The (tree, leaf) that query ``i`` visits, until they hold sample points of weight ``budget``, each counted once, and all but
+        ``missed`` of ``near``, those nearest to the query: a query unlike the sample has neighbours where the queue does not expect them."""
+        found, seen, left = [], 0.0, set() if near is None else set(near.tolist())
         for t, leaf, points in self.visits(costs, i):
             found.append((t, leaf))
             seen += self.weights[points].sum()
-            if seen >= self.budget:
+            if left:
+                left.difference_update(points.tolist())
+            if seen >= self.budget and len(left) <= self.missed:
                 break
         return found
 
@@ -139,7 +152,7 @@ def plant(x: np.ndarray, scale: float, *, trees: int, leaf_points: int, k: int,
     """Trees on a sample, and the budget at which ``checks`` of its points find ``recall`` of their ``k`` nearest ones in it.
 
     The table is at least as dense as the sample, so its neighbours are nearer and likelier to be found. The budget stands for
-    at least ``least_rows`` distinct rows.
+    at least ``least_rows`` distinct rows. Beside it, each query asks for ``recall`` of its own 3 * ``k`` nearest sample points.
     """
     r = np.random.default_rng(seed)
     weights, centre = weigh(x), x.mean(axis=0) if len(x) else np.zeros(x.shape[1])
@@ -159,7 +172,9 @@ def plant(x: np.ndarray, scale: float, *, trees: int, leaf_points: int, k: int,
         scatter = float(np.std(b - follow * a)) + 1e-12
     else:
         follow, scatter = 1.0, 1.0
-    forest = Forest(grown, centre, follow, scatter, weights, scale, float(weights.sum()))
+    own = min(3 * k, len(x))
+    made = lambda budget: Forest(grown, centre, follow, scatter, weights, scale, budget, x, own, int(own * (1 - recall)))
+    forest = made(float(weights.sum()))
     # the weight that each of the neighbours needs; as much is the budget as ``recall`` of all of them need
     costs, needed = forest.costs(x[asked]), []
     for i, wanted in enumerate(near):
@@ -174,7 +189,7 @@ def plant(x: np.ndarray, scale: float, *, trees: int, leaf_points: int, k: int,
                 break
         needed += at.values()
     budget = float(np.quantile(needed, recall)) if needed else 0.0
-    return Forest(grown, centre, follow, scatter, weights, scale, max(budget, least_rows / scale))
+    return made(max(budget, least_rows / scale))
 
 
 @dataclass(frozen=True)
@@ -219,7 +234,8 @@ def nearest(
     leaves of ``leaf_points`` of them; every row is then put in its leaf of each tree, and leaves are counted. A query visits leaves in the order in which
     its neighbours are likely to lie there, over all trees, until they hold so many distinct vectors as let ``checks`` sample points find
     ``recall`` of their neighbours: a share of the table that follows from how it clusters, at any size. A row found in several trees
-    counts once in that, and copies of a vector count as one.
+    counts once in that, and copies of a vector count as one. A query goes on until it has met ``recall`` of its own 3 * ``k`` nearest
+    sample points as well, so one that lies unlike the rows, away from all clusters, is served as well as they are.
 
     Queries and rows meet in bundles of neighbouring leaves; crowded ones are dealt over blocks of about ``block_rows``, queries
     over groups of about ``block_queries``, and a block goes only to the groups that ask for it. Each meeting keeps the k nearest
@@ -265,10 +281,11 @@ def nearest(
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, sets = shared.value
         for batch in (b.slice(at, _CHUNK) for b in batches for at in range(0, b.num_rows, _CHUNK)):
-            costs, key, wanted, at = forest.costs(matrix(batch.column(1), d)), [], [], []
+            q = matrix(batch.column(1), d)
+            costs, near, key, wanted, at = forest.costs(q), forest.near(q), [], [], []
             for i in range(batch.num_rows):
                 by_bundle: dict[tuple[int, int], list[int]] = {}
-                for t, leaf in forest.probe(costs, i):
+                for t, leaf in forest.probe(costs, i, near[i]):
                     by_bundle.setdefault((t, int(sets.of[t][leaf])), []).append(leaf)
                 for (t, bundle), leaves in by_bundle.items():
                     for block in range(sets.blocks[t][bundle]):
