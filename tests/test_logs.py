@@ -330,3 +330,12 @@ def test_follow_shared_as_a_stream(spark, tmp_path):
         assert [r.line for r in spark.table("live_shared").orderBy("offset").collect()] == ["new 1", "new 2", "part done"]
     finally:
         query.stop()
+
+
+def test_sort_keys_are_columns(spark):
+    """A sort over expressions would look for times and fields anew at each comparison."""
+    df = spark.createDataFrame([("a", 1, "x=1"), ("a", 2, '{"x": 3}')], "file string, lineno long, line string")
+    for got in (rows.sort_time(df), rows.sort_field(df, "x"), rows.sort_field(df, "x", reverse=True, numeric=True)):
+        sorts = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Sort [" in x]
+        assert sorts and all("(" not in x and "CASE" not in x for x in sorts)
+        assert got.columns == df.columns

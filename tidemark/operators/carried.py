@@ -53,15 +53,17 @@ def _walk(summaries: DataFrame, step: Callable[[dict | None, dict], dict], schem
 
 
 def _rounds(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
-    """Writes a round's table and reads it again, and deletes that of two rounds ago.
+    """Writes a round's table and reads it again, and deletes that of two rounds ago; the last go with the session.
 
-    A checkpoint would keep the size that Spark estimates; where a table is joined with itself round by round that estimate squares each time.
+    A checkpoint would compute the last stage twice, and keep the size that Spark estimates; where a table is joined with itself round by round that estimate squares each time.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
         raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
     context, written = spark.sparkContext, []
     folder = f"{base}/rounds-{uuid.uuid4().hex}"
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
 
     def write(df: DataFrame) -> DataFrame:
         written.append(f"{folder}/{len(written)}")

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions import timestamps
+from tidemark.functions.order import Key, keyed
 from tidemark.functions.regex import to_java
 from tidemark.functions.text import rstripped
-from tidemark.operators.carried import BLOCK, blocks, chunk_seconds, compact_json, dedupe_cached, micros  # noqa: F401
+from tidemark.operators.carried import BLOCK, _rounds, blocks, chunk_seconds, compact_json, dedupe_cached, micros  # noqa: F401
 
 
 def _with_neighbours(df: DataFrame, before: int, after: int, block: int) -> DataFrame:
@@ -130,13 +131,14 @@ def merge(df: DataFrame, skip_untimed: bool = False, tag: bool = False, block: i
     return numbered(rows.select("file", "lineno", line.alias("line"), "ets", "_key"), "_key", "file", "lineno").drop("_key")
 
 
-def numbered(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:
+def numbered(df: DataFrame, *order: Key | Column | str, name: str = "rank") -> DataFrame:
     """``df`` with the place of each row, from 1, in the order given. It must be total. Needs a checkpoint directory.
 
     Rows are sorted in ranges, each counts its own, and the counts of the ranges before it, a row for each, are joined back.
     """
+    keyed_rows, by = keyed(df, order)
     # the upper bits of the id are the range, the lower 33 the place in it; written, so that both uses see the same ranges
-    rows = df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    rows = _rounds(df.sparkSession)(keyed_rows.orderBy(*by).select(*df.columns, F.monotonically_increasing_id().alias("_at")))
     rows = rows.withColumn("_range", F.shiftright("_at", 33))
     counts = rows.groupBy("_range").count()
     before = counts.select("_range", F.coalesce(F.sum("count").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))

@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 
 from tidemark.functions import fields as fl
 from tidemark.functions import levels, timestamps
+from tidemark.functions.once import let
+from tidemark.functions.order import Key, keyed
 from tidemark.functions.regex import to_java
 from tidemark.functions.text import detect_format, stripped, typed_json
 
@@ -165,33 +167,42 @@ def score(df: DataFrame, weights: dict[str, float], threshold: float = 0.0, top:
     return out.orderBy(F.desc("score"), "lineno").limit(top) if top is not None else out
 
 
-def time_order(reverse: bool = False) -> list[Column]:
-    ts = timestamps.extract(F.col("line"))
-    keys = [ts.isNull(), ts, F.when(ts.isNull(), F.col("line"))]
-    return [*(k.desc_nulls_last() if reverse else k.asc_nulls_first() for k in keys), F.col("lineno")]
+def time_order(reverse: bool = False) -> list[Key | Column]:
+    """Untimed lines after the others, by text. One key holds all, so that a line's time is looked for once."""
+    key = let(timestamps.extract(F.col("line")), lambda ts: F.struct(ts.isNull().alias("untimed"), ts.alias("ts"), F.when(ts.isNull(), F.col("line")).alias("line")))
+    return [Key(key, reverse), F.col("lineno")]
 
 
 def sort_time(df: DataFrame, reverse: bool = False) -> DataFrame:
     """By time; lines without one come last, by text. Reversed, all of it turns but the order of equals."""
-    return df.orderBy(*time_order(reverse))
+    return _sorted(df, time_order(reverse))
+
+
+def _sorted(df: DataFrame, order: list[Key | Column]) -> DataFrame:
+    rows, by = keyed(df, order)
+    return rows.orderBy(*by).select(*df.columns)
 
 
-def field_order(name: str, reverse: bool = False, numeric: bool = False) -> list[Column]:
+def field_order(name: str, reverse: bool = False, numeric: bool = False) -> list[Key | Column]:
     """Order by a field: lines without it first, then JSON numbers by value, then text. If ``numeric``, text is read as numbers too."""
     line = F.col("line")
     v = F.coalesce(fl.field(line, name), F.lit(""))
-    turn = lambda k: k.desc_nulls_last() if reverse else k.asc_nulls_first()
     if numeric:
-        return [turn(v.try_cast("double")), F.col("lineno")]
+        return [Key(v.try_cast("double"), reverse), F.col("lineno")]
     kind = F.schema_of_variant(F.try_element_at(typed_json(line), F.lit(name)))
     number = F.coalesce(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.lit(False))
-    # whole numbers that are one double are told apart by the second
-    keys = [F.when(v == "", 0).when(number, 1).otherwise(2), F.when(number, v.try_cast("double")), F.when(number, v.try_cast("decimal(38,0)")), F.when(~number, v)]
-    return [*map(turn, keys), F.col("lineno")]
+    # one key holds all, so that a line is parsed once; whole numbers that are one double are told apart by the third
+    parts = lambda p: F.struct(
+        F.when(p["v"] == "", 0).when(p["number"], 1).otherwise(2).alias("kind"),
+        F.when(p["number"], p["v"].try_cast("double")).alias("number"),
+        F.when(p["number"], p["v"].try_cast("decimal(38,0)")).alias("whole"),
+        F.when(~p["number"], p["v"]).alias("text"),
+    )
+    return [Key(let(F.struct(v.alias("v"), number.alias("number")), parts), reverse), F.col("lineno")]
 
 
 def sort_field(df: DataFrame, name: str, reverse: bool = False, numeric: bool = False) -> DataFrame:
-    return df.orderBy(*field_order(name, reverse, numeric))
+    return _sorted(df, field_order(name, reverse, numeric))
 
 
 def vote_format(df: DataFrame, sample: int = 20) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions import fields, levels, report, text, timestamps
+from tidemark.functions.order import keyed
 from tidemark.operators import ordered, rows, tables
 from tidemark.sources import logs
 from tidemark.streaming import merging, stateful
@@ -279,24 +280,30 @@ def score(spark, sf):
     return rows.score(log_text(spark, sf), {"the": 2.0, "license": 5.0}, 3.0).select("file", "lineno", "score")
 
 
+def _places(lines: DataFrame, order: list) -> DataFrame:
+    """Each line's number and its place in an order; the lines themselves are not sorted with their keys."""
+    keys, by = keyed(lines, order)
+    return ordered.numbered(keys.drop("file", "line"), *by, name="place").select("lineno", "place")
+
+
 @query("WITH l AS ({kv}) SELECT lineno, row_number() OVER (ORDER BY v DESC, lineno) AS place FROM l")
 def sort_field(spark, sf):
-    return ordered.numbered(log_kv(spark, sf), *rows.field_order("value", reverse=True, numeric=True), name="place").select("lineno", "place")
+    return _places(log_kv(spark, sf), rows.field_order("value", reverse=True, numeric=True))
 
 
 @query("WITH l AS (SELECT lineno, line, {mixed_ts} AS t FROM ({mixed})) SELECT lineno, row_number() OVER (ORDER BY t IS NULL DESC, t DESC, CASE WHEN t IS NULL THEN line END DESC, lineno) AS place FROM l")
 def sort_time_reversed(spark, sf):
-    return ordered.numbered(log_mixed(spark, sf), *rows.time_order(reverse=True), name="place").select("lineno", "place")
+    return _places(log_mixed(spark, sf), rows.time_order(reverse=True))
 
 
 @query("WITH l AS ({kv}) SELECT lineno, row_number() OVER (ORDER BY user_id::VARCHAR, lineno) AS place FROM l")
 def sort_field_whole(spark, sf):
-    return ordered.numbered(log_kv(spark, sf), *rows.field_order("user"), name="place").select("lineno", "place")
+    return _places(log_kv(spark, sf), rows.field_order("user"))
 
 
 @query("WITH l AS ({kv}) SELECT lineno, row_number() OVER (ORDER BY date_trunc('second', ts) DESC, lineno) AS place FROM l")
 def sort_time_reversed_whole(spark, sf):
-    return ordered.numbered(log_kv(spark, sf), *rows.time_order(reverse=True), name="place").select("lineno", "place")
+    return _places(log_kv(spark, sf), rows.time_order(reverse=True))
 
 
 @query("WITH l AS ({kv}), n AS (SELECT 'f' || user_id % 3 AS file, row_number() OVER (PARTITION BY user_id % 3 ORDER BY lineno) AS lineno, date_trunc('second', ts) AS ets FROM l) SELECT file, lineno, ets, row_number() OVER (ORDER BY ets, lineno, file) AS rank FROM n")
@@ -512,9 +519,15 @@ def vote_format(spark, sf):
     return rows.vote_format(log_mixed(spark, sf))
 
 
+def _places(lines: DataFrame, order: list) -> DataFrame:
+    """Each line's number and its place in an order; the lines themselves are not sorted with their keys."""
+    keys, by = keyed(lines, order)
+    return ordered.numbered(keys.drop("file", "line"), *by, name="place").select("lineno", "place")
+
+
 @query("WITH l AS ({kv}) SELECT lineno, row_number() OVER (ORDER BY v DESC, lineno) AS place FROM l")
 def sort_json_numbers(spark, sf):
-    return ordered.numbered(log_json(spark, sf), *rows.field_order("value", reverse=True), name="place").select("lineno", "place")
+    return _places(log_json(spark, sf), rows.field_order("value", reverse=True))
 
 
 @query(
