@@ -142,6 +142,16 @@ def test_bounded_memory_over_gaps_of_numbers(spark):
     assert ordered.dedupe_cached(df.limit(0), 3).count() == 0
 
 
+def test_groups_of_one_block_are_joined_there(spark, monkeypatch):
+    """Of many groups only those that cross an edge of blocks are gathered by their number."""
+    monkeypatch.setattr(carried, "_rounds", lambda session: lambda df: seen.append(df.checkpoint()) or seen[-1])
+    seen = []
+    df = spark.createDataFrame([("a", i + 1, x) for i, x in enumerate(['{"n":', "1}", "plain", "{ not", "json }"] * 40)], "file string, lineno long, line string")
+    got = {r.lineno: r.line for r in carried.compact_json(df, block=33).collect()}
+    want = {i * 5 + n: x for i in range(40) for n, x in ((1, '{"n":1}'), (3, "plain"), (4, "{ not"), (5, "json }"))}
+    assert got == want and seen[0].filter("_group is not null").count() <= 2 * (200 // 33)
+
+
 def test_flat_json(spark):
     lines = ['{"a":{"b":1,"c":{}},"d":[1,[2],{"e":"é"}],"a.b":2}', "[1]", "plain", '{"bad"', None, "{}"]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in lines], "line string").select(tables.flatten(F.col("line"), ".")).collect()]

@@ -188,8 +188,8 @@ def compact_json(df: DataFrame, block: int = BLOCK, most_bytes: int = 1 << 30) -
     not parse stays as it was.
 
     A line that begins with a bracket, outside of a group, opens one, which ends where as many brackets have closed. A block's
-    summary tells for any depth ahead of it which depth it leaves; one task a file goes through the summaries. Lines of a group
-    then meet by its number. A closed group of more than ``most_bytes`` is an error, as a row could not hold it. One bracket that is never
+    summary tells for any depth ahead of it which depth it leaves; one task a file goes through the summaries. A group that lies in
+    one block is joined there; lines of one that crosses an edge meet by its number. A closed group of more than ``most_bytes`` is an error, as a row could not hold it. One bracket that is never
     closed takes all that follows with it: such a group parses only if brackets stand in its strings, so beyond ``most_bytes``
     it stays as it is and is not gathered.
     """
@@ -220,12 +220,18 @@ def compact_json(df: DataFrame, block: int = BLOCK, most_bytes: int = 1 << 30) -
             return {"_depth": state["_depth"] + row["total"], "_opener": state["_opener"]}
         return {"_depth": row["leave"][j], "_opener": row["opener"][j]}
 
+    def compact(lines: list[str | None]) -> str | None:
+        try:
+            return json.dumps(json.loads("".join(x or "" for x in lines).strip()), separators=(",", ":"))
+        except (ValueError, RecursionError):
+            return None
+
     def assign(group: pa.Table) -> pa.Table:
-        """The number of the line that opens each line's group, null outside of any."""
+        """Lines outside of groups, groups of this block as one line each, and the lines of other groups with the number of the one that opens it."""
         group = _sorted(group)
         numbers, n = group.column("lineno").to_numpy(), group.num_rows
         sums, end, _, _ = _ends_of_openers(group.column("_change").to_numpy(), opened := group.column("_opens").to_numpy())
-        out, i = [None] * n, 0
+        out, i, lines, gone = [None] * n, 0, group.column("line").to_pylist(), np.zeros(n, bool)
         depth = group.column("_depth")[0].as_py() or 0
         if depth > 0:
             closed = np.flatnonzero(depth + sums <= 0)
@@ -234,24 +240,28 @@ def compact_json(df: DataFrame, block: int = BLOCK, most_bytes: int = 1 << 30) -
         while i < n:
             if opened[i]:
                 stop = min(end[i], n - 1) + 1
-                out[i:stop] = [int(numbers[i])] * (stop - i)
+                if end[i] < n and sum(len((x or "").encode("utf-8", "surrogatepass")) for x in lines[i:stop]) <= most_bytes:
+                    if (text := compact(lines[i:stop])) is not None:
+                        lines[i] = text
+                        gone[i + 1 : stop] = True
+                else:
+                    out[i:stop] = [int(numbers[i])] * (stop - i)
                 i = stop
             else:
                 i += 1
-        return pa.Table.from_arrays([*(group.column(c) for c in ("file", "lineno", "line")), pa.array(out, pa.int64())], names=["file", "lineno", "line", "_group"])
+        made = pa.Table.from_arrays([*(group.column(c) for c in ("file", "lineno")), pa.array(lines, pa.string()), pa.array(out, pa.int64())], names=["file", "lineno", "line", "_group"])
+        return made.filter(pa.array(~gone)) if gone.any() else made
 
     def join(group: pa.Table) -> pa.Table:
         group = _sorted(group)
-        try:
-            text = json.dumps(json.loads("".join(x or "" for x in group.column("line").to_pylist()).strip()), separators=(",", ":"))
-        except (ValueError, RecursionError):
+        if (text := compact(group.column("line").to_pylist())) is None:
             return group.select(["file", "lineno", "line"])
         first = group.slice(0, 1)
         return pa.Table.from_arrays([first.column("file"), first.column("lineno"), pa.array([text], pa.string())], names=["file", "lineno", "line"])
 
     per = rows.select("file", "_block", "lineno", "_change", "_opens").groupBy("file", "_block").applyInArrow(sum_up, summary)
     states = _walk(per, step, "file string, _block long, _depth long, _opener long")
-    told = rows.join(states, ["file", "_block"]).groupBy("file", "_block").applyInArrow(assign, "file string, lineno long, line string, _group long").checkpoint()
+    told = _rounds(df.sparkSession)(rows.join(states, ["file", "_block"]).groupBy("file", "_block").applyInArrow(assign, "file string, lineno long, line string, _group long"))
     held = told.filter("_group is not null")
     big = held.groupBy("file", "_group").agg(F.sum(F.octet_length("line")).alias("_bytes"), (F.sum(change) > 0).alias("_open")).filter(F.col("_bytes") > most_bytes)
     said = F.concat(F.lit("a group of JSON lines has more bytes than most_bytes; it begins at line "), F.col("_group").cast("string"), F.lit(" of "), "file")
