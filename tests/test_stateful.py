@@ -114,3 +114,28 @@ def test_unclosed_json_goes_after_the_wait(spark, tmp_path):
 def test_json_beyond_the_limit_is_an_error(spark, tmp_path):
     with pytest.raises(Exception, match="more than 10 characters"):
         feed(spark, tmp_path, [[("a", 1, "{"), ("a", 2, '"k": "a long value",')]], lambda s: stateful.compact_json(s, 300, most_chars=10, place="lineno"))
+
+
+def test_a_batch_is_stepped_in_parts():
+    """A file's lines of a batch come in order and in bounded parts, and what a batch keeps begins anew with the next one."""
+    import pandas as pd
+
+    class Parts(stateful._Lines):
+        columns = ("place", "line", "us", "earlier")
+        part_rows = 4
+
+        def init(self, handle):
+            pass
+
+        def step(self, lines, timers):
+            sizes.append(len(lines))
+            earlier, self.latest = self.latest, int(lines["place"].iloc[-1])
+            return [(int(p), s, None if pd.isna(u) else int(u), earlier) for p, s, u in zip(lines["place"], lines["line"], lines["us"], strict=True)]
+
+    sizes, of = [], Parts()
+    frames = [pd.DataFrame({"place": [5, 3, 1], "line": ["e", None, "a"], "us": [5.0, None, 1.0]}), pd.DataFrame({"place": [4, 2, 6], "line": ["d", "b", "f"], "us": [4, 2, 6]})]
+    for _ in range(2):
+        got = pd.concat(of.handleInputRows(("x",), iter(frames), None))
+        assert list(got["place"]) == [1, 2, 3, 4, 5, 6] and "".join(got["line"]) == "abdef" and list(got["us"]) == [1, 2, None, 4, 5, 6]
+        assert list(got["earlier"]) == [None] * 4 + [4] * 2
+    assert sizes == [4, 2, 4, 2] and not list(of.handleInputRows(("x",), iter([]), None))

@@ -17,7 +17,9 @@ import re
 from collections import OrderedDict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -29,16 +31,31 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 class _Lines(StatefulProcessor):
-    """Gathers a file's lines of a batch in order and hands them to ``step``; ``columns`` are those of its rows after the file."""
+    """Gathers a file's lines of a batch in order and hands them to ``step`` in parts of ``part_rows``; ``columns`` are those of its rows after the file.
+
+    What waits is held as Arrow arrays, little more than the bytes of the lines; only a part at a time is Python objects.
+    """
 
     columns: tuple[str, ...] = ()
     timed = False
+    part_rows = 20_000
+    latest: int | None = None  # what ``step`` keeps of a batch from part to part
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frames = [f for f in rows if len(f)]
-        if frames:
-            lines = pd.concat(frames).sort_values("place", kind="stable")
-            lines["line"] = lines["line"].fillna("")
+        places, times, texts, self.latest = [], [], [], None
+        for f in rows:
+            places.append(f["place"].to_numpy(np.int64))
+            times.append(pa.array(f["us"], pa.int64(), from_pandas=True))
+            texts.append(pa.array(f["line"], pa.large_string(), from_pandas=True))
+        if not places:
+            return
+        place, us, line = np.concatenate(places), pa.concat_arrays(times), pa.concat_arrays(texts)
+        del places, times, texts
+        order = np.argsort(place, kind="stable")
+        for at in range(0, len(order), self.part_rows):
+            part = order[at : at + self.part_rows]
+            taken = pa.array(part)
+            lines = pd.DataFrame({"place": place[part], "line": line.take(taken).fill_null("").to_numpy(zero_copy_only=False), "us": us.take(taken).to_pandas()})
             yield self._rows(key, self.step(lines, timerValues))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -186,7 +203,7 @@ class _Squash(_Lines):
         state = self.run.get() if self.run.exists() else None
         run, timer = (list(state[:4]), state[4]) if state else (None, None)
         held = [tuple(r) for r in self.held.get()] if run and run[3] < self.least else []
-        out, latest = [], None
+        out, latest = [], self.latest
         for place, line, us in zip(lines["place"], lines["line"], lines["us"], strict=True):
             signature = _NUMBER.sub("#", line)
             if run is None or signature != run[0]:
@@ -198,6 +215,7 @@ class _Squash(_Lines):
                 held.append((int(place), line))
             if not pd.isna(us):
                 latest = int(us) // 1000
+        self.latest = latest
         if timer is not None:
             self.handle.deleteTimer(timer)
         # at the watermark of the run's last time and the wait, or of now and the wait where no line of this batch has one
@@ -289,10 +307,10 @@ class _Json(_Lines):
 
     def step(self, lines, timers):
         depth, size, timer = self.open.get() if self.open.exists() else (0, 0, None)
-        was_open, fresh, out, latest = depth > 0, [], [], 0
+        was_open, fresh, out, latest = depth > 0, [], [], self.latest or 0
         for place, line, us in zip(lines["place"], lines["line"], lines["us"], strict=True):
             latest = latest if pd.isna(us) else max(latest, int(us) // 1000)
-            change = sum(line.count(c) for c in "{[") - sum(line.count(c) for c in "}]")
+            change = line.count("{") + line.count("[") - line.count("}") - line.count("]")
             if depth <= 0 and line.lstrip()[:1] not in ("{", "["):
                 out.append((int(place), line))
                 continue
@@ -305,6 +323,7 @@ class _Json(_Lines):
                 self.held.clear()
             elif size > self.most:
                 raise ValueError(f"a group of JSON lines has more than {self.most} characters; raise most_chars, or shorten the wait")
+        self.latest = latest
         if timer is not None:
             self.handle.deleteTimer(timer)
         if depth > 0:
