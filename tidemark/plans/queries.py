@@ -636,21 +636,27 @@ def count_top(spark, sf):
 
 
 def _fed(spark: SparkSession, lines: DataFrame, start: Callable[[DataFrame, str], StreamingQuery]) -> str:
-    """Feeds the lines as a stream of micro-batches to what ``start`` makes of it in a folder, in two runs with a restart between them.
+    """Feeds the lines as a stream of micro-batches to what ``start`` makes of it in a folder, in four runs with restarts between them.
 
-    The lines are dealt into four parts by number, so that each file is cut; all lies in the shared checkpoint folder.
+    The lines are dealt into four parts by number, so that each file is cut, in one distributed write; a run takes the part that has come. All
+    lies in the shared checkpoint folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     rows_ = lines.select("file", "lineno", "line")
     last = rows_.agg(F.max("lineno")).first()[0] or 0
-    for part in range(4):
-        mine = F.col("lineno").between(last * part // 4 + 1, last * (part + 1) // 4)
-        rows_.filter(mine).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-        if part in (1, 3):
-            start(spark.readStream.schema(rows_.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), folder).awaitTermination()
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    part = sum((F.when(F.col("lineno") > last * n // 4, 1).otherwise(0) for n in (1, 2, 3)), F.lit(0))
+    rows_.filter(F.col("lineno").between(1, last)).withColumn("part", part).write.partitionBy("part").parquet(f"{folder}/dealt")
+    path = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{folder}{name}")
+    fs = path("").getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.deleteOnExit(path(""))
+    fs.mkdirs(path("/in"))
+    for n in range(4):
+        if fs.exists(path(f"/dealt/part={n}")):
+            fs.rename(path(f"/dealt/part={n}"), path(f"/in/part={n}"))
+        else:
+            fs.mkdirs(path(f"/in/part={n}"))
+        start(spark.readStream.schema(rows_.schema).parquet(f"{folder}/in/*"), folder).awaitTermination()
     return folder
 
 
